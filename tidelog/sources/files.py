@@ -6,6 +6,8 @@ directory listing as well as a table in which every row is a file.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -124,9 +126,9 @@ def latest_file(files: DataFrame) -> DataFrame:
 def read_whole_files(spark: SparkSession, path: str | list[str], glob: str = ACCEPTED_GLOB) -> DataFrame:
     """One row per file with its full text. Meant for files inside the admission limit."""
     return (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", glob)
-        .text(path)
+        spark.read.option("pathGlobFilter", glob)
+        .option("recursiveFileLookup", "true")
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
 
@@ -239,35 +241,43 @@ def detect_formats(spark: SparkSession, path: str, compat: bool = False, glob: s
 # contiguous bounded pieces, `block_off` is the number of bytes before the piece.
 
 
-def scan_lines(spark: SparkSession, path: str | list[str], glob: str = ACCEPTED_GLOB) -> DataFrame:
-    """Lines of text files with 1-based numbers, LF, CRLF and CR all ending a line.
+def text_rows(reader, path: str | list[str], glob: str = ACCEPTED_GLOB) -> DataFrame:
+    """Rows of text files split at LF only, with file, split offset and file size.
 
-    A block is one file split. Numbers inside a split come from the scan order, so the text itself
-    is not shuffled to be numbered; only one small row per split is aggregated and joined back.
-    `n_bytes` is the UTF-8 length with a one-byte newline, which a last unterminated line lacks.
+    `reader` is `spark.read` or `spark.readStream`.
     """
-    value = F.col("value")
-    carriage = value.endswith("\r")
-    pieces = F.when(~F.contains(value, F.lit("\r")), F.array(value)).otherwise(
-        F.split(F.regexp_replace(value, r"\r\z", ""), "\r")
-    )
-    raw = (
-        spark.read.option("lineSep", "\n")
+    return (
+        reader.option("lineSep", "\n")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
-            F.col("_metadata.file_size").alias("_file_size"),
-            carriage.alias("_carriage"),
-            pieces.alias("_pieces"),
+            F.col("_metadata.file_size").alias("file_size"),
+            "value",
         )
-        .select("file", "block", "_file_size", "_carriage", F.size("_pieces").alias("_n"), F.posexplode("_pieces").alias("_at", "line"))
+    )
+
+
+def number_rows(rows: DataFrame) -> DataFrame:
+    """Line frame of `text_rows`: CRLF and CR are resolved, lines numbered, bytes counted.
+
+    A block is one file split. The position inside a split is the scan order, so the text is not
+    shuffled to be numbered; one small row per split is aggregated and joined back (the scan
+    assigns the same order each time it runs over one listing).
+    """
+    value = F.col("value")
+    pieces = F.when(~F.contains(value, F.lit("\r")), F.array(value)).otherwise(
+        F.split(F.regexp_replace(value, r"\r\z", ""), "\r")
+    )
+    raw = (
+        rows.select("file", "block", "file_size", value.endswith("\r").alias("_carriage"), pieces.alias("_pieces"))
+        .select("file", "block", "file_size", "_carriage", F.size("_pieces").alias("_n"), F.posexplode("_pieces").alias("_at", "line"))
         .select(
             "file",
             "block",
-            "_file_size",
+            "file_size",
             ((F.col("_at") == F.col("_n") - 1) & F.col("_carriage")).alias("_tail_cr"),
             "line",
             F.monotonically_increasing_id().alias("_seq"),
@@ -280,12 +290,12 @@ def scan_lines(spark: SparkSession, path: str | list[str], glob: str = ACCEPTED_
         F.sum(size).alias("_bytes"),
         F.sum(size + F.col("_tail_cr").cast("long")).alias("_raw_bytes"),
         F.max_by("_tail_cr", "_seq").alias("_ends_cr"),
-        F.first("_file_size").alias("_file_size"),
+        F.first("file_size").alias("file_size"),
     )
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
     # The excess over the file size is 1 when no newline ends the file (a dropped UTF-8 mark shifts it by 3).
-    unterminated = (F.pmod(F.sum("_raw_bytes").over(whole) - F.col("_file_size"), F.lit(3)) == 1) & ~F.col("_ends_cr")
+    unterminated = (F.pmod(F.sum("_raw_bytes").over(whole) - F.col("file_size"), F.lit(3)) == 1) & ~F.col("_ends_cr")
     is_last = F.col("block") == F.max("block").over(whole)
     offsets = splits.select(
         "file",
@@ -305,24 +315,35 @@ def scan_lines(spark: SparkSession, path: str | list[str], glob: str = ACCEPTED_
     )
 
 
-def explode_lines(files: DataFrame, file: str, content: str) -> DataFrame:
-    """Lines of a table in which each row is a whole file (`file` column: id, `content`: text)."""
-    staged = files.select(F.col(file).cast("string").alias("file"), unix_newlines(F.col(content)).alias("_text"))
+def scan_lines(spark: SparkSession, path: str | list[str], glob: str = ACCEPTED_GLOB) -> DataFrame:
+    """Lines of text files with 1-based numbers; LF, CRLF and CR all end a line.
+
+    `n_bytes` is the UTF-8 length with a one-byte newline, which a last unterminated line lacks.
+    """
+    return number_rows(text_rows(spark.read, path, glob))
+
+
+def explode_lines(files: DataFrame, file: str, content: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Lines of a table in which each row is a whole file (`file` column: id, `content`: text).
+
+    `keep` names further columns to carry along.
+    """
+    staged = files.select(F.col(file).cast("string").alias("file"), *keep, unix_newlines(F.col(content)).alias("_text"))
     ended = F.endswith("_text", F.lit("\n"))
-    parts = F.split(F.when(ended, F.substring(F.col("_text"), F.lit(1), F.length("_text") - 1)).otherwise(F.col("_text")), "\n")
+    body = F.when(ended, F.left("_text", F.length("_text") - 1)).otherwise(F.col("_text"))
+    unterminated = (F.col("_at") == F.col("_n") - 1) & ~F.col("_ended")
     return (
         staged.filter(F.length("_text") > 0)
-        .select("file", ended.alias("_ended"), parts.alias("_parts"))
-        .select("file", "_ended", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("_at", "line"))
+        .select("file", *keep, ended.alias("_ended"), F.split(body, "\n").alias("_parts"))
+        .select("file", *keep, "_ended", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("_at", "line"))
         .select(
             "file",
+            *keep,
             F.lit(0).cast("long").alias("block"),
             F.lit(0).cast("long").alias("block_off"),
             (F.col("_at") + 1).cast("long").alias("line_no"),
             "line",
-            (
-                F.octet_length("line") + F.when((F.col("_at") == F.col("_n") - 1) & ~F.col("_ended"), 0).otherwise(1)
-            ).cast("long").alias("n_bytes"),
+            (F.octet_length("line") + F.when(unterminated, 0).otherwise(1)).cast("long").alias("n_bytes"),
         )
     )
 

@@ -10,24 +10,22 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidelog.operators.dedup import with_hash
-from tidelog.sources.files import ACCEPTED_GLOB
+from tidelog.sources.files import ACCEPTED_GLOB, text_rows
 from tidelog.sources.store import merge_batch
 
 
-def stream_lines(
+def stream_rows(
     spark: SparkSession, directory: str, glob: str = ACCEPTED_GLOB, max_files: int | None = None
 ) -> DataFrame:
-    """New text files as they arrive: file, split offset, line.
+    """Rows of text files as they arrive.
 
-    Line numbers need a whole file; `whole_file_batches` numbers lines inside a micro-batch, since
-    a file always arrives in one micro-batch.
+    A file arrives in one micro-batch, so `tidelog.sources.files.number_rows` turns each
+    micro-batch into numbered lines (pass it to `merge_stream` as part of `to_records`).
     """
-    reader = spark.readStream.option("pathGlobFilter", glob)
+    reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(directory).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line")
-    )
+    return text_rows(reader, directory, glob)
 
 
 def stream_table(
