@@ -42,9 +42,14 @@ survivors AS (SELECT * FROM ranked WHERE rn = 1)"""
 
 
 def event_records(spark: SparkSession, directory: str) -> DataFrame:
+    return as_event_records(table(spark, directory, "events"))
+
+
+def as_event_records(events: DataFrame) -> DataFrame:
+    """The log view of event rows, batch or streaming."""
     user = F.col("user_id")
     kind = F.col("event_type")
-    return table(spark, directory, "events").select(
+    return events.select(
         "event_id",
         F.col("event_id").alias("pos"),
         F.lit("events").alias("file"),
