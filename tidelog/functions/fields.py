@@ -38,6 +38,7 @@ ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"(?:^|[^0-9.])((?:{_OCTET}\.){{3}}{_OCTET})(?:[^0-9.]|\.[^0-9]|\.$|$)"
+_ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?( ?(Z|[+-]\d{2}:?\d{2}))?)?$"
 URL_HOST = r"https?://([A-Za-z0-9.-]+)"
 
 
@@ -52,11 +53,9 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
 
 def normalize_level(level: Column) -> Column:
     """Upper case, outer whitespace removed, known synonyms mapped; other text is kept for validation."""
-    name = F.upper(strip(level))
-    mapped = F.when(F.lit(False), name)
-    for target in dict.fromkeys(LEVEL_SYNONYMS.values()):
-        mapped = mapped.when(name.isin(*[k for k, v in LEVEL_SYNONYMS.items() if v == target]), F.lit(target))
-    return mapped.otherwise(F.nullif(name, F.lit("")))
+    name = F.nullif(F.upper(strip(level)), F.lit(""))
+    synonyms = F.create_map(*[F.lit(text) for pair in LEVEL_SYNONYMS.items() for text in pair])
+    return F.coalesce(F.try_element_at(synonyms, name), name)
 
 
 def parse_time(text: Column, default_year: int | None = None) -> Column:
@@ -66,15 +65,12 @@ def parse_time(text: Column, default_year: int | None = None) -> Column:
     Times without an offset are taken as UTC; text that fits no form becomes NULL.
     """
     body = strip(text)
-    iso = F.replace(F.replace(body, F.lit(","), F.lit(".")), F.lit(" "), F.lit("T"))
-    zoned = F.regexp_replace(iso, r"T?(Z|[+-]\d{2}:?\d{2})$", "$1")
-    plain = iso.rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$")
-    offset = zoned.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})$")
-    day = iso.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    # With the shape known, fixed positions and plain replacements give text that casts directly.
+    clock = F.translate(F.substring(body, F.lit(12), F.length(body)), ", ", ".")
+    zone = F.when(clock.endswith("Z") | F.contains(clock, F.lit("+")) | F.contains(clock, F.lit("-")), "").otherwise("Z")
+    iso = F.concat(F.left(body, F.lit(10)), F.lit("T"), F.when(clock == "", "00:00:00").otherwise(clock), zone)
     parsed = (
-        F.when(day, F.concat(iso, F.lit("T00:00:00Z")).try_cast("timestamp"))
-        .when(plain, F.concat(iso, F.lit("Z")).try_cast("timestamp"))
-        .when(offset, F.regexp_replace(zoned, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"))
+        F.when(body.rlike(_ISO_SHAPE), iso.try_cast("timestamp"))
         .when(body.rlike(r"^\d{13}$"), F.timestamp_millis(body.try_cast("long")))
         .when(
             body.rlike(r"^\d{9,10}(\.\d{1,6})?$"),
@@ -105,20 +101,24 @@ def normalize_timestamp(text: Column, default_year: int | None = None) -> Column
 
 def clean_message(text: Column) -> Column:
     """Runs of whitespace collapse to one blank, outer whitespace goes, '' becomes NULL."""
-    return blank_to_null(F.regexp_replace(text, r"[ \t\r\n\x0b\x0c]+", " "))
+    uneven = F.lit(False)
+    for run in ("  ", "\t", "\r", "\n", "\x0b", "\x0c"):
+        uneven = uneven | F.contains(text, F.lit(run))
+    return blank_to_null(F.when(uneven, F.regexp_replace(text, r"[ \t\r\n\x0b\x0c]+", " ")).otherwise(text))
 
 
 def source_ip(text: Column) -> Column:
     """First IPv4 address that is not part of a longer dotted number."""
-    return first_match(text, IPV4)
+    three_dots = F.substring_index(text, ".", 3) != text
+    return F.when(three_dots, first_match(text, IPV4))
 
 
 def url_host(text: Column) -> Column:
-    return F.lower(first_match(text, URL_HOST))
+    return F.when(F.contains(text, F.lit("://")), F.lower(first_match(text, URL_HOST)))
 
 
 def bracketed_service(text: Column) -> Column:
-    return first_match(text, r"\[([A-Za-z][A-Za-z0-9_.-]*)\]")
+    return F.when(F.contains(text, F.lit("[")), first_match(text, r"\[([A-Za-z][A-Za-z0-9_.-]*)\]"))
 
 
 def infer_service(candidates: Sequence[Column], context: Column) -> Column:
@@ -129,11 +129,13 @@ def infer_service(candidates: Sequence[Column], context: Column) -> Column:
 
 
 def user_id(text: Column) -> Column:
-    return first_match(text, r"(?:^|[^A-Za-z0-9_])(?:user_id|userid|uid|user)[=:] ?\"?([A-Za-z0-9_.@-]+)")
+    pattern = r"(?:^|[^A-Za-z0-9_])(?:user_id|userid|uid|user)[=:] ?\"?([A-Za-z0-9_.@-]+)"
+    return F.when(F.contains(text, F.lit("user")) | F.contains(text, F.lit("uid")), first_match(text, pattern))
 
 
 def request_id(text: Column) -> Column:
-    return first_match(text, r"(?:^|[^A-Za-z0-9_])(?:request_id|requestid|req_id|trace_id)[=:] ?\"?([A-Za-z0-9_.-]+)")
+    pattern = r"(?:^|[^A-Za-z0-9_])(?:request_id|requestid|req_id|trace_id)[=:] ?\"?([A-Za-z0-9_.-]+)"
+    return F.when(F.contains(text, F.lit("id")), first_match(text, pattern))
 
 
 def json_field(value: Column, name: str) -> Column:

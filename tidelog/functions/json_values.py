@@ -39,12 +39,12 @@ def kind(value: Column) -> Column:
 
 
 def field(value: Column, name: str) -> Column:
-    """A top-level member as VARIANT; NULL when the key is missing, VOID when it is JSON null."""
-    return F.variant_get(F.when(is_object(value), value), f"$['{name}']", "variant")
+    """A top-level member as VARIANT; NULL when the value has no such key, VOID when it is JSON null."""
+    return F.variant_get(value, f"$['{name}']", "variant")
 
 
 def field_text(value: Column, name: str) -> Column:
-    return F.variant_get(F.when(is_object(value), value), f"$['{name}']", "string")
+    return F.variant_get(value, f"$['{name}']", "string")
 
 
 def is_object(value: Column) -> Column:
@@ -137,7 +137,7 @@ def loads_ok(texts: pd.Series) -> pd.Series:
     return texts.map(accepts).astype(bool)
 
 
-@F.pandas_udf(T.StringType())
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def dumps(texts: pd.Series) -> pd.Series:
-    """Re-serialize JSON texts with ', ' and ': ' separators and ASCII escapes."""
-    return texts.map(lambda text: None if text is None else json.dumps(json.loads(text)))
+    """Re-serialize an array of JSON texts with ', ' and ': ' separators and ASCII escapes."""
+    return texts.map(lambda items: None if items is None else [json.dumps(json.loads(item)) for item in items])

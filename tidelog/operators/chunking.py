@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.ordering import block_totals, running_sum
+from tidelog.operators.ordering import running_sum
 
 # Fixed value: default chunk limit.
 CHUNK_BYTES = 50 * 1024 * 1024
@@ -30,70 +30,106 @@ _SPANS = "file string, block long, chunk_id long, first_line long, last_line lon
 
 
 def with_block_offsets(lines: DataFrame) -> DataFrame:
-    """Recompute `block_off` for frames whose blocks were assigned by hand."""
-    before = block_totals(lines, ["file"], "block", _bytes=F.col("n_bytes"))
-    return lines.drop("block_off").join(before.withColumnRenamed("_bytes_before", "block_off"), ["file", "block"])
-
+    """Adds `block_off` and `blocks` to lines whose blocks were assigned by hand."""
+    per_block = lines.groupBy("file", "block").agg(F.sum("n_bytes").alias("_bytes"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_block.select(
+        "file",
+        "block",
+        F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("block_off"),
+        F.count("*").over(Window.partitionBy("file")).alias("blocks"),
+    )
+    return lines.drop("block_off", "blocks").join(offsets, ["file", "block"])
 
-def _ends(pdf: pd.DataFrame) -> np.ndarray:
-    return int(pdf["block_off"].iloc[0]) + np.cumsum(pdf["n_bytes"].to_numpy(dtype=np.int64))
 
+def _steps(sizes: np.ndarray, offset: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block as a step function of the open chunk's offset at entry.
 
-def _next_start(starts: np.ndarray, ends: np.ndarray, limit: int) -> np.ndarray:
-    """For a chunk opened at each line, the index of the line that opens the following chunk."""
-    first_misfit = np.searchsorted(ends, starts + limit, side="right")
-    return np.maximum(first_misfit, np.arange(1, len(starts) + 1))
+    Returns (upto, exit_open, closed): a chunk opened at offset o before the block ends at the first
+    line whose end exceeds o + limit; the first step with upto > o + limit tells where the open chunk
+    begins at the end of the block and how many chunks were closed on the way.
+    """
+    ends = offset + np.cumsum(sizes)
+    starts = ends - sizes
+    count = len(sizes)
+    # For a chunk opened at each line, the line that opens the following one (`count`: none).
+    jump = np.maximum(np.searchsorted(ends, starts + limit, side="right"), np.arange(1, count + 1))
+    last = np.where(jump < count, jump, np.arange(count))
+    hops = (jump < count).astype(np.int64)
+    # Pointer doubling: after k rounds `last` is 2^k openings further on and `hops` counts them.
+    while True:
+        further = last[last]
+        if np.array_equal(further, last):
+            break
+        hops = hops + hops[last]
+        last = further
+    # A chunk open at entry began before this block, so it closes within `limit` bytes of it.
+    reachable = min(int(np.searchsorted(ends, starts[0] + limit, side="right")) + 1, count)
+    exits, closed = starts[last[:reachable]], hops[:reachable] + 1
+    # Neighbouring lines with one outcome are one step.
+    final = np.append((exits[1:] != exits[:-1]) | (closed[1:] != closed[:-1]), True)
+    return ends[:reachable][final], exits[final], closed[final]
 
 
 def _summarize(limit: int):
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        ends = _ends(pdf)
-        starts = ends - pdf["n_bytes"].to_numpy(dtype=np.int64)
-        jump = np.append(_next_start(starts, ends, limit), len(starts))
-        hops = np.append(np.where(jump[:-1] < len(starts), 1, 0), 0)
-        last = np.where(jump < len(starts), jump, np.arange(len(jump)))
-        # Pointer doubling: after k rounds `last` is 2^k openings further on and `hops` counts them.
-        while True:
-            further = last[last]
-            if np.array_equal(further, last):
-                break
-            hops = hops + hops[last]
-            last = further
-        # A chunk open at entry began before this block, so it closes within `limit` bytes of it.
-        reachable = int(np.searchsorted(ends, starts[0] + limit, side="right")) + 1
-        table = pd.DataFrame({"upto": ends, "exit_open": starts[last[:-1]], "closed": hops[:-1] + 1}).iloc[:reachable]
-        # Neighbouring entries with one outcome are one step of the function.
-        changes = (table[["exit_open", "closed"]] != table[["exit_open", "closed"]].shift(-1)).any(axis=1)
-        table = table[changes]
-        table.insert(0, "block", pdf["block"].iloc[0])
-        table.insert(0, "file", pdf["file"].iloc[0])
-        return table
+    columns = ["file", "block", "upto", "exit_open", "closed"]
+
+    def table(key: tuple, offset: int, held: list[np.ndarray]) -> pd.DataFrame:
+        steps = _steps(np.concatenate(held), offset, limit)
+        frame = pd.DataFrame(dict(zip(columns[2:], steps)))
+        frame.insert(0, "block", key[1])
+        frame.insert(0, "file", key[0])
+        return frame
+
+    def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by file, block, line_no; holds the sizes of one block at a time."""
+        key, offset, held = None, 0, []
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            files, blocks = pdf["file"].to_numpy(), pdf["block"].to_numpy()
+            offsets, sizes = pdf["block_off"].to_numpy(), pdf["n_bytes"].to_numpy(dtype=np.int64)
+            cuts = np.flatnonzero((files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+            done = []
+            for begin, end in zip([0, *cuts], [*cuts, len(pdf)]):
+                if (files[begin], blocks[begin]) != key:
+                    if held:
+                        done.append(table(key, offset, held))
+                    key, offset, held = (files[begin], blocks[begin]), int(offsets[begin]), []
+                held.append(sizes[begin:end])
+            if done:
+                yield pd.concat(done)
+        if held:
+            yield table(key, offset, held)
 
     return summarize
 
 
 def _follow(limit: int):
+    columns = ["file", "block", "entry_open", "entry_id"]
+
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows sorted by file, block, upto; constant state per file."""
+        """Step tables sorted by file, block, upto; constant state."""
         file = block = None
         open_at = chunk_id = 0
         settled = True
         for pdf in batches:
             entries = []
-            for row in pdf.itertuples(index=False):
-                if row.file != file:
-                    file, block, open_at, chunk_id = row.file, row.block, 0, 0
+            for row_file, row_block, upto, exit_open, closed in zip(
+                *(pdf[name].tolist() for name in ("file", "block", "upto", "exit_open", "closed"))
+            ):
+                if row_file != file:
+                    # The first block opens its first chunk itself: its first step applies as it is.
+                    file, block = row_file, row_block
                     entries.append((file, block, 0, 0))
-                    # The first block opens its first chunk itself: its first step applies as is.
-                    open_at, chunk_id, settled = int(row.exit_open), int(row.closed) - 1, True
+                    open_at, chunk_id, settled = exit_open, closed - 1, True
                     continue
-                if row.block != block:
-                    block, settled = row.block, False
+                if row_block != block:
+                    block, settled = row_block, False
                     entries.append((file, block, open_at, chunk_id))
-                if not settled and row.upto > open_at + limit:
-                    open_at, chunk_id, settled = int(row.exit_open), chunk_id + int(row.closed), True
-            yield pd.DataFrame(entries, columns=["file", "block", "entry_open", "entry_id"])
+                if not settled and upto > open_at + limit:
+                    open_at, chunk_id, settled = exit_open, chunk_id + closed, True
+            yield pd.DataFrame(entries, columns=columns)
 
     return follow
 
@@ -140,14 +176,23 @@ def _walk(limit: int):
     return walk
 
 
-def chunk_spans(lines: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
+def chunk_spans(lines: DataFrame, limit: int = CHUNK_BYTES, sizes_path: str | None = None) -> DataFrame:
     """Pieces of chunks: (file, block, chunk_id, first_line, last_line, line_count, size_bytes).
 
     A chunk that crosses a block boundary has one piece per block. Ids count from 0 in each file.
+    Line sizes are needed twice when files have several blocks; `sizes_path` names a place to write
+    them to (a few bytes per line), so that the text is read once.
     """
-    sizes = lines.select("file", "block", "block_off", "line_no", "n_bytes")
-    continued = sizes.filter("block_off > 0").select("file").distinct()
-    tables = sizes.join(continued, "file", "left_semi").groupBy("file", "block").applyInPandas(_summarize(limit), _TABLE)
+    sizes = lines.select("file", "block", "block_off", "blocks", "line_no", "n_bytes")
+    if sizes_path:
+        sizes.write.mode("overwrite").parquet(sizes_path)
+        sizes = lines.sparkSession.read.schema(sizes.schema).parquet(sizes_path)
+    tables = (
+        sizes.filter("blocks > 1")
+        .repartition("file", "block")
+        .sortWithinPartitions("file", "block", "line_no")
+        .mapInPandas(_summarize(limit), _TABLE)
+    )
     entries = (
         tables.repartition("file").sortWithinPartitions("file", "block", "upto").mapInPandas(_follow(limit), _ENTRY)
     )
@@ -179,9 +224,9 @@ def assign_chunks(lines: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def chunk_next_fit(lines: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
+def chunk_next_fit(lines: DataFrame, limit: int = CHUNK_BYTES, sizes_path: str | None = None) -> DataFrame:
     """Lines with the `chunk_id` of the sequential rule."""
-    return assign_chunks(lines, chunk_spans(lines, limit))
+    return assign_chunks(lines, chunk_spans(lines, limit, sizes_path))
 
 
 def chunk_budget(lines: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
@@ -226,17 +271,11 @@ def chunk_type_of(file_type: Column) -> Column:
 def chunk_json_items(items: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
     """Fixed-count slices of JSON array elements.
 
-    `items` is (file, pos, dumped) with the re-serialized element text. A chunk holds
-    max(1, n * limit // total) elements, total being the size of the re-serialized array: element
-    sizes plus two bytes for each separator and for the brackets.
+    `items` is the output of `explode_json_files(dumped=True)`. A chunk holds
+    max(1, n * limit // total) elements, total being the size of the re-serialized array.
     """
-    size = F.octet_length("dumped").cast("long")
-    totals = items.groupBy("file").agg(F.count("*").alias("_n"), (F.sum(size) + 2 * F.count("*")).alias("_total"))
-    per_chunk = F.greatest(F.lit(1).cast("long"), F.expr(f"_n * {int(limit)}L div _total"))
-    return (
-        items.join(totals.select("file", per_chunk.alias("items_per_chunk")), "file")
-        .withColumn("chunk_id", F.expr("pos div items_per_chunk"))
-    )
+    per_chunk = F.greatest(F.lit(1).cast("long"), F.expr(f"n_items * {int(limit)}L div total_bytes"))
+    return items.withColumn("items_per_chunk", per_chunk).withColumn("chunk_id", F.expr("pos div items_per_chunk"))
 
 
 def json_chunk_metadata(chunked: DataFrame) -> DataFrame:

@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions.json_values import entry_problem, field_text
 from tidelog.operators.dedup import successful
-from tidelog.operators.parse import model_entries
+from tidelog.operators.parse import listed_entries, model_entries
 from tidelog.operators.validate import valid_entries
-from tidelog.functions.json_values import field_text
 from tidelog.schema import CHUNK_RESULT_SCHEMA, LOG_FIELDS
 
 Scorer = Callable[[str], tuple[str, int]]
@@ -110,13 +110,17 @@ def answers_to_entries(answers: DataFrame) -> DataFrame:
 
 
 def answers_to_results(answers: DataFrame) -> DataFrame:
-    """Chunk results: lines in, valid records out, tokens, time, success, error."""
-    counted = answers_to_entries(answers).groupBy("file", "chunk_id").agg(F.count("*").alias("_n"))
-    return answers.join(counted, ["file", "chunk_id"], "left").select(
+    """Chunk results: lines in, valid records out, tokens, time, success, error.
+
+    Counts inside each row, so the scorer runs once. Write the answers to a table first when both
+    results and entries are wanted.
+    """
+    valid = F.filter(listed_entries(F.col("response")), lambda entry: entry_problem(entry).isNull())
+    return answers.select(
         "file",
         "chunk_id",
         F.col("line_count").alias("original_line_count"),
-        F.coalesce("_n", F.lit(0)).cast("long").alias("cleaned_line_count"),
+        F.when(F.col("success"), F.coalesce(F.size(valid), F.lit(0))).otherwise(0).cast("long").alias("cleaned_line_count"),
         "processing_time_seconds",
         "tokens_used",
         "success",

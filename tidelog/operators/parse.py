@@ -1,38 +1,96 @@
-"""Turn JSON documents and text lines into one struct of standard fields."""
+"""Turn JSON and text lines into raw standard fields, and a scorer's answers into entries."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.functions import fields as R
-from tidelog.functions.json_values import as_list, is_object, parse_json
+from tidelog.functions.json_values import as_list, parse_json
 from tidelog.functions.text import strip
-from tidelog.schema import LOG_FIELDS
 
 _SEP = "\x01"
 
 _TIME = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?(?: ?(?:Z|[+-]\d{2}:?\d{2}))?"
 _WORD = r"[A-Za-z]{3,11}"
 
-# Line layouts, tried in this order. Each has the captures its record is built from.
-ISO_LINE = rf"^({_TIME})\s+\[?({_WORD})\]?:?\s+(?:\[([^\]]+)\]:?\s+)?(.+)$"
-BRACKET_LINE = rf"^\[({_TIME})\]\s+\[?({_WORD})\]?:?\s+(?:([A-Za-z0-9_./-]+):\s+)?(.+)$"
-SYSLOG_LINE = r"^<(\d{1,3})>([A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}) (\S+) ([A-Za-z0-9_./-]+)(?:\[\d+\])?: (.+)$"
-SYSLOG_5424_LINE = r"^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (?:-|\[[^\]]*\]) ?(.+)$"
-ACCESS_LINE = r'^(\S+) \S+ (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) \S+.*$'
+# Line layouts: a pattern for the whole line, and the fields its captures hold, in order.
+LAYOUTS = {
+    "iso": (rf"^({_TIME})\s+\[?({_WORD})\]?:?\s+(?:\[([^\]]+)\]:?\s+)?(.+)$", ("timestamp", "level", "service", "message")),
+    "bracket": (
+        rf"^\[({_TIME})\]\s+\[?({_WORD})\]?:?\s+(?:([A-Za-z0-9_./-]+):\s+)?(.+)$",
+        ("timestamp", "level", "service", "message"),
+    ),
+    "syslog": (
+        r"^<(\d{1,3})>([A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}) \S+ ([A-Za-z0-9_./-]+)(?:\[\d+\])?: (.+)$",
+        ("priority", "timestamp", "service", "message"),
+    ),
+    "syslog5424": (
+        r"^<(\d{1,3})>1 (\S+) \S+ (\S+) \S+ \S+ (?:-|\[[^\]]*\]) ?(.+)$",
+        ("priority", "timestamp", "service", "message"),
+    ),
+    "access": (
+        r'^([^\s\x01]+) \S+ (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) \S+.*$',
+        ("client", "user", "timestamp", "request", "status"),
+    ),
+}
+
+_KEY_VALUE = {
+    "timestamp": ("ts", "time", "timestamp"),
+    "level": ("level", "lvl", "severity"),
+    "message": ("msg", "message", "event"),
+    "service": ("service", "app", "logger", "component"),
+}
+
+_JSON_SHAPE = T.ArrayType(
+    T.StructType([T.StructField(name, T.StringType()) for names in R.ALIASES.values() for name in names])
+)
+
+
+def _tag(line: Column, layout: str) -> Column:
+    """The line rewritten as separator, layout, captures if the layout fits, else as it was."""
+    pattern, names = LAYOUTS[layout]
+    captures = "".join(f"{_SEP}${n}" for n in range(1, len(names) + 1))
+    return F.regexp_replace(line, pattern, f"{_SEP}{layout}{captures}")
+
+
+def _tag_by_start(line: Column) -> Column:
+    """Tries the one layout that the beginning of the line allows."""
+    newer_syslog = F.contains(F.left(line, F.lit(7)), F.lit(">1 "))
+    return (
+        F.when(line.startswith("["), _tag(line, "bracket"))
+        .when(line.startswith("<"), F.when(newer_syslog, _tag(line, "syslog5424")).otherwise(_tag(line, "syslog")))
+        .when(F.ascii(line).between(ord("0"), ord("9")), _tag(line, "iso"))
+        .otherwise(line)
+    )
+
+
+def _tag_access(line: Column) -> Column:
+    """Access-log lines begin with any host; the quoted request tells them apart cheaply."""
+    return F.when(F.contains(line, F.lit('] "')), _tag(line, "access")).otherwise(line)
 
 
-def _captures(line: Column, pattern: str, count: int) -> Column:
-    """All captures of an anchored pattern as an array, with one pass of the regular expression."""
-    return F.split(F.regexp_replace(line, pattern, _SEP.join(f"${n}" for n in range(1, count + 1))), _SEP)
+def _capture(name: str) -> Column:
+    """The capture that holds a field, whatever the layout."""
+    value = F.when(F.lit(False), F.lit(""))
+    for layout, (_, names) in LAYOUTS.items():
+        if name in names:
+            value = value.when(F.col("layout") == layout, F.get("_parts", names.index(name) + 2))
+    return value
 
 
-def _key_value(line: Column, *keys: str) -> Column:
-    names = "|".join(keys)
-    return F.coalesce(
-        R.first_match(line, rf'(?:^|\s)(?:{names})="([^"]*)"'), R.first_match(line, rf"(?:^|\s)(?:{names})=([^\s\"]+)")
+def _key_value(name: str) -> Column:
+    keys = "|".join(_KEY_VALUE[name])
+    line = F.col("_line")
+    found = F.coalesce(
+        R.first_match(line, rf'(?:^|\s)(?:{keys})="([^"]*)"'), R.first_match(line, rf"(?:^|\s)(?:{keys})=([^\s\"]+)")
     )
+    return F.when(F.col("layout") == "key_value", found)
+
+
+def _json_value(name: str) -> Column:
+    return F.coalesce(*[F.nullif(F.col("_json").getField(alias), F.lit("")) for alias in R.ALIASES[name]])
 
 
 def _severity(priority: Column) -> Column:
@@ -46,119 +104,93 @@ def _severity(priority: Column) -> Column:
     )
 
 
-def _record(layout: str, timestamp: Column, level: Column, message: Column, service: Column, ip: Column, user: Column, request: Column) -> Column:
-    values = {
-        "timestamp": timestamp,
-        "level": level,
-        "message": message,
-        "service": service,
-        "user_id": user,
-        "request_id": request,
-        "source_ip": ip,
-    }
-    return F.struct(F.lit(layout).alias("layout"), *[values[name].alias(name) for name in LOG_FIELDS])
-
-
-def text_record(line: Column) -> Column:
-    """Struct of raw standard fields of a text line; NULL when no layout fits."""
-    line = strip(line)
-    context = (R.source_ip(line), R.user_id(line), R.request_id(line))
-
-    iso = _captures(line, ISO_LINE, 4)
-    bracket = _captures(line, BRACKET_LINE, 4)
-    syslog = _captures(line, SYSLOG_LINE, 5)
-    syslog2 = _captures(line, SYSLOG_5424_LINE, 7)
-    access = _captures(line, ACCESS_LINE, 5)
-    status = F.get(access, 4).try_cast("int")
-    access_level = F.when(status >= 500, F.lit("ERROR")).when(status >= 400, F.lit("WARN")).otherwise(F.lit("INFO"))
-    ip, user, request = context
-    return (
-        F.when(
-            line.rlike(ISO_LINE),
-            _record("iso", F.get(iso, 0), F.get(iso, 1), F.get(iso, 3), R.infer_service([F.get(iso, 2)], line), *context),
-        )
-        .when(
-            line.rlike(BRACKET_LINE),
-            _record(
-                "bracket", F.get(bracket, 0), F.get(bracket, 1), F.get(bracket, 3),
-                R.infer_service([F.get(bracket, 2)], F.get(bracket, 3)), *context,
-            ),
-        )
-        .when(
-            line.rlike(SYSLOG_LINE),
-            _record("syslog", F.get(syslog, 1), _severity(F.get(syslog, 0)), F.get(syslog, 4), F.get(syslog, 3), *context),
-        )
-        .when(
-            line.rlike(SYSLOG_5424_LINE),
-            _record("syslog5424", F.get(syslog2, 1), _severity(F.get(syslog2, 0)), F.get(syslog2, 6), F.get(syslog2, 3), *context),
-        )
-        .when(
-            line.rlike(ACCESS_LINE),
-            _record(
-                "access", F.get(access, 2), access_level,
-                F.concat_ws(" ", F.get(access, 3), F.get(access, 4)),
-                R.infer_service([], F.get(access, 3)), R.source_ip(F.get(access, 0)),
-                F.coalesce(user, F.nullif(F.get(access, 1), F.lit("-"))), request,
-            ),
-        )
-        .when(
-            line.rlike(r"(?:^|\s)(?:level|lvl|severity)=\S"),
-            _record(
-                "key_value", _key_value(line, "ts", "time", "timestamp"), _key_value(line, "level", "lvl", "severity"),
-                _key_value(line, "msg", "message", "event"),
-                R.infer_service([_key_value(line, "service", "app", "logger", "component")], line), *context,
-            ),
-        )
-    )
-
-
-def json_record(doc: Column, raw: Column) -> Column:
-    """Struct of raw standard fields of a JSON object; NULL for other values."""
-    context = R.json_field(doc, "message")
-    return F.when(
-        is_object(doc),
-        _record(
-            "json", R.json_field(doc, "timestamp"), R.json_field(doc, "level"), context,
-            R.infer_service([R.json_field(doc, "service")], context),
-            F.coalesce(R.json_field(doc, "source_ip"), R.source_ip(context)),
-            F.coalesce(R.json_field(doc, "user_id"), R.user_id(context)),
-            F.coalesce(R.json_field(doc, "request_id"), R.request_id(context)),
-        ),
-    )
+def _status_level(status: Column) -> Column:
+    code = status.try_cast("int")
+    return F.when(code >= 500, F.lit("ERROR")).when(code >= 400, F.lit("WARN")).when(code.isNotNull(), F.lit("INFO"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Adds the raw standard fields to lines with a `type` column (json, jsonl or text).
 
-    A line that fits nothing has a NULL `layout`; all lineage columns are kept.
+    A line that fits nothing has a NULL `layout`; all lineage columns are kept and the line becomes
+    `raw`. Works in steps, so that each pattern and each JSON parse runs once per line.
     """
-    parsed = lines.withColumn("doc", F.when(F.col("type").isin("json", "jsonl"), parse_json(strip(F.col("line")))))
-    parsed = parsed.withColumn(
-        "_record",
-        F.when(F.col("type").isin("json", "jsonl"), json_record(F.col("doc"), F.col("line"))).otherwise(
-            text_record(F.col("line"))
-        ),
+    keep = [c for c in lines.columns if c != "line"]
+    is_json = F.col("type").isin("json", "jsonl")
+    wrapped = F.from_json(F.concat(F.lit("["), "_line", F.lit("]")), _JSON_SHAPE, {"allowSingleQuotes": "false"})
+
+    split = (
+        lines.select(*keep, F.col("line").alias("raw"), strip(F.col("line")).alias("_line"))
+        .withColumn("_tagged", F.when(~is_json, _tag_by_start(F.col("_line"))))
+        .select(
+            *keep,
+            "raw",
+            "_line",
+            F.when(is_json, wrapped).alias("_wrapped"),
+            F.split(_tag_access(F.col("_tagged")), _SEP).alias("_parts"),
+        )
+    )
+    labelled = split.select(
+        *keep,
+        "raw",
+        "_line",
+        "_parts",
+        F.when(F.size("_wrapped") == 1, F.get("_wrapped", 0)).alias("_json"),
+        F.when((F.size("_wrapped") == 1) & F.col("_line").startswith("{"), F.lit("json"))
+        .when(F.size("_parts") > 2, F.get("_parts", 1))
+        .when(~is_json & F.col("_line").rlike(r"(?:^|\s)(?:level|lvl|severity)=\S"), F.lit("key_value"))
+        .alias("layout"),
+    )
+    request_line = F.concat_ws(" ", _capture("request"), _capture("status"))
+    raw_fields = labelled.select(
+        *keep,
+        "raw",
+        "_line",
+        "layout",
+        F.coalesce(_json_value("timestamp"), _capture("timestamp"), _key_value("timestamp")).alias("timestamp"),
+        F.coalesce(
+            _json_value("level"), _capture("level"), _severity(_capture("priority")), _status_level(_capture("status")), _key_value("level")
+        ).alias("level"),
+        F.coalesce(_json_value("message"), _capture("message"), F.nullif(request_line, F.lit("")), _key_value("message")).alias("message"),
+        F.coalesce(_json_value("service"), _capture("service"), _key_value("service")).alias("_service"),
+        F.coalesce(_json_value("user_id"), F.nullif(_capture("user"), F.lit("-"))).alias("_user"),
+        _json_value("request_id").alias("_request"),
+        F.coalesce(_json_value("source_ip"), R.source_ip(_capture("client"))).alias("_ip"),
     )
-    return parsed.select(
-        *[c for c in lines.columns if c != "line"],
-        F.col("line").alias("raw"),
-        F.col("_record.layout").alias("layout"),
-        *[F.col(f"_record.{name}").alias(name) for name in LOG_FIELDS],
+    known = F.col("layout").isNotNull()
+    context = F.when(F.col("layout").isin("json", "bracket", "access"), F.col("message")).otherwise(F.col("_line"))
+    mentioned = F.when(F.col("layout") == "json", F.col("message")).otherwise(F.col("_line"))
+    return raw_fields.select(
+        *keep,
+        "raw",
+        "layout",
+        "timestamp",
+        "level",
+        "message",
+        F.when(known, R.infer_service([F.col("_service")], context)).alias("service"),
+        F.when(known, F.coalesce("_user", R.user_id(mentioned))).alias("user_id"),
+        F.when(known, F.coalesce("_request", R.request_id(mentioned))).alias("request_id"),
+        F.when(known, F.coalesce("_ip", R.source_ip(mentioned))).alias("source_ip"),
     )
 
 
-def model_entries(responses: DataFrame, text: str = "response") -> DataFrame:
-    """One row per entry of a scorer's JSON answer, with `entry` (VARIANT), `entry_pos` and `raw`.
+def listed_entries(text: Column) -> Column:
+    """Entries of a scorer's JSON answer as an array; NULL when the answer is not JSON.
 
     A leading ```json fence and a trailing ``` are dropped; a single value counts as a list of one.
-    Text that is not JSON gives no entry, so its chunk is a success with zero records.
     """
-    body = strip(F.col(text))
-    body = F.when(body.startswith("```json"), F.substring(body, F.lit(8), F.length(body))).otherwise(body)
-    body = F.when(body.endswith("```"), F.left(body, F.length(body) - 3)).otherwise(body)
+    body = strip(text)
+    body = F.regexp_replace(body, r"^```json|```\z", "")
+    return as_list(parse_json(strip(body)))
+
+
+def model_entries(responses: DataFrame, text: str = "response") -> DataFrame:
+    """One row per entry of a scorer's answer, with `entry` (VARIANT), `entry_pos` and `raw`.
+
+    An answer that is not JSON gives no entry, so its chunk is a success with zero records.
+    """
     keep = [c for c in responses.columns if c != text]
     return (
-        responses.select(*keep, parse_json(strip(body)).alias("_doc"))
-        .select(*keep, F.posexplode(as_list(F.col("_doc"))).alias("_at", "entry"))
+        responses.select(*keep, F.posexplode(listed_entries(F.col(text))).alias("_at", "entry"))
         .select(*keep, F.col("_at").cast("long").alias("entry_pos"), "entry", F.to_json("entry").alias("raw"))
     )

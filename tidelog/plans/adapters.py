@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.ordering import block_totals
 from tidelog.schema import VALID_LEVELS
 from tidelog.sources.files import explode_lines
 
@@ -185,16 +184,25 @@ def source_lines(spark: SparkSession, directory: str) -> DataFrame:
             n_lines.cast("long").alias("_n"), n_bytes.cast("long").alias("_b"),
         )
     )
-    before = block_totals(docs, ["source"], "run_of_docs", lines=F.col("_n"), bytes=F.col("_b"))
+    runs = docs.groupBy("source", "run_of_docs").agg(F.sum("_n").alias("_n"), F.sum("_b").alias("_b"))
+    earlier = Window.partitionBy("source").orderBy("run_of_docs").rowsBetween(Window.unboundedPreceding, -1)
+    before = runs.select(
+        "source",
+        "run_of_docs",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("lines_before"),
+        F.coalesce(F.sum("_b").over(earlier), F.lit(0)).alias("bytes_before"),
+        F.count("*").over(Window.partitionBy("source")).alias("runs"),
+    )
     inside = Window.partitionBy("source", "run_of_docs").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.withColumn("_lines_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(before, ["source", "run_of_docs"])
     lines = explode_lines(
-        placed, "doc_id", "text", keep=("source", "run_of_docs", "_lines_in", "lines_before", "bytes_before")
+        placed, "doc_id", "text", keep=("source", "run_of_docs", "_lines_in", "lines_before", "bytes_before", "runs")
     )
     return lines.select(
         F.col("source").alias("file"),
         F.col("run_of_docs").alias("block"),
         F.col("bytes_before").alias("block_off"),
+        F.col("runs").alias("blocks"),
         (F.col("lines_before") + F.col("_lines_in") + F.col("line_no")).alias("line_no"),
         "line",
         (F.octet_length("line") + 1).cast("long").alias("n_bytes"),

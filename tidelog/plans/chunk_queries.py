@@ -20,6 +20,7 @@ from tidelog.plans.adapters import (
 from tidelog.plans.files_queries import json_documents
 from tidelog.plans.registry import query
 from tidelog.sources.files import explode_json_files, explode_lines
+from tidelog.sources.scratch import scratch_path
 
 LIMIT = 600
 SOURCE_LIMIT = 20_000
@@ -62,7 +63,8 @@ def chunk_next_fit(spark: SparkSession, directory: str) -> DataFrame:
 )
 def chunk_next_fit_long_files(spark: SparkSession, directory: str) -> DataFrame:
     """Whole sources as files: many blocks per file, chunks that cross blocks."""
-    return C.chunk_next_fit(source_lines(spark, directory), SOURCE_LIMIT).select("file", "line_no", "chunk_id")
+    lines = source_lines(spark, directory)
+    return C.chunk_next_fit(lines, SOURCE_LIMIT, scratch_path(spark, "sizes")).select("file", "line_no", "chunk_id")
 
 
 @query(

@@ -237,8 +237,9 @@ def detect_formats(spark: SparkSession, path: str, compat: bool = False, glob: s
 
 # --- lines --------------------------------------------------------------------------------------
 #
-# Line frames have (file, block, block_off, line_no, line, n_bytes): `block` cuts a file into
-# contiguous bounded pieces, `block_off` is the number of bytes before the piece.
+# Line frames have (file, block, block_off, blocks, line_no, line, n_bytes): `block` cuts a file into
+# contiguous bounded pieces, `block_off` is the number of bytes before the piece, `blocks` the number
+# of pieces of the file.
 
 
 def text_rows(reader, path: str | list[str], glob: str = ACCEPTED_GLOB) -> DataFrame:
@@ -273,7 +274,8 @@ def number_rows(rows: DataFrame) -> DataFrame:
     )
     raw = (
         rows.select("file", "block", "file_size", value.endswith("\r").alias("_carriage"), pieces.alias("_pieces"))
-        .select("file", "block", "file_size", "_carriage", F.size("_pieces").alias("_n"), F.posexplode("_pieces").alias("_at", "line"))
+        .withColumn("_n", F.size("_pieces"))
+        .select("file", "block", "file_size", "_carriage", "_n", F.posexplode("_pieces").alias("_at", "line"))
         .select(
             "file",
             "block",
@@ -303,12 +305,14 @@ def number_rows(rows: DataFrame) -> DataFrame:
         "_first_seq",
         F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_lines_before"),
         F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("block_off"),
+        F.count("*").over(whole).alias("blocks"),
         F.when(is_last & unterminated, F.col("_first_seq") + F.col("_lines") - 1).alias("_open_seq"),
     )
     return raw.join(offsets, ["file", "block"]).select(
         "file",
         "block",
         "block_off",
+        "blocks",
         (F.col("_seq") - F.col("_first_seq") + F.col("_lines_before") + 1).alias("line_no"),
         "line",
         (size - F.coalesce((F.col("_seq") == F.col("_open_seq")).cast("long"), F.lit(0))).alias("n_bytes"),
@@ -335,12 +339,14 @@ def explode_lines(files: DataFrame, file: str, content: str, keep: Sequence[str]
     return (
         staged.filter(F.length("_text") > 0)
         .select("file", *keep, ended.alias("_ended"), F.split(body, "\n").alias("_parts"))
-        .select("file", *keep, "_ended", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("_at", "line"))
+        .withColumn("_n", F.size("_parts"))
+        .select("file", *keep, "_ended", "_n", F.posexplode("_parts").alias("_at", "line"))
         .select(
             "file",
             *keep,
             F.lit(0).cast("long").alias("block"),
             F.lit(0).cast("long").alias("block_off"),
+            F.lit(1).cast("long").alias("blocks"),
             (F.col("_at") + 1).cast("long").alias("line_no"),
             "line",
             (F.octet_length("line") + F.when(unterminated, 0).otherwise(1)).cast("long").alias("n_bytes"),
@@ -369,24 +375,39 @@ def explode_json_files(files: DataFrame, file: str, content: str, dumped: bool =
 
     `problem` is set (and `doc` NULL) for a file that is not JSON. Elements are parsed one by one,
     so the size of a file is not limited by the size of a single VARIANT. dumped=True adds the
-    element text with ', ' and ': ' separators and ASCII escapes.
+    element text with ', ' and ': ' separators and ASCII escapes, the number of elements and the
+    size of the whole re-serialized array (two bytes per separator and for the brackets), all
+    computed before the array is exploded.
     """
     body = F.col(content)
-    staged = files.select(
+    parsed = files.select(
         F.col(file).cast("string").alias("file"),
-        F.coalesce(parse_json_array(body), as_list(parse_json(strip(body)))).alias("_items"),
+        F.coalesce(parse_json_array(body), as_list(parse_json(strip(body)))).alias("_docs"),
     )
-    items = staged.select("file", F.col("_items").isNull().alias("_bad"), F.posexplode_outer("_items").alias("_at", "doc"))
-    rows = items.filter(F.col("_bad") | F.col("_at").isNotNull()).select(
+    extra = []
+    if dumped:
+        sizes = F.transform("_dumped", lambda item: F.octet_length(item).cast("long"))
+        parsed = parsed.withColumn("_dumped", dumps(F.transform("_docs", lambda doc: F.to_json(doc)))).select(
+            "file",
+            F.arrays_zip(F.col("_docs").alias("doc"), F.col("_dumped").alias("dumped")).alias("_items"),
+            F.size("_docs").cast("long").alias("n_items"),
+            F.aggregate(sizes, F.lit(0).cast("long"), lambda total, size: total + size + 2).alias("total_bytes"),
+        )
+        extra = [F.col("_item.dumped").alias("dumped"), "n_items", "total_bytes"]
+    else:
+        parsed = parsed.select("file", F.transform("_docs", lambda doc: F.struct(doc.alias("doc"))).alias("_items"))
+    staged = parsed.withColumn("_bad", F.col("_items").isNull())
+    # Only scalars are carried along when an array is exploded.
+    carried = [c for c in staged.columns if c != "_items"]
+    items = staged.select(*carried, F.posexplode_outer("_items").alias("_at", "_item"))
+    return items.filter(F.col("_bad") | F.col("_at").isNotNull()).select(
         "file",
         F.col("_at").cast("long").alias("pos"),
-        "doc",
-        F.variant_get("doc", "$", "string").alias("raw"),
+        F.col("_item.doc").alias("doc"),
+        F.variant_get("_item.doc", "$", "string").alias("raw"),
         F.when(F.col("_bad"), F.lit("Invalid JSON file")).alias("problem"),
+        *extra,
     )
-    if dumped:
-        rows = rows.withColumn("dumped", dumps(F.to_json("doc")))
-    return rows
 
 
 def scan_json_files(spark: SparkSession, path: str | list[str], glob: str = "*.json", dumped: bool = False) -> DataFrame:
