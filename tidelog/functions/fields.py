@@ -68,7 +68,9 @@ def parse_time(text: Column, default_year: int | None = None) -> Column:
     # With the shape known, fixed positions and plain replacements give text that casts directly.
     clock = F.translate(F.substring(body, F.lit(12), F.length(body)), ", ", ".")
     zone = F.when(clock.endswith("Z") | F.contains(clock, F.lit("+")) | F.contains(clock, F.lit("-")), "").otherwise("Z")
-    iso = F.concat(F.left(body, F.lit(10)), F.lit("T"), F.when(clock == "", "00:00:00").otherwise(clock), zone)
+    seconds = F.when(F.substring(clock, 6, 1) == ":", "").otherwise(":00")
+    filled = F.when(clock == "", "00:00:00").otherwise(F.concat(F.left(clock, F.lit(5)), seconds, F.substring(clock, 6, 40)))
+    iso = F.concat(F.left(body, F.lit(10)), F.lit("T"), filled, zone)
     parsed = (
         F.when(body.rlike(_ISO_SHAPE), iso.try_cast("timestamp"))
         .when(body.rlike(r"^\d{13}$"), F.timestamp_millis(body.try_cast("long")))

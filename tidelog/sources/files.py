@@ -15,7 +15,7 @@ from tidelog.functions.json_values import as_list, dumps, loads_ok, parse_json,
 from tidelog.functions.text import strip, unix_newlines
 
 # Accepted extensions, size limit, sniffing window.
-ACCEPTED_GLOB = "*.{json,jsonl,log,txt}"
+EXTENSIONS = ("json", "jsonl", "log", "txt")
 MAX_FILE_BYTES = 500 * 1024 * 1024
 SNIFF_CHARS = 1000
 SNIFF_LINES = 5
@@ -25,24 +25,33 @@ MIN_JSON_LINES = 2
 SUFFIX_FORMATS = {".jsonl": "jsonl", ".json": "json", ".log": "plain_text"}
 
 
+# The accepted names as a path filter, in any letter case.
+ACCEPTED_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in name) for name in EXTENSIONS) + "}"
+
+
 # --- manifest -----------------------------------------------------------------------------------
 
 
-def list_directory(spark: SparkSession, path: str, glob: str = ACCEPTED_GLOB) -> DataFrame:
-    """One row per accepted file, from the listing alone (file contents are not read)."""
-    listing = (
+def list_directory(spark: SparkSession, path: str, glob: str = ACCEPTED_GLOB, include_empty: bool = False) -> DataFrame:
+    """One row per accepted file, from the listing alone (file contents are not read).
+
+    Spark leaves files of zero bytes out of a scan; include_empty=True adds them from the names the
+    driver has listed anyway, with no upload time.
+    """
+    found = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select("path", "length", "modificationTime")
-    )
-    return listing.select(
-        F.col("path"),
-        F.element_at(F.split("path", "/"), -1).alias("original_name"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("upload_time"),
     )
+    listing = found.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("upload_time"))
+    if include_empty:
+        every = spark.createDataFrame([(name,) for name in found.inputFiles()], "path string")
+        # Listed names are URIs ("file:///a"), scanned paths are not ("file:/a").
+        every = every.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+        empty = every.join(listing, "path", "left_anti")
+        listing = listing.unionByName(empty.withColumn("size_bytes", F.lit(0).cast("long")), allowMissingColumns=True)
+    return listing.select("path", F.element_at(F.split("path", "/"), -1).alias("original_name"), "size_bytes", "upload_time")
 
 
 def make_file_id(upload_time: Column, name: Column) -> Column:
@@ -92,7 +101,7 @@ def quarantined(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
 
 def accepts_name(name: Column) -> Column:
     """Column form of the accept glob."""
-    return F.lower(name).rlike(r"\.(json|jsonl|log|txt)$")
+    return F.lower(name).rlike(rf"\.({'|'.join(EXTENSIONS)})$")
 
 
 def last_upload_wins(files: DataFrame) -> DataFrame:

@@ -12,6 +12,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below `spark.checkpoint.dir`; a local folder only when the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-"))
+        root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/tidelog/{label}-{uuid.uuid4().hex}"
