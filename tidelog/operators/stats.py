@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.text import per_call, ratio
 from tidelog.operators.dedup import one_row
-from tidelog.operators.retrieve import TOP_SERVICES, first_services, top_services
+from tidelog.operators.retrieve import TOP_SERVICES
 
 
 def total_count(records: DataFrame) -> DataFrame:
@@ -52,25 +52,29 @@ def statistic_rows(records: DataFrame) -> DataFrame:
 def statistics(records: DataFrame, storage_type: str = "table", services_by_name: bool = False) -> DataFrame:
     """One row: total, level map, up to ten services, time range; zero and NULLs for an empty store.
 
-    Levels are few by validation and services are cut to ten before they are collected, so the row
-    stays small whatever the store holds. `services_by_name` lists the first services by name.
+    The records are read once. Services are ranked and cut to ten on the way, in parallel; levels
+    are few by validation; so the single row at the end is assembled from a handful of rows.
+    `services_by_name` lists the first services by name instead of the largest.
     """
-    totals = records.agg(
-        F.count("*").alias("total_logs"), F.min("timestamp").alias("earliest"), F.max("timestamp").alias("latest")
-    )
-    levels = count_by_level(records, "UNKNOWN").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "n")))).alias("level_distribution")
-    )
-    chosen = (first_services if services_by_name else top_services)(records, TOP_SERVICES)
-    rank = F.struct((-F.col("n")).alias("rank"), F.col("service"), F.col("n"))
-    if services_by_name:
-        rank = F.struct(F.lit(0).alias("rank"), F.col("service"), F.col("n"))
-    services = chosen.agg(
-        F.transform(
-            F.array_sort(F.collect_list(rank)), lambda x: F.struct(x["service"].alias("service"), x["n"].alias("n"))
-        ).alias("top_services")
-    )
-    return one_row(totals, levels, services).withColumn("storage_type", F.lit(storage_type))
+    named = records.withColumn("level", F.coalesce("level", F.lit("UNKNOWN")))
+    rows = statistic_rows(named)
+    # Every level is its own partition of the ranking, all services share one.
+    alone = F.when(F.col("dimension") == "level", F.col("key"))
+    by_size = [] if services_by_name else [F.desc("n")]
+    ranking = Window.partitionBy("dimension", alone).orderBy(*by_size, F.asc_nulls_first("key"))
+    kept = rows.withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= TOP_SERVICES)
+
+    def of(dimension: str, value: Column) -> Column:
+        return F.when(F.col("dimension") == dimension, value)
+
+    services = F.array_sort(F.collect_list(of("service", F.struct("rank", F.col("key").alias("service"), "n"))))
+    return kept.agg(
+        F.coalesce(F.max(of("total", F.col("n"))), F.lit(0)).alias("total_logs"),
+        F.max(of("total", F.col("earliest"))).alias("earliest"),
+        F.max(of("total", F.col("latest"))).alias("latest"),
+        F.map_from_entries(F.array_sort(F.collect_list(of("level", F.struct("key", "n"))))).alias("level_distribution"),
+        F.transform(services, lambda x: F.struct(x["service"].alias("service"), x["n"].alias("n"))).alias("top_services"),
+    ).withColumn("storage_type", F.lit(storage_type))
 
 
 def memory_statistics(records: DataFrame) -> DataFrame:
