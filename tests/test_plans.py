@@ -5,6 +5,7 @@ import re
 import pytest
 
 from tidelog.plans import catalog
+from tidelog.schema import LOG_FIELDS
 
 DIRECTORY = "/root/testdata/sf0.001"
 PYTHON = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
@@ -49,5 +50,26 @@ def test_top_k_and_partial_limits(spark):
     assert "LeftAnti" in plan_of(spark, "dedup_vs_store")
 
 
-def test_statistics_read_the_records_once(spark):
-    assert plan_of(spark, "statistics").count("Scan parquet") == 1
+def test_stored_table_is_read_by_column(spark, tmp_path):
+    from tidelog.operators import dedup, retrieve, stats
+    from tidelog.sources import store
+
+    root = str(tmp_path / "store")
+    fields = "file string, chunk_id long, pos long, " + ", ".join(f"{name} string" for name in LOG_FIELDS)
+    rows = [("f", 0, 0, "t", "ERROR", "m", "api", None, None, None)]
+    for batch in (0, 1):
+        store.merge_batch(spark.createDataFrame(rows, fields), root, "r", batch)
+    records = store.read_store(spark, root)
+
+    def schemas(frame):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        return plan, re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+
+    _, read = schemas(stats.statistics(records))
+    assert sorted(read) == ["level:string,service:string", "timestamp:string"]
+    plan, _ = schemas(stats.statistic_rows(records))
+    assert "SortAggregate" not in plan
+    plan, _ = schemas(retrieve.retrieve(records, 10, "error", "api", stored_as_is=True))
+    assert "EqualTo(level,ERROR)" in plan and "EqualTo(service,api)" in plan
+    plan, _ = schemas(dedup.dedup_vs_store(records.filter("batch_id = 1"), records.filter("batch_id = 0")))
+    assert "ReadSchema: struct<log_hash:string>" in plan and "PartitionFilters: [isnotnull(batch_id" in plan

@@ -21,7 +21,8 @@ TOP_SERVICES = 10
 def level_is(level: str | None, stored_as_is: bool = False) -> Column | None:
     """Filter on the level; an empty argument means no filter.
 
-    Levels compare without regard to case; stored_as_is=True upper-cases only the argument.
+    Levels compare without regard to case. stored_as_is=True upper-cases only the argument; for
+    tables of normalized records that is the same, and Parquet can skip row groups by it.
     """
     if not level:
         return None

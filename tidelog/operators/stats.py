@@ -33,27 +33,28 @@ def time_range(records: DataFrame, skip_blank: bool = False) -> DataFrame:
 
 
 def statistic_rows(records: DataFrame) -> DataFrame:
-    """Level counts, service counts and the grand total in one pass (grouping sets)."""
-    grouped = records.groupingSets([["level"], ["service"], []], "level", "service").agg(
-        F.grouping_id().alias("_set"),
-        F.count("*").alias("n"),
-        F.min("timestamp").alias("earliest"),
-        F.max("timestamp").alias("latest"),
+    """Level counts, service counts and the grand total in one pass (grouping sets).
+
+    Pairs are counted first, so only a few rows per task are expanded into the sets.
+    """
+    pairs = records.groupBy("level", "service").agg(F.count("*").alias("n"))
+    grouped = pairs.groupingSets([["level"], ["service"], []], "level", "service").agg(
+        F.grouping_id().alias("_set"), F.sum("n").alias("n")
     )
     return grouped.select(
         F.when(F.col("_set") == 1, "level").when(F.col("_set") == 2, "service").otherwise("total").alias("dimension"),
         F.when(F.col("_set") == 1, F.col("level")).when(F.col("_set") == 2, F.col("service")).alias("key"),
         "n",
-        "earliest",
-        "latest",
     )
 
 
 def statistics(records: DataFrame, storage_type: str = "table", services_by_name: bool = False) -> DataFrame:
     """One row: total, level map, up to ten services, time range; zero and NULLs for an empty store.
 
-    The records are read once. Services are ranked and cut to ten on the way, in parallel; levels
-    are few by validation; so the single row at the end is assembled from a handful of rows.
+    Counts come from one pass over level and service. Services are ranked and cut to ten on the way,
+    in parallel, and levels are few by validation, so the row at the end is assembled from a handful.
+    The time range is a pass of its own over the timestamps: text extremes inside a grouped
+    aggregate would make Spark sort the records.
     `services_by_name` lists the first services by name instead of the largest.
     """
     named = records.withColumn("level", F.coalesce("level", F.lit("UNKNOWN")))
@@ -68,13 +69,12 @@ def statistics(records: DataFrame, storage_type: str = "table", services_by_name
         return F.when(F.col("dimension") == dimension, value)
 
     services = F.array_sort(F.collect_list(of("service", F.struct("rank", F.col("key").alias("service"), "n"))))
-    return kept.agg(
+    counts = kept.agg(
         F.coalesce(F.max(of("total", F.col("n"))), F.lit(0)).alias("total_logs"),
-        F.max(of("total", F.col("earliest"))).alias("earliest"),
-        F.max(of("total", F.col("latest"))).alias("latest"),
         F.map_from_entries(F.array_sort(F.collect_list(of("level", F.struct("key", "n"))))).alias("level_distribution"),
         F.transform(services, lambda x: F.struct(x["service"].alias("service"), x["n"].alias("n"))).alias("top_services"),
-    ).withColumn("storage_type", F.lit(storage_type))
+    )
+    return one_row(counts, time_range(records)).withColumn("storage_type", F.lit(storage_type))
 
 
 def memory_statistics(records: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def time_range(spark: SparkSession, directory: str) -> DataFrame:
     "statistics_grouping_sets",
     f"""WITH {HASHED} SELECT CASE WHEN grouping(level) = 0 THEN 'level' WHEN grouping(service) = 0 THEN 'service' ELSE 'total' END AS dimension,
   CASE WHEN grouping(level) = 0 THEN level WHEN grouping(service) = 0 THEN service END AS key,
-  count(*) AS n, min("timestamp") AS earliest, max("timestamp") AS latest FROM survivors GROUP BY GROUPING SETS ((level), (service), ())""",
+  count(*) AS n FROM survivors GROUP BY GROUPING SETS ((level), (service), ())""",
 )
 def statistics_grouping_sets(spark: SparkSession, directory: str) -> DataFrame:
     return A.statistic_rows(survivors(spark, directory))
