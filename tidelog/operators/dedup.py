@@ -25,6 +25,11 @@ def processing_errors(results: DataFrame) -> DataFrame:
     return results.filter(~F.col("success")).select("file", "chunk_id", "error")
 
 
+def skip_failed(records: DataFrame, results: DataFrame) -> DataFrame:
+    """Records of the chunks that succeeded."""
+    return records.join(successful(results).select("file", "chunk_id"), ["file", "chunk_id"], "left_semi")
+
+
 def with_hash(records: DataFrame, fields: Sequence[str] = HASH_FIELDS) -> DataFrame:
     return records.withColumn("log_hash", log_hash(fields))
 
@@ -57,6 +62,16 @@ def dedup_vs_store(records: DataFrame, stored: DataFrame) -> DataFrame:
     return records.join(stored.select("log_hash"), "log_hash", "left_anti")
 
 
+def dedup_small_vs_store(records: DataFrame, stored: DataFrame) -> DataFrame:
+    """The same for a batch that is small next to the store (persist it first, it is read twice).
+
+    The stored hashes are first reduced to those that occur in the batch. When the batch is small
+    enough to be broadcast, Spark only scans the hash column and does not shuffle it.
+    """
+    known = stored.select("log_hash").join(records.select("log_hash"), "log_hash", "left_semi")
+    return records.join(known, "log_hash", "left_anti")
+
+
 def storable() -> Column:
     """Whether the NOT NULL columns of the store have values."""
     checks = [F.col(name).isNotNull() for name in REQUIRED_FIELDS]

@@ -60,11 +60,12 @@ def accept_glob(spark: SparkSession, directory: str) -> DataFrame:
     return files.filter(S.accepts_name(F.col("original_name"))).select("path", "original_name")
 
 
-@query("manifest_lookup", _MANIFEST_SQL + "SELECT * FROM manifest WHERE file_id = '20240101_000647_doc-11.JSON_' || left(md5('docs/11'), 8)")
+_KNOWN_FILE = "20240101_000647_doc-11.JSON_3cdc2e36"
+
+
+@query("manifest_lookup", _MANIFEST_SQL + f"SELECT * FROM manifest WHERE file_id = '{_KNOWN_FILE}'")
 def manifest_lookup(spark: SparkSession, directory: str) -> DataFrame:
-    files = S.manifest(document_files(spark, directory))
-    wanted = files.filter("path = 'docs/11'").select("file_id")
-    return _shown(files.join(wanted, "file_id", "left_semi"))
+    return _shown(S.find_file(S.manifest(document_files(spark, directory)), _KNOWN_FILE))
 
 
 @query("list_files", _MANIFEST_SQL + "SELECT file_id, upload_time FROM manifest ORDER BY upload_time, file_id")

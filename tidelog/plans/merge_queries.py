@@ -90,6 +90,25 @@ def dedup_vs_store(spark: SparkSession, directory: str) -> DataFrame:
     return D.dedup_vs_store(unique, stored).select("event_id", "log_hash")
 
 
+@query(
+    "dedup_small_vs_store",
+    f"WITH {HASHED}, {_STORED_SQL} SELECT event_id, log_hash FROM survivors WHERE log_hash NOT IN (SELECT log_hash FROM stored)",
+)
+def dedup_small_vs_store(spark: SparkSession, directory: str) -> DataFrame:
+    unique = survivors(spark, directory)
+    stored = unique.filter(F.col("timestamp") < CUTOVER)
+    return D.dedup_small_vs_store(unique, stored).select("event_id", "log_hash")
+
+
+@query(
+    "records_of_good_chunks",
+    f"WITH {HASHED}, {RESULTS} SELECT event_id FROM hashed WHERE chunk_id IN (SELECT chunk_id FROM results WHERE success)",
+)
+def records_of_good_chunks(spark: SparkSession, directory: str) -> DataFrame:
+    results = chunk_results(event_records(spark, directory))
+    return D.skip_failed(hashed_events(spark, directory), results).select("event_id")
+
+
 @query(
     "reject_unstorable",
     f"""WITH {ELOG} SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'timestamp is null' WHEN 1 THEN 'level is null' ELSE 'message is null' END AS reject_reason
@@ -132,7 +151,7 @@ def merge_stats(spark: SparkSession, directory: str) -> DataFrame:
     hashed = hashed_events(spark, directory)
     results = chunk_results(event_records(spark, directory))
     stored = D.distinct_hashes(hashed.filter(F.col("timestamp") < CUTOVER))
-    return D.merge_stats(results, hashed.filter("chunk_id % 10 <> 3"), stored)
+    return D.merge_stats(results, D.skip_failed(hashed, results), stored)
 
 
 @query(

@@ -8,12 +8,21 @@ writer at a time.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators.clean import emit_json
-from tidelog.operators.dedup import dedup_first_wins, dedup_vs_store, storable_records, tag_lineage, with_hash
+from tidelog.operators.dedup import (
+    dedup_first_wins,
+    dedup_small_vs_store,
+    dedup_vs_store,
+    storable_records,
+    tag_lineage,
+    with_hash,
+)
 from tidelog.schema import LINEAGE, STORE_SCHEMA
 
 _DATA_COLUMNS = [name for name in STORE_SCHEMA.fieldNames() if name not in ("run", "batch_id")]
@@ -53,22 +62,31 @@ def write_batch(records: DataFrame, root: str, run: str, batch_id: int) -> None:
     )
 
 
-def new_records(records: DataFrame, stored: DataFrame, order=LINEAGE) -> DataFrame:
-    """Records of a batch that belong in the table."""
-    unique = dedup_first_wins(with_hash(records), order)
-    return dedup_vs_store(storable_records(unique), stored)
+def unique_records(records: DataFrame, order: Sequence[str] = LINEAGE) -> DataFrame:
+    """First record of each hash, without those the NOT NULL columns refuse."""
+    return storable_records(dedup_first_wins(with_hash(records), order))
 
 
-def merge_batch(records: DataFrame, root: str, run: str, batch_id: int) -> None:
+def merge_batch(records: DataFrame, root: str, run: str, batch_id: int, small: bool = False) -> None:
     """Deduplicate records against themselves and the table, and store the rest.
 
     Needs file, chunk_id, pos and the standard fields; `raw_data` is generated when absent.
+    small=True suits batches that are small next to the store: the batch is kept while its hashes
+    are looked up, and the stored hashes are scanned instead of shuffled.
     """
     spark = records.sparkSession
     stored = stored_before(open_store(spark, root), run, batch_id)
     if "raw_data" not in records.columns:
         records = emit_json(records)
-    write_batch(tag_lineage(new_records(records, stored), run, batch_id), root, run, batch_id)
+    unique = unique_records(records)
+    if not small:
+        write_batch(tag_lineage(dedup_vs_store(unique, stored), run, batch_id), root, run, batch_id)
+        return
+    unique = unique.persist()
+    try:
+        write_batch(tag_lineage(dedup_small_vs_store(unique, stored), run, batch_id), root, run, batch_id)
+    finally:
+        unique.unpersist()
 
 
 def with_store_tags(records: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def merge_stream(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(to_records(batch) if to_records else batch, root, run, batch_id)
+        merge_batch(to_records(batch) if to_records else batch, root, run, batch_id, small=True)
 
     return (
         stream.writeStream.foreachBatch(store)
