@@ -6,7 +6,16 @@ from pyspark.sql import functions as F
 from tidelog.operators import clean, retrieve, runs, stats
 from tidelog.operators import dedup as D
 from tidelog.operators.chunking import chunk_budget, with_block_offsets
-from tidelog.operators.chunkmap import chunk_payloads, infer_chunks, map_chunks, render_prompts, result_records, split_results
+from tidelog.operators.chunkmap import (
+    answers_to_entries,
+    chunk_payloads,
+    infer_chunks,
+    map_chunks,
+    render_prompts,
+    result_records,
+    split_results,
+    unstorable_entries,
+)
 from tidelog.schema import LOG_FIELDS
 from tidelog.sources import store as S
 
@@ -116,7 +125,7 @@ LINES = "file string, block long, line_no long, line string, n_bytes long, type
 
 
 def test_chunk_functions_and_scorers(spark):
-    rows = [("f", 0, n + 1, f"line {n}", 10, "text") for n in range(20)]
+    rows = [("f", 0, n + 1, f"  line {n}\t", 10, "text") for n in range(20)]
     chunked = chunk_budget(with_block_offsets(spark.createDataFrame(rows, LINES)), 50)
 
     def function(chunk):
@@ -182,3 +191,25 @@ def test_unknown_run_is_an_error(spark):
     assert runs.run_info(audit, "p1")["completed_at"] == "t"
     with pytest.raises(KeyError):
         runs.run_info(audit, "p2")
+
+
+def test_nested_members_are_not_storable(spark):
+    import json
+
+    entries = [
+        {"timestamp": "t", "level": "INFO", "message": "m", "service": True, "user_id": 7},
+        {"timestamp": "t", "level": "INFO", "message": ["m"]},
+        {"timestamp": "t", "level": "INFO", "message": "m", "service": {"name": "s"}},
+    ]
+    answers = spark.createDataFrame([("f", 0, json.dumps(entries), True)], "file string, chunk_id long, response string, success boolean")
+    kept = answers_to_entries(answers).collect()
+    assert [(r.pos, r.service, r.user_id) for r in kept] == [(0, "1", "7")]
+    refused = {r.pos: r.reject_reason for r in unstorable_entries(answers).collect()}
+    assert refused == {1: "message is not a scalar", 2: "service is not a scalar"}
+
+
+def test_both_store_lookups_agree(spark):
+    records = D.with_hash(frame(spark, [record(n, str(n)) for n in range(50)]))
+    stored = D.with_hash(frame(spark, [record(n, str(n)) for n in range(20, 90)]))
+    for lookup in (D.dedup_vs_store, D.dedup_small_vs_store):
+        assert sorted(r.pos for r in lookup(records, stored).collect()) == list(range(20))

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.schema import HASH_FIELDS, REQUIRED_FIELDS, VALID_LEVELS
+from tidelog.schema import HASH_FIELDS, LOG_FIELDS, REQUIRED_FIELDS, VALID_LEVELS
 from tidelog.functions.text import strip
 
 _STRICT = {"allowSingleQuotes": "false"}
@@ -88,6 +88,15 @@ def entry_problem(value: Column) -> Column:
     )
 
 
+def storage_problem(value: Column) -> Column:
+    """Reason a TEXT table refuses a record: an array or object in one of the standard fields."""
+    problem = F.when(F.lit(False), F.lit(""))
+    for name in LOG_FIELDS:
+        member = kind(field(value, name))
+        problem = problem.when(member.startswith("ARRAY") | member.startswith("OBJECT"), F.lit(f"{name} is not a scalar"))
+    return problem
+
+
 def scalar_text(raw: Column, value: Column, name: str) -> Column:
     """Text of a member as a dynamic language prints it: missing '', null 'None', true 'True'.
 

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.json_values import entry_problem, field_text
+from tidelog.functions.json_values import entry_problem, sqlite_text, storage_problem
+from tidelog.functions.text import strip
 from tidelog.operators.dedup import successful
 from tidelog.operators.parse import listed_entries, model_entries
 from tidelog.operators.validate import valid_entries
@@ -41,8 +42,11 @@ _ANSWER = (
 
 
 def chunk_payloads(chunked: DataFrame) -> DataFrame:
-    """One row per chunk: its lines in order joined by newlines, and their count."""
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    """One row per chunk: its stripped lines in order joined by newlines, and their count.
+
+    The byte limit of a chunk bounds what is collected.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", strip(F.col("line")).alias("line"))))
     return (
         chunked.groupBy("file", "chunk_id", "type")
         .agg(ordered.alias("_lines"))
@@ -95,20 +99,30 @@ def infer_chunks(prompts: DataFrame, make_scorer: Callable[[], Scorer]) -> DataF
     return prompts.select("file", "chunk_id", "line_count", "prompt").mapInPandas(run, _ANSWER)
 
 
+def _answered(answers: DataFrame) -> DataFrame:
+    return valid_entries(model_entries(successful(answers).select("file", "chunk_id", "response")))
+
+
 def answers_to_entries(answers: DataFrame) -> DataFrame:
-    """Valid entries of the successful answers, with the standard fields as text columns."""
-    entries = valid_entries(
-        model_entries(successful(answers).select("file", "chunk_id", "response"))
-    )
+    """Valid entries of the successful answers that the store accepts, standard fields as text."""
+    entries = _answered(answers).filter(storage_problem(F.col("entry")).isNull())
     return entries.select(
         "file",
         "chunk_id",
         F.col("entry_pos").alias("pos"),
         "raw",
-        *[field_text(F.col("entry"), name).alias(name) for name in LOG_FIELDS],
+        *[sqlite_text(F.col("entry"), name).alias(name) for name in LOG_FIELDS],
     )
 
 
+def unstorable_entries(answers: DataFrame) -> DataFrame:
+    """Valid entries that the store refuses, with the reason."""
+    reason = storage_problem(F.col("entry"))
+    return _answered(answers).select(
+        "file", "chunk_id", F.col("entry_pos").alias("pos"), "raw", reason.alias("reject_reason")
+    ).filter("reject_reason is not null")
+
+
 def answers_to_results(answers: DataFrame) -> DataFrame:
     """Chunk results: lines in, valid records out, tokens, time, success, error.
 
@@ -131,7 +145,7 @@ def answers_to_results(answers: DataFrame) -> DataFrame:
 def map_chunks(chunked: DataFrame, function: Callable[[dict], dict]) -> DataFrame:
     """Apply `function` to each chunk and collect one result row per chunk.
 
-    The function gets {chunk_id, content, size_bytes, line_count, type} and returns a dict with
+    The function gets {chunk_id, content, size_bytes, line_count, type}, content being the stripped lines, and returns a dict with
     `cleaned_logs` (list of dicts) and optionally `tokens_used`, `success`, `error`. An exception
     becomes a failed row and leaves the other chunks alone.
     """
@@ -167,7 +181,7 @@ def map_chunks(chunked: DataFrame, function: Callable[[dict], dict]) -> DataFram
         }
         return pd.DataFrame([row])
 
-    columns = ["file", "chunk_id", "type", "line_no", "line", "n_bytes"]
+    columns = ["file", "chunk_id", "type", "line_no", strip(F.col("line")).alias("line"), "n_bytes"]
     return chunked.select(*columns).groupBy("file", "chunk_id").applyInPandas(run, CHUNK_RESULT_SCHEMA)
 
 
