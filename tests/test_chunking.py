@@ -96,3 +96,42 @@ def test_two_level_scans_equal_one_window(spark):
         ["g"], "block", ["id"], "v", "k",
     ).select("g", "id", "n", "s", "k")
     assert found.exceptAll(expected).count() == 0 and expected.exceptAll(found).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(st.one_of(st.integers(1, 12), st.integers(1, 200)), min_size=1, max_size=400),
+    st.lists(st.integers(1, 30), min_size=1, max_size=5),
+    st.integers(1, 90),
+    st.integers(1, 4),
+)
+def test_entry_states_without_spark(sizes, block_lengths, limit, part_chunks):
+    """Block tables, their composition and both follow passes against the loop, on any cut into blocks."""
+    import pandas as pd
+
+    rows, at, block, offset = [], 0, 0, 0
+    while at < len(sizes):
+        length = block_lengths[block % len(block_lengths)]
+        rows += [("f", block, offset, at + n + 1, size) for n, size in enumerate(sizes[at : at + length])]
+        offset += sum(sizes[at : at + length])
+        at, block = at + length, block + 1
+    lines = pd.DataFrame(rows, columns=["file", "block", "block_off", "line_no", "n_bytes"])
+    before, C.PART_CHUNKS = C.PART_CHUNKS, part_chunks
+    try:
+        tables = pd.concat(C._summarize(limit)(iter([lines[:7], lines[7:]])))
+    finally:
+        C.PART_CHUNKS = before
+    parts = pd.concat(C._compose(limit)(iter([tables[:3], tables[3:]])))
+    parts = parts.rename(columns={"part": "block"}).assign(part=0, part_open=0, part_id=0)
+    between = pd.concat(C._follow(limit)(iter([parts]))).drop(columns="part")
+    between = between.rename(columns={"block": "part", "entry_open": "part_open", "entry_id": "part_id"})
+    entries = pd.concat(C._follow(limit)(iter([tables.merge(between, on=["file", "part"])])))
+    expected, starts, total = sequential(sizes, limit), {}, 0
+    for size, chunk in zip(sizes, expected):
+        starts.setdefault(chunk, total)
+        total += size
+    for row in entries.itertuples():
+        first = lines[lines.block == row.block].line_no.iloc[0]
+        chunk = expected[first - 2] if first > 1 else 0
+        assert (row.entry_id, row.entry_open) == (chunk, starts[chunk])
+    assert len(entries) == block

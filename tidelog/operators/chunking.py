@@ -6,8 +6,9 @@ Input is a line frame of `tidelog.sources.files` (file, block, block_off, line_n
 sits alone) without sending a file to one task. Within a block the rule is a walk over cumulative
 sizes; between blocks only the offset of the open chunk matters. Blocks of multi-block files are
 first summarized, in parallel, as a table "open offset at entry -> open offset at exit, chunks
-closed"; one cheap pass per file follows these tables; then all blocks are walked in parallel from
-their true entry state. Only line numbers and sizes reach Python, never text.
+closed"; the tables of many blocks are composed, in parallel, to one per part of a file; a short pass
+per file follows the parts, and all parts are then followed at once. Finally every block is walked
+from its true entry state. Only line numbers and sizes reach Python, never text.
 """
 
 from __future__ import annotations
@@ -24,8 +25,12 @@ from tidelog.operators.ordering import running_sum
 # Fixed value: default chunk limit.
 CHUNK_BYTES = 50 * 1024 * 1024
 
-_TABLE = "file string, block long, upto long, exit_open long, closed long"
-_ENTRY = "file string, block long, entry_open long, entry_id long"
+# Blocks whose offsets lie in one stretch of this many chunk limits form a part.
+PART_CHUNKS = 64
+
+_TABLE = "file string, part long, block long, upto long, exit_open long, closed long"
+_PART_TABLE = "file string, part long, upto long, exit_open long, closed long"
+_ENTRY = "file string, part long, block long, entry_open long, entry_id long"
 _SPANS = "file string, block long, chunk_id long, first_line long, last_line long, line_count long, size_bytes long"
 
 
@@ -71,32 +76,38 @@ def _steps(sizes: np.ndarray, offset: int, limit: int) -> tuple[np.ndarray, np.n
     return ends[:reachable][final], exits[final], closed[final]
 
 
+def _runs(pdf: pd.DataFrame, *keys: str) -> Iterator[tuple[tuple, int, int]]:
+    """(key values, begin, end) of each run of rows with equal keys."""
+    columns = [pdf[name].to_numpy() for name in keys]
+    differs = np.zeros(max(len(pdf) - 1, 0), dtype=bool)
+    for values in columns:
+        differs |= values[1:] != values[:-1]
+    cuts = np.flatnonzero(differs) + 1
+    for begin, end in zip([0, *cuts], [*cuts, len(pdf)]):
+        if end > begin:
+            yield tuple(values[begin] for values in columns), int(begin), int(end)
+
+
 def _summarize(limit: int):
-    columns = ["file", "block", "upto", "exit_open", "closed"]
+    """Step table of each block; rows sorted by file, block, line_no, one block's sizes held at a time."""
 
     def table(key: tuple, offset: int, held: list[np.ndarray]) -> pd.DataFrame:
-        steps = _steps(np.concatenate(held), offset, limit)
-        frame = pd.DataFrame(dict(zip(columns[2:], steps)))
-        frame.insert(0, "block", key[1])
-        frame.insert(0, "file", key[0])
-        return frame
+        upto, exit_open, closed = _steps(np.concatenate(held), offset, limit)
+        part = offset // (PART_CHUNKS * limit)
+        return pd.DataFrame(
+            {"file": key[0], "part": part, "block": key[1], "upto": upto, "exit_open": exit_open, "closed": closed}
+        )
 
     def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows sorted by file, block, line_no; holds the sizes of one block at a time."""
         key, offset, held = None, 0, []
         for pdf in batches:
-            if pdf.empty:
-                continue
-            files, blocks = pdf["file"].to_numpy(), pdf["block"].to_numpy()
-            offsets, sizes = pdf["block_off"].to_numpy(), pdf["n_bytes"].to_numpy(dtype=np.int64)
-            cuts = np.flatnonzero((files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])) + 1
             done = []
-            for begin, end in zip([0, *cuts], [*cuts, len(pdf)]):
-                if (files[begin], blocks[begin]) != key:
+            for run, begin, end in _runs(pdf, "file", "block"):
+                if run != key:
                     if held:
                         done.append(table(key, offset, held))
-                    key, offset, held = (files[begin], blocks[begin]), int(offsets[begin]), []
-                held.append(sizes[begin:end])
+                    key, offset, held = run, int(pdf["block_off"].iloc[begin]), []
+                held.append(pdf["n_bytes"].to_numpy(dtype=np.int64)[begin:end])
             if done:
                 yield pd.concat(done)
         if held:
@@ -105,28 +116,71 @@ def _summarize(limit: int):
     return summarize
 
 
+def _chain(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Step table of consecutive blocks taken as one."""
+    upto, exit_open, closed = blocks[-1]
+    for first_upto, first_exit, first_closed in reversed(blocks[:-1]):
+        # Where the chunk left open by the first block goes in the rest.
+        at = np.searchsorted(upto, first_exit + limit, side="right")
+        goes_on = at < len(upto)
+        at = np.minimum(at, len(upto) - 1)
+        through_exit = np.where(goes_on, exit_open[at], first_exit)
+        through_closed = first_closed + np.where(goes_on, closed[at], 0)
+        # Chunks that outlast the first block meet the steps of the rest directly.
+        later = upto > first_upto[-1]
+        upto = np.append(first_upto, upto[later])
+        exit_open, closed = np.append(through_exit, exit_open[later]), np.append(through_closed, closed[later])
+    return upto, exit_open, closed
+
+
+def _compose(limit: int):
+    """Step table of each part; rows sorted by file, part, block, upto, one part's tables held at a time."""
+
+    def table(key: tuple, blocks: dict) -> pd.DataFrame:
+        tables = [tuple(np.concatenate(pieces) for pieces in zip(*held)) for held in blocks.values()]
+        upto, exit_open, closed = _chain(tables, limit)
+        return pd.DataFrame({"file": key[0], "part": key[1], "upto": upto, "exit_open": exit_open, "closed": closed})
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, blocks = None, {}
+        for pdf in batches:
+            done = []
+            for (file, part, block), begin, end in _runs(pdf, "file", "part", "block"):
+                if (file, part) != key:
+                    if blocks:
+                        done.append(table(key, blocks))
+                    key, blocks = (file, part), {}
+                steps = tuple(pdf[name].to_numpy()[begin:end] for name in ("upto", "exit_open", "closed"))
+                blocks.setdefault(block, []).append(steps)
+            if done:
+                yield pd.concat(done)
+        if blocks:
+            yield table(key, blocks)
+
+    return compose
+
+
 def _follow(limit: int):
-    columns = ["file", "block", "entry_open", "entry_id"]
+    """Entry state of each block, given that of its part; rows sorted by file, part, block, upto."""
+    names = ["file", "part", "block", "upto", "exit_open", "closed", "part_open", "part_id"]
+    columns = ["file", "part", "block", "entry_open", "entry_id"]
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Step tables sorted by file, block, upto; constant state."""
-        file = block = None
+        key = block = None
         open_at = chunk_id = 0
-        settled = True
+        settled = opening = False
         for pdf in batches:
             entries = []
-            for row_file, row_block, upto, exit_open, closed in zip(
-                *(pdf[name].tolist() for name in ("file", "block", "upto", "exit_open", "closed"))
-            ):
-                if row_file != file:
-                    # The first block opens its first chunk itself: its first step applies as it is.
-                    file, block = row_file, row_block
-                    entries.append((file, block, 0, 0))
-                    open_at, chunk_id, settled = exit_open, closed - 1, True
-                    continue
+            for file, part, row_block, upto, exit_open, closed, part_open, part_id in zip(*(pdf[n].tolist() for n in names)):
+                if (file, part) != key:
+                    key, block = (file, part), None
+                    open_at, chunk_id, opening = part_open, part_id, part == 0
                 if row_block != block:
                     block, settled = row_block, False
-                    entries.append((file, block, open_at, chunk_id))
+                    entries.append((file, part, block, open_at, chunk_id))
+                    if opening:
+                        # The first block of a file opens its first chunk itself: its first step applies as it is.
+                        open_at, chunk_id, settled, opening = exit_open, closed - 1, True, False
                 if not settled and upto > open_at + limit:
                     open_at, chunk_id, settled = exit_open, chunk_id + closed, True
             yield pd.DataFrame(entries, columns=columns)
@@ -134,6 +188,34 @@ def _follow(limit: int):
     return follow
 
 
+def _entries(tables: DataFrame, limit: int) -> DataFrame:
+    """Open chunk and its id at the entry of each block: first between parts, then inside all parts at once."""
+    by_part = (
+        tables.repartition("file", "part")
+        .sortWithinPartitions("file", "part", "block", "upto")
+        .mapInPandas(_compose(limit), _PART_TABLE)
+    )
+    none = F.lit(0).cast("long")
+    between = (
+        by_part.select(
+            "file", none.alias("part"), F.col("part").alias("block"), "upto", "exit_open", "closed",
+            none.alias("part_open"), none.alias("part_id"),
+        )
+        .repartition("file")
+        .sortWithinPartitions("file", "block", "upto")
+        .mapInPandas(_follow(limit), _ENTRY)
+        .select("file", F.col("block").alias("part"), F.col("entry_open").alias("part_open"), F.col("entry_id").alias("part_id"))
+    )
+    return (
+        tables.join(between, ["file", "part"])
+        .select("file", "part", "block", "upto", "exit_open", "closed", "part_open", "part_id")
+        .repartition("file", "part")
+        .sortWithinPartitions("file", "part", "block", "upto")
+        .mapInPandas(_follow(limit), _ENTRY)
+        .drop("part")
+    )
+
+
 def _walk(limit: int):
     columns = ["file", "block", "chunk_id", "first_line", "last_line", "line_count", "size_bytes"]
 
@@ -193,9 +275,7 @@ def chunk_spans(lines: DataFrame, limit: int = CHUNK_BYTES, sizes_path: str | No
         .sortWithinPartitions("file", "block", "line_no")
         .mapInPandas(_summarize(limit), _TABLE)
     )
-    entries = (
-        tables.repartition("file").sortWithinPartitions("file", "block", "upto").mapInPandas(_follow(limit), _ENTRY)
-    )
+    entries = _entries(tables, limit)
     carried = F.col("block_off") - F.coalesce("entry_open", "block_off")
     return (
         sizes.join(entries, ["file", "block"], "left")
