@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import simhash
+from tidelog.llm import bpe, simhash
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,12 @@ def op5_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.op5(table(spark, directory, "documents"))
 
 
+def op9_bpe(spark: SparkSession, directory: str) -> DataFrame:
+    return bpe.digests(table(spark, directory, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op5_simhash": op5_simhash}
+    return {"op5_simhash": op5_simhash, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
