@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, simhash
+from tidelog.llm import bpe, pii, simhash, urls
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,26 @@ def op9_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.digests(table(spark, directory, "documents"))
 
 
+def op7_urls(spark: SparkSession, directory: str) -> DataFrame:
+    return urls.op7(table(spark, directory, "pages"))
+
+
+def op10_pii(spark: SparkSession, directory: str) -> DataFrame:
+    return pii.found(table(spark, directory, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op5_simhash": op5_simhash,
+    "op7_urls": op7_urls,
+    "op9_bpe": op9_bpe,
+    "op10_pii": op10_pii,
+}
+SQL = {"op7_urls": urls.OP7_SQL}
+
+
 def queries() -> dict[str, Query]:
-    return {"op5_simhash": op5_simhash, "op9_bpe": op9_bpe}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
