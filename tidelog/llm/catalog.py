@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, pii, simhash, urls
+from tidelog.llm import bpe, decontam, pii, quality, simhash, urls
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality(spark: SparkSession, directory: str) -> DataFrame:
+    return quality.op2(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+def op3_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    return decontam.op3(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
 def op5_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.op5(table(spark, directory, "documents"))
 
@@ -29,6 +37,8 @@ def op10_pii(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_quality": op2_quality,
+    "op3_decontamination": op3_decontamination,
     "op5_simhash": op5_simhash,
     "op7_urls": op7_urls,
     "op9_bpe": op9_bpe,
