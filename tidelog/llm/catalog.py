@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, decontam, pii, quality, simhash, urls
+from tidelog.llm import bpe, decontam, lm, pii, quality, simhash, urls
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lm(spark: SparkSession, directory: str) -> DataFrame:
+    return lm.scored(table(spark, directory, "documents"))
+
+
 def op2_quality(spark: SparkSession, directory: str) -> DataFrame:
     return quality.op2(table(spark, directory, "documents"), table(spark, directory, "labels"))
 
@@ -37,6 +41,7 @@ def op10_pii(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lm": op1_lm,
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op5_simhash": op5_simhash,
