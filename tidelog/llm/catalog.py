@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, decontam, lm, pii, quality, simhash, urls
+from tidelog.llm import bpe, decontam, lm, pii, quality, simhash, urls, warc
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     return decontam.op3(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
+def op4_warc(spark: SparkSession, directory: str) -> DataFrame:
+    return warc.op4(table(spark, directory, "pages"))
+
+
 def op5_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.op5(table(spark, directory, "documents"))
 
@@ -44,12 +48,13 @@ QUERIES: dict[str, Query] = {
     "op1_lm": op1_lm,
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
+    "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
     "op7_urls": op7_urls,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
 }
-SQL = {"op7_urls": urls.OP7_SQL}
+SQL = {"op4_warc": warc.OP4_SQL, "op7_urls": urls.OP7_SQL}
 
 
 def queries() -> dict[str, Query]:
