@@ -236,7 +236,9 @@ def encoded(documents: DataFrame, path: str | None = None) -> DataFrame:
             ids = [found.tolist() for found in encoder.encode(part["text"].tolist())]
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": ids, "text": [encoder.decode(i) for i in ids]})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>, text string")
+    # Ids pass as text: a null among them would turn whole numbers into floating ones.
+    named = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return named.mapInPandas(run, "doc_id string, ids array<int>, text string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -256,7 +258,9 @@ def digests(documents: DataFrame, path: str | None = None) -> DataFrame:
             out.insert(0, "doc_id", part["doc_id"].to_numpy())
             yield out
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    named = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    found = named.mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:

@@ -191,12 +191,13 @@ def document_windows(documents: DataFrame, bloom: np.ndarray) -> DataFrame:
                 for pos, code, slots in canonical.windows(text, wanted):
                     if (code, tuple(slots)) not in seen:
                         seen.add((code, tuple(slots)))
-                        rows.append((key, None if pd.isna(doc_id) else int(doc_id), pos, code, slots))
-            out = pd.DataFrame(rows, columns=["row_key", "doc_id", "pos", "hash", "slots"])
-            yield out.astype({"doc_id": "Int64"})
+                        rows.append((key, doc_id, pos, code, slots))
+            yield pd.DataFrame(rows, columns=["row_key", "doc_id", "pos", "hash", "slots"])
 
-    keyed = documents.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
-    return keyed.mapInPandas(run, "row_key long, doc_id long, pos int, hash long, slots array<string>")
+    # Ids pass as text: a null among them would turn whole numbers into floating ones.
+    keyed = documents.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    found = keyed.mapInPandas(run, "row_key long, doc_id string, pos int, hash long, slots array<string>")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

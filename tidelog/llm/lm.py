@@ -35,14 +35,14 @@ ORDER = 2
 MU = 4.0
 ADD = 0.1
 BLOCK_BYTES = 8 << 20
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORES = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 BEGIN, END = (np.uint64(xxhash.xxh64_intdigest(mark, 7)) for mark in (b" begin", b" end"))  # no word holds a space
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def held_out(doc_id) -> bool:
-    return zlib.crc32(b"" if pd.isna(doc_id) else str(int(doc_id)).encode()) % 10 == 0
+def held_out(doc_id: str | None) -> bool:
+    return zlib.crc32((doc_id or "").encode()) % 10 == 0
 
 
 class Block:
@@ -149,7 +149,8 @@ def scored(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BY
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     size = documents.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    named = documents.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
+    # Ids pass as text: a null among them would turn whole numbers into floating ones.
+    named = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
 
     def build(frame: pd.DataFrame) -> tuple[Block, np.ndarray]:
         held = np.array([held_out(key) for key in frame["doc_id"]], bool)
@@ -201,7 +202,7 @@ def scored(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BY
         known = counts[0][block.at[0]] > 0
         return pd.DataFrame(
             {
-                "doc_id": own["doc_id"].astype("Int64"),
+                "doc_id": own["doc_id"],
                 "held_out": held,
                 "n_tokens": block.sizes,
                 "n_known": np.add.reduceat(known.astype(np.int64), block.first),
@@ -213,4 +214,5 @@ def scored(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BY
 
     sent = named.groupBy("block").applyInPandas(count, "part int, block int, order int, hashes binary, counts binary")
     totals = sent.groupBy("part").applyInPandas(add_up, "block int, order int, hashes binary, counts binary")
-    return named.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, SCORES)
+    found = named.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, SCORES)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -222,7 +222,7 @@ def redacted(text: str) -> str:
     return "".join([*parts, text[last:]])
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
 
 def found(documents: DataFrame) -> DataFrame:
@@ -240,7 +240,9 @@ def found(documents: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield out
 
-    return documents.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    # Ids pass as text: a null among them would turn whole numbers into floating ones.
+    named = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return named.mapInPandas(run, SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def redact(documents: DataFrame) -> DataFrame:
