@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, decontam, lm, pii, quality, simhash, urls, warc
+from tidelog.llm import bpe, decontam, html, lm, pii, quality, simhash, substrings, urls, warc
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,10 +32,18 @@ def op5_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.op5(table(spark, directory, "documents"))
 
 
+def op8_html(spark: SparkSession, directory: str) -> DataFrame:
+    return html.op8(table(spark, directory, "pages"))
+
+
 def op9_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.digests(table(spark, directory, "documents"))
 
 
+def op6_substrings(spark: SparkSession, directory: str) -> DataFrame:
+    return substrings.op6(table(spark, directory, "documents"))
+
+
 def op7_urls(spark: SparkSession, directory: str) -> DataFrame:
     return urls.op7(table(spark, directory, "pages"))
 
@@ -50,7 +58,9 @@ QUERIES: dict[str, Query] = {
     "op3_decontamination": op3_decontamination,
     "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
+    "op6_substrings": op6_substrings,
     "op7_urls": op7_urls,
+    "op8_html": op8_html,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
 }
