@@ -162,12 +162,14 @@ def test_clean_lines_end_to_end(spark):
     records = clean.clean_lines(chunked)
     reasons = {(r.file, r.line_no): r.reject_reason for r in records.collect()}
     assert reasons == {
-        ("f", 1): None, ("f", 2): None, ("f", 3): None, ("f", 4): "malformed", ("f", 5): "unknown level",
+        ("f", 1): None, ("f", 2): None, ("f", 3): None, ("f", 4): "malformed", ("f", 5): None,
         ("g", 1): None, ("g", 2): None, ("g", 3): "missing message", ("g", 4): "malformed",
     }
     kept = {(r.file, r.line_no): r for r in clean.dedup_by_type(clean.good(records)).collect()}
-    assert set(kept) == {("f", 1), ("f", 3), ("g", 1)}
-    assert kept["f", 3].timestamp == "2024-01-01T00:00:00.000Z" and kept["f", 3].level == "WARN"
+    assert set(kept) == {("f", 1), ("f", 3), ("f", 5), ("g", 1)}
+    # A word that is no level is not taken for one: the line has a time and a message, and the default level.
+    assert (kept["f", 5].level, kept["f", 5].message) == ("INFO", "HELLO odd level")
+    assert kept["f", 3].timestamp == "2024-01-01T00:00:00.000000Z" and kept["f", 3].level == "WARN"
     assert (kept["f", 1].service, kept["f", 1].user_id, kept["f", 1].message) == ("api", "7", "boom user_id=7")
     assert (kept["g", 1].source_ip, kept["g", 1].service, kept["g", 1].user_id) == ("1.2.3.4", "unknown", None)
 

@@ -97,17 +97,22 @@ def test_answers_become_entries(spark):
 @pytest.mark.parametrize(
     "text, expected",
     [
-        ("2024-03-01T10:00:00Z", "2024-03-01T10:00:00.000Z"),
-        ("2024-03-01T10:00:00.25+02:00", "2024-03-01T08:00:00.250Z"),
-        ("2024-03-01 10:00:00,123", "2024-03-01T10:00:00.123Z"),
-        ("2024-03-01 10:00:00 -0530", "2024-03-01T15:30:00.000Z"),
-        ("2024-03-01 10:00", "2024-03-01T10:00:00.000Z"),
-        ("01/Mar/2024:10:00:00 +0100", "2024-03-01T09:00:00.000Z"),
-        ("1709287200", "2024-03-01T10:00:00.000Z"),
-        ("1709287200123", "2024-03-01T10:00:00.123Z"),
-        ("1709287200.5", "2024-03-01T10:00:00.500Z"),
-        ("2024-03-01", "2024-03-01T00:00:00.000Z"),
-        ("Mar  1 10:00:00", "2024-03-01T10:00:00.000Z"),
+        ("2024-03-01T10:00:00Z", "2024-03-01T10:00:00.000000Z"),
+        ("2024-03-01T10:00:00.25+02:00", "2024-03-01T08:00:00.250000Z"),
+        ("2024-03-01 10:00:00,123", "2024-03-01T10:00:00.123000Z"),
+        ("2024-03-01 10:00:00 -0530", "2024-03-01T15:30:00.000000Z"),
+        ("2024-03-01 10:00", "2024-03-01T10:00:00.000000Z"),
+        ("01/Mar/2024:10:00:00 +0100", "2024-03-01T09:00:00.000000Z"),
+        ("1709287200", "2024-03-01T10:00:00.000000Z"),
+        ("1709287200123", "2024-03-01T10:00:00.123000Z"),
+        ("1709287200.5", "2024-03-01T10:00:00.500000Z"),
+        ("2024-03-01", "2024-03-01T00:00:00.000000Z"),
+        ("Mar  1 10:00:00", "2024-03-01T10:00:00.000000Z"),
+        ("2024-01-01T00:00:00.123456Z", "2024-01-01T00:00:00.123456Z"),
+        ("2024-01-01 00:00:00,1234567+01:00", "2023-12-31T23:00:00.123456700Z"),
+        ("2024-01-01T00:00:00.123456789 Z", "2024-01-01T00:00:00.123456789Z"),
+        ("2024-01-01T00:00:00.123456000Z", "2024-01-01T00:00:00.123456Z"),
+        ("1709287200.000001", "2024-03-01T10:00:00.000001Z"),
         ("2024-13-01", None), ("yesterday", None), ("", None), ("12:30", None), ("2024", None),
     ],
 )

@@ -34,7 +34,9 @@ ALIASES = {
     "source_ip": ("source_ip", "ip", "client_ip", "remote_addr"),
 }
 
-ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+# Digits of an ISO fraction that a microsecond timestamp cannot hold.
+_SUB_MICRO = r"[.,]\d{6}(\d{1,3})(?: ?(?:Z|[+-]\d{2}:?\d{2}))?$"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"(?:^|[^0-9.])((?:{_OCTET}\.){{3}}{_OCTET})(?:[^0-9.]|\.[^0-9]|\.$|$)"
@@ -58,9 +60,9 @@ def normalize_level(level: Column) -> Column:
     return F.coalesce(F.try_element_at(synonyms, name), name)
 
 
-def parse_time(text: Column, default_year: int | None = None) -> Column:
+def parse_time(text: Column, default_year: int | Column | None = None) -> Column:
     """TIMESTAMP from ISO (blank or T, comma or dot fraction, any offset), epoch seconds or
-    milliseconds, access-log and date-only text; syslog times only when a year is given.
+    milliseconds, access-log and date-only text; syslog times only when a year is given (a number or a column).
 
     Times without an offset are taken as UTC; text that fits no form becomes NULL.
     """
@@ -84,21 +86,29 @@ def parse_time(text: Column, default_year: int | None = None) -> Column:
         )
     )
     if default_year is not None:
+        year = default_year if isinstance(default_year, Column) else F.lit(default_year)
         squeezed = F.regexp_replace(body, " +", " ")
         parsed = parsed.when(
             body.rlike(r"^[A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}$"),
-            F.try_to_timestamp(F.concat(F.lit(f"{default_year} "), squeezed, F.lit(" +0000")), F.lit("yyyy MMM d HH:mm:ss Z")),
+            F.try_to_timestamp(F.concat(year.cast("string"), F.lit(" "), squeezed, F.lit(" +0000")), F.lit("yyyy MMM d HH:mm:ss Z")),
         )
     return parsed
 
 
 def iso_utc(time: Column) -> Column:
-    """Fixed-width UTC text, whose text order is the time order."""
+    """UTC text with microseconds; its width is fixed, so that text order is the time order."""
     return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), ISO_FORMAT)
 
 
-def normalize_timestamp(text: Column, default_year: int | None = None) -> Column:
-    return iso_utc(parse_time(text, default_year))
+def normalize_timestamp(text: Column, default_year: int | Column | None = None) -> Column:
+    """`iso_utc` of any known form. Nanoseconds that are given and not zero stay as three further digits, so no two
+    different times become one; only inside a microsecond does text order then differ from time order.
+    """
+    time = iso_utc(parse_time(text, default_year))
+    body = strip(text)
+    finer = F.rpad(F.regexp_extract(body, _SUB_MICRO, 1), 3, "0")
+    fine = (F.length(body) > 26) & body.rlike(_SUB_MICRO) & (finer != "000")
+    return F.when(fine, F.concat(F.left(time, F.lit(26)), finer, F.lit("Z"))).otherwise(time)
 
 
 def clean_message(text: Column) -> Column:

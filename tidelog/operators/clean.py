@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import fields as R
@@ -14,7 +14,7 @@ from tidelog.operators.validate import record_problem
 from tidelog.schema import LOG_FIELDS
 
 
-def normalize(records: DataFrame, default_level: str | None = None, default_year: int | None = None) -> DataFrame:
+def normalize(records: DataFrame, default_level: str | None = None, default_year: int | Column | None = None) -> DataFrame:
     """ISO UTC timestamps, canonical levels, collapsed messages, a service on every record."""
     level = R.normalize_level(F.col("level"))
     return (
@@ -31,10 +31,16 @@ def normalize(records: DataFrame, default_level: str | None = None, default_year
 def infer_timestamps(
     records: DataFrame, group: Sequence[str] = ("file",), block: str = "block", order: Sequence[str] = ("line_no",)
 ) -> DataFrame:
-    """Missing timestamps take the last known one before them in file order."""
-    return last_known(records, list(group), block, list(order), "timestamp", "_known").withColumn(
-        "timestamp", F.col("_known")
-    ).drop("_known")
+    """Missing timestamps take the last known one before them in file order, and `time_inferred` says so.
+
+    Where the records have `time_given`, a time that was given but fits no form is not missing: it stays NULL.
+    """
+    known = last_known(records, list(group), block, list(order), "timestamp", "_known")
+    missing = F.col("timestamp").isNull()
+    if "time_given" in records.columns:
+        missing = missing & ~F.col("time_given")
+    known = known.withColumn("time_inferred", missing & F.col("_known").isNotNull())
+    return known.withColumn("timestamp", F.when(F.col("time_inferred"), F.col("_known")).otherwise(F.col("timestamp"))).drop("_known")
 
 
 def dedup_in_chunk(records: DataFrame, keys: Sequence[str], order: Sequence[str] = ("pos",)) -> DataFrame:
@@ -52,18 +58,27 @@ def dedup_text(records: DataFrame, order: Sequence[str] = ("pos",)) -> DataFrame
 
 
 def clean_lines(
-    lines: DataFrame, infer_time: bool = True, default_level: str | None = "INFO", default_year: int | None = None
+    lines: DataFrame, infer_time: bool = True, default_level: str | None = "INFO", default_year: int | Column | None = None
 ) -> DataFrame:
     """Lines with chunk ids and a `type` -> records with `reject_reason` (NULL for good ones).
 
-    One pass of column rules; only the inference of missing timestamps needs file order.
+    Column rules, and for missing timestamps the last known one in file order (flagged `time_inferred`). Syslog
+    times carry no year: it is `default_year`, else that of a `file_time` column of the lines. Times that are given
+    but fit no form are rejected, never replaced.
     """
-    parsed = parse_lines(lines)
+    if default_year is None and "file_time" in lines.columns:
+        default_year = F.year("file_time")
+    parsed = parse_lines(lines).withColumn("time_given", F.coalesce(R.blank_to_null(F.col("timestamp")).isNotNull(), F.lit(False)))
     records = normalize(parsed, default_level, default_year)
+    unread = F.col("time_given") & F.col("timestamp").isNull()
     if infer_time:
         records = infer_timestamps(records)
-    reason = F.when(F.col("layout").isNull(), F.lit("malformed")).otherwise(record_problem())
-    return records.withColumn("reject_reason", reason)
+    reason = (
+        F.when(F.col("layout").isNull(), F.lit("malformed"))
+        .when(unread, F.lit("unreadable timestamp"))
+        .otherwise(record_problem())
+    )
+    return records.withColumn("reject_reason", reason).drop("time_given")
 
 
 def good(records: DataFrame) -> DataFrame:

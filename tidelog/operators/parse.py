@@ -9,29 +9,41 @@ from pyspark.sql import types as T
 from tidelog.functions import fields as R
 from tidelog.functions.json_values import as_list, parse_json
 from tidelog.functions.text import strip
+from tidelog.schema import VALID_LEVELS
 
+# Between the layout name and its captures. No capture but the last may hold it, and the last one keeps it.
 _SEP = "\x01"
 
 _TIME = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?(?: ?(?:Z|[+-]\d{2}:?\d{2}))?"
-_WORD = r"[A-Za-z]{3,11}"
+_LEVEL = "(?i:" + "|".join(sorted({*VALID_LEVELS, *R.LEVEL_SYNONYMS}, key=lambda name: (-len(name), name))) + ")"
+_STAMP = r"[A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}"
 
 # Line layouts: a pattern for the whole line, and the fields its captures hold, in order.
 LAYOUTS = {
-    "iso": (rf"^({_TIME})\s+\[?({_WORD})\]?:?\s+(?:\[([^\]]+)\]:?\s+)?(.+)$", ("timestamp", "level", "service", "message")),
+    "iso": (
+        rf"^({_TIME})\s+(?:\[?({_LEVEL})\]?:?\s+)?(?:\[([^\]\x01]+)\]:?\s+)?(.+)\z",
+        ("timestamp", "level", "service", "message"),
+    ),
+    "java": (
+        rf"^({_TIME})\s+\[[^\]]+\]\s+({_LEVEL})\s+([^\s\x01]+)\s+[-:]\s+(.+)\z",
+        ("timestamp", "level", "service", "message"),
+    ),
+    "python": (rf"^({_TIME}) - ([^\s\x01]+) - ({_LEVEL}) - (.+)\z", ("timestamp", "service", "level", "message")),
     "bracket": (
-        rf"^\[({_TIME})\]\s+\[?({_WORD})\]?:?\s+(?:([A-Za-z0-9_./-]+):\s+)?(.+)$",
+        rf"^\[({_TIME})\]\s+(?:\[?({_LEVEL})\]?:?\s+)?(?:([A-Za-z0-9_./-]+):\s+)?(.+)\z",
         ("timestamp", "level", "service", "message"),
     ),
     "syslog": (
-        r"^<(\d{1,3})>([A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}) \S+ ([A-Za-z0-9_./-]+)(?:\[\d+\])?: (.+)$",
+        rf"^<(\d{{1,3}})>({_STAMP}) \S+ ([A-Za-z0-9_./-]+)(?:\[\d+\])?: (.+)\z",
         ("priority", "timestamp", "service", "message"),
     ),
+    "syslog_file": (rf"^({_STAMP}) \S+ ([A-Za-z0-9_./-]+)(?:\[\d+\])?: (.+)\z", ("timestamp", "service", "message")),
     "syslog5424": (
-        r"^<(\d{1,3})>1 (\S+) \S+ (\S+) \S+ \S+ (?:-|\[[^\]]*\]) ?(.+)$",
+        r"^<(\d{1,3})>1 ([^\s\x01]+) \S+ ([^\s\x01]+) \S+ \S+ (?:-|\[[^\]]*\]) ?(.+)\z",
         ("priority", "timestamp", "service", "message"),
     ),
     "access": (
-        r'^([^\s\x01]+) \S+ (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) \S+.*$',
+        r'^([^\s\x01]+) \S+ ([^\s\x01]+) \[([^\]\x01]+)\] "([^"\x01]*)" (\d{3}) \S+.*\z',
         ("client", "user", "timestamp", "request", "status"),
     ),
 }
@@ -52,7 +64,7 @@ def _tag(line: Column, layout: str) -> Column:
     """The line rewritten as separator, layout, captures if the layout fits, else as it was."""
     pattern, names = LAYOUTS[layout]
     captures = "".join(f"{_SEP}${n}" for n in range(1, len(names) + 1))
-    return F.regexp_replace(line, pattern, f"{_SEP}{layout}{captures}")
+    return F.regexp_replace(line, f"(?s){pattern}", f"{_SEP}{layout}{captures}")
 
 
 def _tag_by_start(line: Column) -> Column:
@@ -61,11 +73,30 @@ def _tag_by_start(line: Column) -> Column:
     return (
         F.when(line.startswith("["), _tag(line, "bracket"))
         .when(line.startswith("<"), F.when(newer_syslog, _tag(line, "syslog5424")).otherwise(_tag(line, "syslog")))
-        .when(F.ascii(line).between(ord("0"), ord("9")), _tag(line, "iso"))
+        .when(F.ascii(line).between(ord("0"), ord("9")), _tag_dated(line))
+        .when(F.ascii(line).between(ord("A"), ord("Z")), _tag(line, "syslog_file"))
         .otherwise(line)
     )
 
 
+def _tag_dated(line: Column) -> Column:
+    """Lines that begin with a time: two layouts of frameworks, told apart by what follows it, and the general one."""
+    return (
+        F.when(line.rlike(rf"^{_TIME} - [^\s\x01]+ - {_LEVEL} - ."), _tag(line, "python"))
+        .when(line.rlike(rf"^{_TIME}\s+\[[^\]]+\]\s+{_LEVEL}\s+[^\s\x01]+\s+[-:]\s+."), _tag(line, "java"))
+        .otherwise(_tag(line, "iso"))
+    )
+
+
+def _captures(layout: Column) -> Column:
+    """'', the layout, its captures; split into as many parts as the layout has, so that the last capture stays whole."""
+    parts = F.when(F.lit(False), F.array(F.lit("")))
+    for count in sorted({len(names) for _, names in LAYOUTS.values()}):
+        same = [name for name, (_, names) in LAYOUTS.items() if len(names) == count]
+        parts = parts.when(layout.isin(same), F.split("_tagged", _SEP, count + 2))
+    return parts
+
+
 def _tag_access(line: Column) -> Column:
     """Access-log lines begin with any host; the quoted request tells them apart cheaply."""
     return F.when(F.contains(line, F.lit('] "')), _tag(line, "access")).otherwise(line)
@@ -76,7 +107,7 @@ def _capture(name: str) -> Column:
     value = F.when(F.lit(False), F.lit(""))
     for layout, (_, names) in LAYOUTS.items():
         if name in names:
-            value = value.when(F.col("layout") == layout, F.get("_parts", names.index(name) + 2))
+            value = value.when(F.col("layout") == layout, F.nullif(F.get("_parts", names.index(name) + 2), F.lit("")))
     return value
 
 
@@ -127,8 +158,11 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             "raw",
             "_line",
             F.when(is_json, wrapped).alias("_wrapped"),
-            F.split(_tag_access(F.col("_tagged")), _SEP).alias("_parts"),
+            F.when(F.col("_tagged") != F.col("_line"), F.col("_tagged")).otherwise(_tag_access(F.col("_line"))).alias("_tagged"),
+            is_json.alias("_is_json"),
         )
+        .withColumn("_tagged", F.when(~F.col("_is_json") & (F.col("_tagged") != F.col("_line")), F.col("_tagged")))
+        .withColumn("_parts", _captures(F.get(F.split("_tagged", _SEP, 3), 1)))
     )
     labelled = split.select(
         *keep,

@@ -15,7 +15,7 @@ from tidelog.plans.adapters import ELOG, event_records, table
 from tidelog.plans.registry import query
 
 _VALID = "upper(level) IN ('ERROR', 'WARN', 'INFO', 'DEBUG', 'TRACE', 'FATAL')"
-_ISO_SQL = "strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.000Z')"
+_ISO_SQL = "strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.000000Z')"
 _SECOND = "yyyy-MM-dd'T'HH:mm:ss"
 
 
@@ -50,7 +50,7 @@ def normalize_timestamp(spark: SparkSession, directory: str) -> DataFrame:
 
 @query(
     "normalize_timestamp_dates",
-    "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT00:00:00.000Z') AS day, strftime(o_orderdate, '2023-%m-%dT04:05:06.000Z') AS syslog FROM orders",
+    "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT00:00:00.000000Z') AS day, strftime(o_orderdate, '2023-%m-%dT04:05:06.000000Z') AS syslog FROM orders",
 )
 def normalize_timestamp_dates(spark: SparkSession, directory: str) -> DataFrame:
     """Date-only text, and syslog times that need a year."""
@@ -60,7 +60,7 @@ def normalize_timestamp_dates(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "orders").select(
         "o_orderkey",
         R.normalize_timestamp(F.date_format(day, "yyyy-MM-dd")).alias("day"),
-        F.when(leap, F.lit("2023-02-29T04:05:06.000Z")).otherwise(syslog).alias("syslog"),
+        F.when(leap, F.lit("2023-02-29T04:05:06.000000Z")).otherwise(syslog).alias("syslog"),
     )
 
 
