@@ -71,6 +71,49 @@ def test_merging_twice_changes_nothing(spark, tmp_path):
     assert len(stored()) == 2
 
 
+def test_opening_never_overwrites(spark, tmp_path):
+    root = tmp_path / "store"
+    assert S.open_store(spark, str(root)).count() == 0
+    S.merge_batch(frame(spark, [record(0, "a")]), str(root), "r", 0)
+    assert S.open_store(spark, str(root)).count() == 1
+    (tmp_path / "file").write_text("no table")
+    with pytest.raises(Exception):
+        S.open_store(spark, str(tmp_path / "file")).count()
+    assert (tmp_path / "file").read_text() == "no table"
+
+
+@pytest.mark.parametrize("result", [None, [], "text", {"cleaned_logs": ["x"]}, {"cleaned_logs": 7}, {"cleaned_logs": [], "tokens_used": "many"}])
+def test_malformed_chunk_results_are_failed_rows(spark, result):
+    lines = spark.createDataFrame([("f", 0, n, f"line {n}", 7, "text") for n in range(3)], "file string, chunk_id long, line_no long, line string, n_bytes long, type string")
+    row = map_chunks(lines, lambda chunk: result).first()
+    assert (row.success, row.cleaned_line_count, row.original_line_count) == (False, 0, 3) and row.error
+
+
+def test_texts_and_tokens_of_chunk_results(spark):
+    lines = spark.createDataFrame([("f", 0, 0, "line", 5, "text")], "file string, chunk_id long, line_no long, line string, n_bytes long, type string")
+    row = map_chunks(lines, lambda chunk: {"cleaned_logs": [{"message": True, "extra": [1]}], "tokens_used": None}).first()
+    assert (row.success, row.tokens_used, row.cleaned[0].message, row.cleaned[0].raw_data) == (True, 0, "1", '{"message": true, "extra": [1]}')
+
+
+def test_times_are_inferred_only_when_missing(spark):
+    lines = [
+        ("f", 0, 1, "2024-01-01T00:00:00.000001Z INFO first", 30, "text"),
+        ("f", 0, 2, "level=info msg=second", 30, "text"),
+        ("f", 0, 3, "<14>Jan  1 00:00:00 host app: third", 30, "text"),
+        ("f", 0, 4, "ts=yesterday level=info msg=fourth", 30, "text"),
+    ]
+    chunked = chunk_budget(with_block_offsets(spark.createDataFrame(lines, LINES)), 10_000)
+    rows = {r.line_no: (r.timestamp, r.time_inferred, r.reject_reason) for r in clean.clean_lines(chunked).collect()}
+    assert rows == {
+        1: ("2024-01-01T00:00:00.000001Z", False, None),
+        2: ("2024-01-01T00:00:00.000001Z", True, None),
+        3: (None, False, "unreadable timestamp"),
+        4: (None, False, "unreadable timestamp"),
+    }
+    dated = chunked.withColumn("file_time", F.lit("2021-05-05").cast("timestamp"))
+    assert {r.line_no: r.timestamp for r in clean.clean_lines(dated).collect()}[3] == "2021-01-01T00:00:00.000000Z"
+
+
 def test_fates_and_counters(spark):
     records = D.with_hash(frame(spark, [record(0, "a"), record(1, "a"), record(2, "b"), record(3, None), record(4, "c")]))
     stored = records.filter("message = 'b'")

@@ -67,6 +67,7 @@ def test_truthiness(spark):
     "text, fine",
     [
         ('{"a":1}', True), (' {"a":1} ', True), ('{"a":1} x', False), ('{"a":1} {}', False), ("{'a':1}", False),
+        ('{"a":1}] junk', False), ("1] x", False), ("1],[2", False), ('1}, "b":{"c":1}', False), ('["]"]', True), ('{"a":"]"}', True), ('{"a":[1]} ', True),
         ('{"a":1,}', False), ("[1,2]", True), ("", False), ("1,2", False), ("01", False), ('{"a":1,"a":2}', True),
     ],
 )

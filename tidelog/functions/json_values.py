@@ -22,7 +22,16 @@ def parse_json(text: Column) -> Column:
     make the parse fail instead of being ignored.
     """
     wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<variant>", _STRICT)
-    return F.when(F.size(wrapped) == 1, F.get(wrapped, 0))
+    return F.when((F.size(wrapped) == 1) & closes_nothing(text), F.get(wrapped, 0))
+
+
+def closes_nothing(text: Column) -> Column:
+    """Whether a text that parses inside `[` and `]` is one value by itself, and not `1] x`, which closes the array.
+
+    No text but a value parses inside an array and as an object's member as well; only texts with a `]` are tried.
+    """
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return ~F.contains(text, F.lit("]")) | member.isNotNull()
 
 
 def parse_json_array(text: Column) -> Column:

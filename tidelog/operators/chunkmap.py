@@ -6,6 +6,7 @@ Python. Spark's tasks take the place of a worker pool.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -142,12 +143,35 @@ def answers_to_results(answers: DataFrame) -> DataFrame:
     )
 
 
+def stored_text(value: object) -> str | None:
+    """A scalar as the store's text columns keep it; other values as JSON."""
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, bool):
+        return str(int(value))
+    return json.dumps(value) if isinstance(value, (list, dict)) else str(value)
+
+
+def chunk_result(result: object) -> tuple[list[dict], int, bool, str | None]:
+    """(records, tokens, success, error) of what a chunk function returned; raises for anything but the agreed shape."""
+    if not isinstance(result, dict):
+        raise TypeError(f"a chunk function must return a dict, not {type(result).__name__}")
+    records = []
+    for entry in result.get("cleaned_logs") or []:
+        if not isinstance(entry, dict):
+            raise TypeError(f"an entry must be a dict, not {type(entry).__name__}")
+        records.append({**{name: stored_text(entry.get(name)) for name in LOG_FIELDS}, "raw_data": json.dumps(entry, default=str)})
+    error = result.get("error")
+    return records, int(result.get("tokens_used") or 0), bool(result.get("success", True)), None if error is None else str(error)
+
+
 def map_chunks(chunked: DataFrame, function: Callable[[dict], dict]) -> DataFrame:
     """Apply `function` to each chunk and collect one result row per chunk.
 
     The function gets {chunk_id, content, size_bytes, line_count, type}, content being the stripped lines, and returns a dict with
-    `cleaned_logs` (list of dicts) and optionally `tokens_used`, `success`, `error`. An exception
-    becomes a failed row and leaves the other chunks alone.
+    `cleaned_logs` (list of dicts) and optionally `tokens_used`, `success`, `error`. An exception, or a result of another
+    shape, becomes a failed row and leaves the other chunks alone. Members beyond the standard fields stay in `raw_data`,
+    the whole record as JSON.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -161,13 +185,9 @@ def map_chunks(chunked: DataFrame, function: Callable[[dict], dict]) -> DataFram
         }
         began = time.monotonic()
         try:
-            result = function(chunk)
+            records, tokens, success, error = chunk_result(function(chunk))
         except Exception as problem:
-            result = {"success": False, "error": str(problem)}
-        records = [
-            {name: None if entry.get(name) is None else str(entry[name]) for name in LOG_FIELDS}
-            for entry in result.get("cleaned_logs", [])
-        ]
+            records, tokens, success, error = [], 0, False, str(problem)
         row = {
             "file": pdf["file"].iloc[0],
             "chunk_id": chunk["chunk_id"],
@@ -175,9 +195,9 @@ def map_chunks(chunked: DataFrame, function: Callable[[dict], dict]) -> DataFram
             "original_line_count": chunk["line_count"],
             "cleaned_line_count": len(records),
             "processing_time_seconds": time.monotonic() - began,
-            "tokens_used": int(result.get("tokens_used", 0)),
-            "success": bool(result.get("success", True)),
-            "error": result.get("error"),
+            "tokens_used": tokens,
+            "success": success,
+            "error": error,
         }
         return pd.DataFrame([row])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.functions import fields as R
-from tidelog.functions.json_values import as_list, parse_json
+from tidelog.functions.json_values import as_list, closes_nothing, parse_json
 from tidelog.functions.text import strip
 from tidelog.schema import VALID_LEVELS
 
@@ -157,7 +157,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             *keep,
             "raw",
             "_line",
-            F.when(is_json, wrapped).alias("_wrapped"),
+            F.when(is_json & closes_nothing(F.col("_line")), wrapped).alias("_wrapped"),
             F.when(F.col("_tagged") != F.col("_line"), F.col("_tagged")).otherwise(_tag_access(F.col("_line"))).alias("_tagged"),
             is_json.alias("_is_json"),
         )

@@ -200,6 +200,36 @@ def map_chunks_records(spark: SparkSession, directory: str) -> DataFrame:
     return M.result_records(_mapped(spark, directory)).select("file", "chunk_id", "timestamp", "level", "message")
 
 
+def keep_members(chunk: dict) -> dict:
+    """Chunk function with members beyond the standard fields, and results of a wrong shape for some chunks."""
+    if chunk["chunk_id"] % 5 == 1:
+        return None
+    if chunk["chunk_id"] % 5 == 2:
+        return {"cleaned_logs": ["no record"]}
+    kept = [dict(zip(("timestamp", "level", "message"), line.split("|"))) for line in chunk["content"]]
+    return {"cleaned_logs": [{**record, "size": {"chars": len(record["message"])}, "error": True} for record in kept], "tokens_used": None}
+
+
+@query(
+    "map_chunks_extra_keys",
+    f"""WITH {ELOG} SELECT chunk_id, message, CAST(length(message) AS VARCHAR) AS chars, 'true' AS error, NULL::VARCHAR AS reason FROM elog WHERE chunk_id % 5 NOT IN (1, 2)
+UNION ALL SELECT DISTINCT chunk_id, NULL, NULL, NULL, CASE WHEN chunk_id % 5 = 1 THEN 'a chunk function must return a dict, not NoneType' ELSE 'an entry must be a dict, not str' END FROM elog WHERE chunk_id % 5 IN (1, 2)""",
+)
+def map_chunks_extra_keys(spark: SparkSession, directory: str) -> DataFrame:
+    """Members beyond the standard fields are read back from the whole record; malformed results are failed rows."""
+    results = M.map_chunks(event_chunks(spark, directory), keep_members)
+    whole = M.result_records(results).select(
+        "chunk_id",
+        "message",
+        F.get_json_object("raw_data", "$.size.chars").alias("chars"),
+        F.get_json_object("raw_data", "$.error").alias("error"),
+        F.lit(None).cast("string").alias("reason"),
+    )
+    nothing = F.lit(None).cast("string")
+    failed = M.split_results(results)[1]
+    return whole.union(failed.select("chunk_id", nothing, nothing, nothing, "error"))
+
+
 @query("capture_errors", _MAPPED_SQL + " SELECT file, chunk_id, error FROM mapped WHERE NOT success")
 def capture_errors(spark: SparkSession, directory: str) -> DataFrame:
     return M.split_results(_mapped(spark, directory))[1].select("file", "chunk_id", "error")

@@ -64,6 +64,20 @@ def normalize_timestamp_dates(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+@query(
+    "normalize_timestamp_micros",
+    """SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '.123' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') ||
+      CASE WHEN event_id % 4 = 3 THEN '07' || CAST(1 + event_id % 9 AS VARCHAR) ELSE '' END || 'Z' AS "timestamp" FROM events""",
+)
+def normalize_timestamp_micros(spark: SparkSession, directory: str) -> DataFrame:
+    """Times that share a millisecond stay apart, those that share a microsecond too."""
+    number = F.col("event_id")
+    fraction = F.concat(F.lit("123"), F.lpad((number % 1000).cast("string"), 3, "0"))
+    finer = F.when(number % 4 == 3, F.concat(F.lit("07"), (1 + number % 9).cast("string"))).otherwise(F.lit("0"))
+    stamp = F.concat(F.date_format(_seconds(), "yyyy-MM-dd HH:mm:ss"), F.lit(","), fraction, finer)
+    return table(spark, directory, "events").select("event_id", R.normalize_timestamp(stamp).alias("timestamp"))
+
+
 @query(
     "infer_timestamp",
     f"""WITH given AS (SELECT source AS file, doc_id, CASE WHEN doc_id % 5 = 0 THEN 'T' || CAST(doc_id AS VARCHAR) END AS stamp FROM documents)
@@ -235,6 +249,40 @@ def messy_text_lines(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def more_text_lines(spark: SparkSession, directory: str) -> DataFrame:
+    """Events as lines of frameworks, of syslog files, without a level, with control characters and separators in the message."""
+    number = F.col("event_id")
+    shape = number % 6
+    second = F.date_format(_seconds(), "yyyy-MM-dd HH:mm:ss")
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    line = (
+        F.when(shape == 0, F.concat(second, F.lit(",250 [main] WARN com.shop.Cart - "), kind, F.lit(" [x] - "), user))
+        .when(shape == 1, F.concat(second, F.lit(",250 - shop.cart - CRITICAL - "), kind, F.lit(" - "), user))
+        .when(shape == 2, F.concat(F.date_format(_seconds(), "MMM d HH:mm:ss"), F.lit(" host cron[7]: "), kind, F.lit(": "), user))
+        .when(shape == 3, F.concat(second, F.lit("Z Connection closed by "), kind))
+        .when(shape == 4, F.concat(second, F.lit("Z INFO [fix] 8=FIX.4.2\x01"), kind, F.lit("\x0110="), user))
+        .otherwise(F.concat(second, F.lit("Z error first\u2028"), kind))
+    )
+    return messy_text_lines(spark, directory).drop("line", "n_bytes").join(
+        table(spark, directory, "events").select(number.alias("line_no"), line.alias("line")), "line_no"
+    )
+
+
+@query(
+    "parse_text_layouts",
+    f"""SELECT event_id AS line_no, CASE event_id % 6 WHEN 0 THEN 'java' WHEN 1 THEN 'python' WHEN 2 THEN 'syslog_file' ELSE 'iso' END AS layout,
+  CASE WHEN event_id % 6 < 2 THEN strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.250000Z') ELSE {_ISO_SQL} END AS "timestamp",
+  CASE event_id % 6 WHEN 0 THEN 'WARN' WHEN 1 THEN 'FATAL' WHEN 4 THEN 'INFO' WHEN 5 THEN 'ERROR' END AS level,
+  CASE event_id % 6 WHEN 0 THEN event_type || ' [x] - ' || CAST(user_id AS VARCHAR) WHEN 1 THEN event_type || ' - ' || CAST(user_id AS VARCHAR)
+    WHEN 2 THEN event_type || ': ' || CAST(user_id AS VARCHAR) WHEN 3 THEN 'Connection closed by ' || event_type
+    WHEN 4 THEN '8=FIX.4.2' || chr(1) || event_type || chr(1) || '10=' || CAST(user_id AS VARCHAR) ELSE 'first' || chr(8232) || event_type END AS message,
+  CASE event_id % 6 WHEN 0 THEN 'com.shop.Cart' WHEN 1 THEN 'shop.cart' WHEN 2 THEN 'cron' WHEN 4 THEN 'fix' ELSE 'unknown' END AS service FROM events""",
+)
+def parse_text_layouts(spark: SparkSession, directory: str) -> DataFrame:
+    records = clean.normalize(parse_lines(more_text_lines(spark, directory)), default_year=2024)
+    return records.select("line_no", "layout", "timestamp", "level", "message", "service")
+
+
 _TEXT_SQL = f"""parsed AS (SELECT event_id AS line_no, ts,
   CASE event_id % 7 WHEN 0 THEN 'iso' WHEN 1 THEN 'bracket' WHEN 2 THEN 'syslog' WHEN 3 THEN 'syslog5424' WHEN 4 THEN 'access' WHEN 5 THEN 'key_value' END AS layout,
   CASE WHEN event_id % 7 <> 6 THEN {_ISO_SQL} END AS "timestamp",

@@ -225,6 +225,26 @@ def store_append_memory(spark: SparkSession, directory: str) -> DataFrame:
     return held.select("_log_hash", "_chunk_id", "event_id")
 
 
+@query(
+    "store_raw_data",
+    f"""WITH {HASHED} SELECT event_id, CAST(event_id % 97 AS VARCHAR) AS shard, 'e' || CAST(event_id AS VARCHAR) AS tag FROM survivors""",
+)
+def store_raw_data(spark: SparkSession, directory: str) -> DataFrame:
+    """Source lines with members of their own: the stored record gives them back. The run's name is no plain path."""
+    root = scratch_path(spark, "raw-store")
+    whole = F.to_json(F.struct("message", F.col("event_id"), (F.col("event_id") % 97).alias("shard"), F.struct(F.concat(F.lit("e"), F.col("event_id")).alias("tag")).alias("more")))
+    records = valid_records(event_records(spark, directory)).withColumn("raw", whole).withColumns(
+        {name: F.lit(None).cast("string") for name in ("request_id", "source_ip")}
+    ).withColumn("user_id", F.col("user_id").cast("string"))
+    S.merge_batch(records, root, "a/b=c: 7%", 0)
+    stored = S.read_store(spark, root).where("run = 'a/b=c: 7%'")
+    return stored.select(
+        F.get_json_object("raw_data", "$.event_id").cast("long").alias("event_id"),
+        F.get_json_object("raw_data", "$.shard").alias("shard"),
+        F.get_json_object("raw_data", "$.more.tag").alias("tag"),
+    )
+
+
 @query("store_reset", "SELECT CAST(0 AS BIGINT) AS total_logs")
 def store_reset(spark: SparkSession, directory: str) -> DataFrame:
     """A filled table is emptied and stays readable."""

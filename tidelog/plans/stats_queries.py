@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import text as X
 from tidelog.functions.fields import url_host
 from tidelog.functions.json_values import is_array, is_object, kind, parse_json, scalar_text, sqlite_text
+from tidelog.functions.text import elapsed_seconds
 from tidelog.operators import runs as U
 from tidelog.operators import stats as A
 from tidelog.plans.adapters import DOCFILES, ELOG, HASHED, RESULTS, chunk_results, document_files, event_records, table
@@ -205,6 +206,34 @@ def run_compare(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+@query(
+    "run_compare_text",
+    f"""WITH {_RUNS_SQL}, paired AS (SELECT day, sum(processing_time_seconds) FILTER (processing_method = 'sequential') AS seq,
+    sum(processing_time_seconds) FILTER (processing_method = 'parallel') AS par, max(parallel_workers) FILTER (processing_method = 'parallel') AS workers FROM daily GROUP BY day),
+  measured AS (SELECT *, seq / par AS speedup FROM paired WHERE seq IS NOT NULL AND par IS NOT NULL)
+SELECT day, CASE WHEN speedup > workers * 0.7::DOUBLE THEN 'Excellent parallel performance! ' || printf('%.1f', speedup) || 'x speedup with ' || CAST(workers AS VARCHAR) || ' workers.'
+  WHEN speedup > 2.0 THEN 'Good parallel performance. ' || printf('%.1f', speedup) || 'x speedup achieved.'
+  WHEN speedup > 1.2::DOUBLE THEN 'Moderate parallel benefit. ' || printf('%.1f', speedup) || 'x speedup. Consider optimizing worker tasks.'
+  ELSE 'Limited parallel benefit. ' || printf('%.1f', speedup) || 'x speedup. Sequential processing may be sufficient.' END AS recommendation FROM measured""",
+)
+def run_compare_text(spark: SparkSession, directory: str) -> DataFrame:
+    """The whole sentence of the comparison."""
+    return U.run_compare(daily_runs(spark, directory), ["day"]).select("day", "recommendation")
+
+
+@query(
+    "elapsed_seconds",
+    """SELECT o_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, date_diff('microsecond', o_orderdate, l_shipdate) / 1000000.0::DOUBLE AS seconds
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey""",
+)
+def elapsed(spark: SparkSession, directory: str) -> DataFrame:
+    """Seconds from an order to the shipping of each of its lines."""
+    orders, lines = table(spark, directory, "orders"), table(spark, directory, "lineitem")
+    joined = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
+    started, ended = F.col("o_orderdate").cast("timestamp"), F.col("l_shipdate").cast("timestamp")
+    return joined.select("o_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), elapsed_seconds(started, ended).alias("seconds"))
+
+
 _AUDIT_SQL = (
     f"WITH {DOCFILES}, audit AS (SELECT 'proc_' || strftime(upload_time, '%Y%m%d_%H%M%S') || '_f' || CAST(doc_id AS VARCHAR) AS processing_id, "
     "'f' || CAST(doc_id AS VARCHAR) AS file_id, original_name, 1 + size_bytes // 600 AS chunk_count, "

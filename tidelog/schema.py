@@ -28,11 +28,14 @@ MANIFEST_SCHEMA = T.StructType(
 
 RECORD_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in LOG_FIELDS])
 
+# What a chunk function returns: the standard fields as text, and the whole record as JSON.
+MAPPED_RECORD_SCHEMA = T.StructType([*RECORD_SCHEMA.fields, T.StructField("raw_data", T.StringType())])
+
 CHUNK_RESULT_SCHEMA = T.StructType(
     [
         T.StructField("file", T.StringType()),
         T.StructField("chunk_id", T.LongType()),
-        T.StructField("cleaned", T.ArrayType(RECORD_SCHEMA)),
+        T.StructField("cleaned", T.ArrayType(MAPPED_RECORD_SCHEMA)),
         T.StructField("original_line_count", T.LongType()),
         T.StructField("cleaned_line_count", T.LongType()),
         T.StructField("processing_time_seconds", T.DoubleType()),

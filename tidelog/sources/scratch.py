@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
+_MADE: list[str] = []
+
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below `spark.checkpoint.dir`; a local folder only when the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/tidelog/{label}-{uuid.uuid4().hex}"
+    """A fresh path below `spark.checkpoint.dir`, else below the warehouse: both are shared by driver and executors.
+
+    What is written there goes when the session's process ends.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/tidelog/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+@atexit.register
+def remove_scratch() -> None:
+    """Deletes the paths handed out, as long as the session that can reach them is still there."""
+    context = SparkContext._active_spark_context
+    if context is None or context._jsc is None:
+        return
+    while _MADE:
+        path = context._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,6 +8,7 @@ writer at a time.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -39,14 +40,21 @@ def read_store(spark: SparkSession, root: str) -> DataFrame:
 
 
 def open_store(spark: SparkSession, root: str) -> DataFrame:
-    """The stored table, created when it does not exist yet."""
+    """The stored table, created when there is nothing at `root` yet. What is there is never overwritten."""
     try:
         return read_store(spark, root)
-    except AnalysisException:
-        reset_store(spark, root)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        spark.createDataFrame([], STORE_SCHEMA).write.mode("append").partitionBy("run", "batch_id").parquet(root)
         return read_store(spark, root)
 
 
+def partition_name(value: str) -> str:
+    """A partition value as a path keeps it: control characters and those with a meaning in paths are percent-coded."""
+    return re.sub(r"[\x00-\x1f\x7f\"#%'*/:=?\\{}\[\]^]", lambda met: f"%{ord(met.group()):02X}", value)
+
+
 def stored_before(stored: DataFrame, run: str, batch_id: int) -> DataFrame:
     """What was stored when the batch first ran: everything but this and later batches of the run."""
     return stored.filter((F.col("run") != run) | (F.col("batch_id") < batch_id))
@@ -58,7 +66,7 @@ def write_batch(records: DataFrame, root: str, run: str, batch_id: int) -> None:
         records.select(*_DATA_COLUMNS)
         .sortWithinPartitions("timestamp")
         .write.mode("overwrite")
-        .parquet(f"{root}/run={run}/batch_id={batch_id}")
+        .parquet(f"{root}/run={partition_name(run)}/batch_id={batch_id}")
     )
 
 
@@ -70,14 +78,15 @@ def unique_records(records: DataFrame, order: Sequence[str] = LINEAGE) -> DataFr
 def merge_batch(records: DataFrame, root: str, run: str, batch_id: int, small: bool = False) -> None:
     """Deduplicate records against themselves and the table, and store the rest.
 
-    Needs file, chunk_id, pos and the standard fields; `raw_data` is generated when absent.
+    Needs file, chunk_id, pos and the standard fields. The whole record is kept: `raw_data` as given, else the source
+    line or entry in `raw`; only without both is it made of the standard fields.
     small=True suits batches that are small next to the store: the batch is kept while its hashes
     are looked up, and the stored hashes are scanned instead of shuffled.
     """
     spark = records.sparkSession
     stored = stored_before(open_store(spark, root), run, batch_id)
     if "raw_data" not in records.columns:
-        records = emit_json(records)
+        records = records.withColumn("raw_data", F.col("raw")) if "raw" in records.columns else emit_json(records)
     unique = unique_records(records)
     if not small:
         write_batch(tag_lineage(dedup_vs_store(unique, stored), run, batch_id), root, run, batch_id)
