@@ -220,40 +220,40 @@ def _walk(limit: int):
     columns = ["file", "block", "chunk_id", "first_line", "last_line", "line_count", "size_bytes"]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows sorted by file, block, line_no; constant state, batches may cut a block anywhere."""
-        file = block = None
-        piece = None  # [chunk_id, first_line, last_line, line_count, size_bytes]
-        filled = 0  # bytes of the open chunk, pieces in earlier blocks included
+        """Rows sorted by file, block, line_no; constant state, batches may cut a block anywhere.
+
+        Goes from chunk to chunk: the lines that still fit are found by binary search in the running sums.
+        """
+        key = piece = None  # piece: [chunk_id, first_line, last_line, line_count, size_bytes]
+        filled = chunk_id = 0  # bytes of the open chunk, pieces in earlier blocks included
         for pdf in batches:
             done = []
-            rows = zip(
-                pdf["file"].tolist(),
-                pdf["block"].tolist(),
-                pdf["line_no"].tolist(),
-                pdf["n_bytes"].tolist(),
-                pdf["carried"].tolist(),
-                pdf["entry_id"].tolist(),
-            )
-            for row_file, row_block, number, size, carried, entry_id in rows:
-                if row_block != block or row_file != file:
+            for run, begin, end in _runs(pdf, "file", "block"):
+                if run != key:
                     if piece:
-                        done.append((file, block, *piece))
-                    file, block, filled = row_file, row_block, carried
-                    chunk_id = entry_id
-                    piece = None
-                if filled and filled + size > limit:
+                        done.append((*key, *piece))
+                    key, piece = run, None
+                    filled, chunk_id = int(pdf["carried"].iloc[begin]), int(pdf["entry_id"].iloc[begin])
+                numbers = pdf["line_no"].to_numpy(np.int64)[begin:end]
+                ends = np.cumsum(pdf["n_bytes"].to_numpy(np.int64)[begin:end])
+                at = base = 0
+                while at < len(ends):
+                    fit = int(np.searchsorted(ends, base + limit - filled, side="right"))
+                    if fit <= at and filled:
+                        if piece:
+                            done.append((*key, *piece))
+                        piece, filled, chunk_id = None, 0, chunk_id + 1
+                        continue
+                    fit = max(fit, at + 1)
+                    size, last = int(ends[fit - 1]) - base, int(numbers[fit - 1])
                     if piece:
-                        done.append((file, block, *piece))
-                    piece, filled = None, 0
-                    chunk_id += 1
-                if piece:
-                    piece[2], piece[3], piece[4] = number, piece[3] + 1, piece[4] + size
-                else:
-                    piece = [chunk_id, number, number, 1, size]
-                filled += size
+                        piece[2], piece[3], piece[4] = last, piece[3] + fit - at, piece[4] + size
+                    else:
+                        piece = [chunk_id, int(numbers[at]), last, fit - at, size]
+                    filled, base, at = filled + size, int(ends[fit - 1]), fit
             yield pd.DataFrame(done, columns=columns)
         if piece:
-            yield pd.DataFrame([(file, block, *piece)], columns=columns)
+            yield pd.DataFrame([(*key, *piece)], columns=columns)
 
     return walk
 
