@@ -75,6 +75,12 @@ def test_detection(spark, tmp_path, compat, expected):
     assert found == {**common, **expected}
 
 
+def test_files_that_are_left_out_have_a_reason(spark, tmp_path):
+    write_files(tmp_path, {"a.log": "x\n", "b.LOG": "x\n", "app.out": "x\n", "c.json": "{}" * 50})
+    rows = {row.original_name: row.reject_reason for row in S.refused_files(spark, str(tmp_path), 50).collect()}
+    assert rows == {"app.out": "extension not accepted", "c.json": "file too large"}
+
+
 def test_invalid_utf8_is_quarantined(spark, tmp_path):
     folder = write_files(tmp_path, {"bad.log": b"fine\n\xff\xfe\n"})
     good, bad = S.valid_text(S.scan_lines(spark, folder))

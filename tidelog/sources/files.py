@@ -54,6 +54,16 @@ def list_directory(spark: SparkSession, path: str, glob: str = ACCEPTED_GLOB, in
     return listing.select("path", F.element_at(F.split("path", "/"), -1).alias("original_name"), "size_bytes", "upload_time")
 
 
+def refused_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Files below `path` that the readers leave out, with the reason: another extension, no name, or too large.
+
+    From the listing alone; together with the admitted ones these are all files that hold anything.
+    """
+    every = with_admission(list_directory(spark, path, "*"), max_bytes)
+    reason = F.coalesce("reject_reason", F.when(~accepts_name(F.col("original_name")), F.lit("extension not accepted")))
+    return every.withColumn("reject_reason", reason).filter("reject_reason is not null")
+
+
 def make_file_id(upload_time: Column, name: Column) -> Column:
     return F.concat_ws("_", F.date_format(upload_time, "yyyyMMdd_HHmmss"), name)
 
