@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
+from llm_fixtures import documents  # noqa: F401
 
 from tidelog.llm import bpe
 from tidelog.llm.common import table

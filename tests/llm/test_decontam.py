@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from llm_fixtures import documents  # noqa: F401
 
 from tidelog.llm import decontam
 from tidelog.llm.common import table
@@ -27,7 +28,7 @@ def template(text):
                 kind = "<num>"
             elif lower in decontam.UNITS and last == "<num>":
                 kind = "<unit>"
-            elif word[0].isupper() and len(word) > 1 and not begins:
+            elif word[0].isupper() and not word.isupper() and not begins:
                 kind = "<name>"
             else:
                 kind = lower

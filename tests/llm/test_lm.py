@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from llm_fixtures import documents  # noqa: F401
 
 from tidelog.llm import lm
 from tidelog.llm.common import table

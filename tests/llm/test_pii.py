@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from llm_fixtures import documents  # noqa: F401
 
 from tidelog.llm import pii
 from tidelog.llm.common import table

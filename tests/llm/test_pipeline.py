@@ -6,6 +6,7 @@ import pytest
 from test_decontam import plain_leaks
 from test_simhash import plain_classes, plain_fingerprint
 from tokenizers import Tokenizer
+from llm_fixtures import documents  # noqa: F401
 
 import __spark_entry__ as contract
 import corpus_pipeline

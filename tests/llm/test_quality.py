@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from llm_fixtures import documents  # noqa: F401
 
 from tidelog.llm import quality
 from tidelog.llm.common import table

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from llm_fixtures import documents  # noqa: F401
 
 from tidelog.llm import simhash
 from tidelog.llm.common import connected_classes, table

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from llm_fixtures import documents  # noqa: F401
 
 from tidelog.llm import substrings
 from tidelog.llm.common import table
