@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.json_values import parse_json
-from tidelog.functions.text import or_unknown
+from tidelog.functions.text import display_time, or_unknown
 from tidelog.schema import LINEAGE
 
 # Rows returned when the caller names no limit, rows and services shown on screen.
@@ -82,16 +82,24 @@ def raw_documents(records: DataFrame) -> DataFrame:
 
 def display_columns(records: DataFrame) -> DataFrame:
     return records.select(
-        F.date_format(F.col("timestamp").try_cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+        display_time(F.col("timestamp")).alias("timestamp"),
         "level",
         or_unknown(F.col("service")).alias("service"),
         "message",
     )
 
 
-def display_rows(records: DataFrame, ties: Sequence[str] = LINEAGE) -> DataFrame:
+def display_rows(records: DataFrame, ties: Sequence[str] = LINEAGE, rows: int = DISPLAY_ROWS) -> DataFrame:
     """The first screen of the newest records."""
-    return display_columns(newest_first(records, ties).limit(DISPLAY_ROWS))
+    return display_columns(newest_first(records, ties).limit(rows))
+
+
+def display_services(records: DataFrame, services: int = DISPLAY_SERVICES) -> DataFrame:
+    """The services on the first screen: the largest, with their share of all records."""
+    counts = records.groupBy("service").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy())  # over one row per service
+    shown = counts.withColumn("share", F.col("n") / total).orderBy(F.desc("n"), F.asc_nulls_first("service"))
+    return shown.limit(services)
 
 
 def top_services(records: DataFrame, k: int = TOP_SERVICES) -> DataFrame:

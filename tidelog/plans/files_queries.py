@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.json_values import field_text
-from tidelog.functions.text import strip
 from tidelog.plans.adapters import DOCFILES, DOCLINES, document_files, document_lines, table
 from tidelog.plans.registry import query
 from tidelog.sources import files as S

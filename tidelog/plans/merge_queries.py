@@ -352,6 +352,14 @@ def first_services(spark: SparkSession, directory: str) -> DataFrame:
     return R.first_services(survivors(spark, directory))
 
 
+@query(
+    "display_services",
+    f"WITH {HASHED} SELECT service, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM survivors GROUP BY service ORDER BY n DESC, service NULLS FIRST LIMIT 5",
+)
+def display_services(spark: SparkSession, directory: str) -> DataFrame:
+    return R.display_services(survivors(spark, directory))
+
+
 @query(
     "display_rows",
     f"""WITH {HASHED} SELECT replace("timestamp", 'T', ' ') AS "timestamp", level, coalesce(service, 'unknown') AS service, message

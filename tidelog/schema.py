@@ -14,18 +14,6 @@ LOG_FIELDS = REQUIRED_FIELDS + OPTIONAL_FIELDS
 
 LINEAGE = ("file", "chunk_id", "pos")
 
-MANIFEST_SCHEMA = T.StructType(
-    [
-        T.StructField("file_id", T.StringType()),
-        T.StructField("original_name", T.StringType()),
-        T.StructField("file_type", T.StringType()),
-        T.StructField("size_bytes", T.LongType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("upload_time", T.TimestampType()),
-        T.StructField("status", T.StringType()),
-    ]
-)
-
 RECORD_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in LOG_FIELDS])
 
 # What a chunk function returns: the standard fields as text, and the whole record as JSON.
@@ -65,18 +53,3 @@ STORE_SCHEMA = T.StructType(
         T.StructField("batch_id", T.LongType()),
     ]
 )
-
-RUN_SCHEMA = T.StructType(
-    [
-        T.StructField("processing_id", T.StringType()),
-        T.StructField("file_id", T.StringType()),
-        T.StructField("original_name", T.StringType()),
-        T.StructField("chunk_count", T.LongType()),
-        T.StructField("processing_method", T.StringType()),
-        T.StructField("processing_time_seconds", T.DoubleType()),
-        T.StructField("estimated_time_minutes", T.DoubleType()),
-        T.StructField("final_log_count", T.LongType()),
-        T.StructField("completed_at", T.StringType()),
-        T.StructField("status", T.StringType()),
-    ]
-)
