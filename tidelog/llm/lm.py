@@ -12,7 +12,7 @@ block of texts is traversed side by side, one array step per order.
 
 The model is never gathered in one place. Documents are dealt to blocks of about BLOCK_BYTES. Each block counts its own
 n-grams (by 64-bit hash) and sends the sorted counts, cut into hash ranges, to the ranges' tasks; these add them up and
-send back to each block only the totals that differ from its own counts. With those a block builds its part of the
+send back to each block only the totals that differ from its own counts, with a bit per entry that says which. With those a block builds its part of the
 automaton: the arcs its texts can reach. Counts are added up before every shuffle, so a frequent word is one entry per
 block, and no task holds more than a block or a range.
 
@@ -92,8 +92,13 @@ class Block:
         return mixed ^ (mixed >> np.uint64(29))
 
 
-def packed(block: int, order: int, hashes: np.ndarray, counts: np.ndarray) -> tuple:
-    return block, order, hashes.tobytes(), counts.tobytes()
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of 64-bit numbers, all first bytes first: sorted hashes and small counts shrink when shuffle files are compressed."""
+    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def numbers(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 def ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -163,14 +168,14 @@ def scored(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BY
             cut = ranges(hashes, blocks)
             for part in np.flatnonzero(np.diff(cut)).tolist():
                 here = slice(cut[part], cut[part + 1])
-                rows.append((part, *packed(int(frame["block"].iloc[0]), k, hashes[here], counts[here].astype(np.uint32))))
+                rows.append((part, int(frame["block"].iloc[0]), k, planes(hashes[here]), planes(counts[here])))
         return pd.DataFrame(rows, columns=["part", "block", "order", "hashes", "counts"])
 
     def add_up(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, tokens, words = [], 0, 0
+        rows, tokens, words, part = [], 0, 0, int(frame["part"].iloc[0])
         for k, own in frame.groupby("order"):
-            hashes = np.concatenate([np.frombuffer(b, np.uint64) for b in own["hashes"]])
-            counts = np.concatenate([np.frombuffer(b, np.uint32) for b in own["counts"]]).astype(np.int64)
+            hashes = np.concatenate([numbers(b) for b in own["hashes"]])
+            counts = np.concatenate([numbers(b) for b in own["counts"]]).astype(np.int64)
             unique, at = np.unique(hashes, return_inverse=True)
             totals = np.bincount(at, weights=counts, minlength=len(unique)).astype(np.int64)
             if k == 0:
@@ -181,10 +186,10 @@ def scored(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BY
                 here = slice(start, start := start + len(sent) // 8)
                 more = totals[here] != counts[here]
                 if more.any():
-                    rows.append(packed(block, k, hashes[here][more], totals[here][more]))
-        share = np.array([tokens, words]).tobytes()
-        rows += [(block, -1, share, b"") for block in range(blocks)]
-        return pd.DataFrame(rows, columns=["block", "order", "hashes", "counts"])
+                    rows.append((part, block, k, np.packbits(more).tobytes(), planes(totals[here][more])))
+        share = planes(np.array([tokens, words]))
+        rows += [(part, block, -1, b"", share) for block in range(blocks)]
+        return pd.DataFrame(rows, columns=["part", "block", "order", "differs", "counts"])
 
     def score(own: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
         if not len(own):
@@ -192,12 +197,14 @@ def scored(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BY
         block, held = build(own)
         counts = [c.copy() for c in block.count]
         tokens = words = 0
-        for k, hashes, totals in zip(sent["order"], sent["hashes"], sent["counts"], strict=True):
+        cuts = [ranges(hashes, blocks) for hashes in block.unique]
+        for part, k, differs, totals in zip(sent["part"], sent["order"], sent["differs"], sent["counts"], strict=True):
             if k < 0:
-                share = np.frombuffer(hashes, np.int64)
+                share = numbers(totals)
                 tokens, words = tokens + int(share[0]), words + int(share[1])
             else:
-                counts[k][np.searchsorted(block.unique[k], np.frombuffer(hashes, np.uint64))] = np.frombuffer(totals, np.int64)
+                own_part = counts[k][cuts[k][part] : cuts[k][part + 1]]
+                own_part[np.unpackbits(np.frombuffer(differs, np.uint8), count=len(own_part)).astype(bool)] = numbers(totals)
         base, weight = Automaton(block, counts, tokens, words).read()
         known = counts[0][block.at[0]] > 0
         return pd.DataFrame(
@@ -213,6 +220,6 @@ def scored(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BY
         )
 
     sent = named.groupBy("block").applyInPandas(count, "part int, block int, order int, hashes binary, counts binary")
-    totals = sent.groupBy("part").applyInPandas(add_up, "block int, order int, hashes binary, counts binary")
+    totals = sent.groupBy("part").applyInPandas(add_up, "part int, block int, order int, differs binary, counts binary")
     found = named.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, SCORES)
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
