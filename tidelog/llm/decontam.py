@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates: typed placeholders, window joins, slot consistency.
 
 A text becomes a sequence of template tokens: words without the signs around them and in lower case; numbers, units (after
-a number) and names (capitalised inside a sentence; several in a row are one) become placeholders. Windows of five
+a number) and names (capitalised inside a sentence, but not all in capitals; several in a row are one) become placeholders. Windows of five
 template tokens, at least three of them literal, are joined by hash with those of the benchmark items. A document holds
 an item if at least 0.8 of the item's distinct windows occur in it and, along the best alignment, at least 0.8 of the slot
 occurrences agree with one value per item value: then it is an exact leak (if as many slots hold the item's own values), or
@@ -65,8 +65,7 @@ class Canonical:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.codes: list[int] = []
-        self.flags: list[int] = []
+        self.codes, self.flags = np.empty(1024, np.uint64), np.empty(1024, np.uint8)
 
     def __missing(self, token: str) -> int:
         word = EDGES.sub("", token)
@@ -81,14 +80,15 @@ class Canonical:
             lower = word.lower()
             if NUMBER.fullmatch(word) or lower in NUMBER_WORDS:
                 flags |= NUM
-            elif word[0].isupper() and len(word) > 1:
+            elif word[0].isupper() and not word.isupper():
                 flags |= CAPITAL
             if lower in UNITS:
                 flags |= UNIT
             word = lower
-        self.index[token] = at = len(self.codes)
-        self.codes.append(xxhash.xxh64_intdigest(word, SEED))
-        self.flags.append(flags)
+        self.index[token] = at = len(self.index)
+        if at == len(self.codes):
+            self.codes, self.flags = np.resize(self.codes, 2 * at), np.resize(self.flags, 2 * at)
+        self.codes[at], self.flags[at] = xxhash.xxh64_intdigest(word, SEED), flags
         return at
 
     def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -98,8 +98,7 @@ class Canonical:
         raw = GLUED.sub(" ", text).replace("\n", " \0 ").split()
         index, missing = self.index, self.__missing
         at = np.fromiter((index[t] if t in index else missing(t) for t in raw), np.int64, len(raw))
-        flags = np.array([self.flags[i] for i in at.tolist()], np.uint8)
-        codes = np.array([self.codes[i] for i in at.tolist()], np.uint64)
+        flags, codes = self.flags[at], self.codes[at]
         ends = np.concatenate(([0], np.cumsum(flags & ENDS > 0)))
         place = np.flatnonzero(flags & EMPTY == 0)
         flags, codes, ends = flags[place], codes[place], ends[place]
