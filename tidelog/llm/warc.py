@@ -51,7 +51,8 @@ def deduplicated(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     known = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     known = known.withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long"))
     shared = known.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
-    shared = shared.where("n > 1").select("digest", "bytes", "first")
+    # As a written table its size is known, so that few repeated payloads are joined without shuffling the pages.
+    shared = saved(shared.where("n > 1").select("digest", "bytes", "first"), "warc-shared")
     found = known.join(shared, ["digest", "bytes"], "left")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return found.withColumn("refers_to", F.when(other, F.col("first"))).drop("first")
@@ -212,7 +213,8 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     real = entered.groupBy("file", "part").applyInPandas(follow, "file string, part long, start long")
     real = saved(heads.join(real, ["file", "part", "start"]), "warc-records")
     whole = real.where("payload_bytes is not null").select("file", "start", "next", "fields", "digest", "payload_bytes")
-    return whole.union(_joined(spark, path, found, real.where("payload_bytes is null")))
+    opened = real.where("payload_bytes is null")
+    return whole if opened.isEmpty() else whole.union(_joined(spark, path, found, opened))
 
 
 def _joined(spark: SparkSession, path: str, found: DataFrame, opened: DataFrame) -> DataFrame:
@@ -225,7 +227,7 @@ def _joined(spark: SparkSession, path: str, found: DataFrame, opened: DataFrame)
         for row in placed(frames):
             yield pd.DataFrame([row], columns=["file", "part", "at", "value"])
 
-    wanted = inside.select("file", "part").distinct()
+    wanted = saved(inside.select("file", "part").distinct(), "warc-wanted")
     values = pieces(spark, path).join(wanted, ["file", "part"], "left_semi").mapInPandas(again, "file string, part long, at long, value binary")
     values = values.join(inside, ["file", "part", "at"])
     blocks = values.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("values"))
