@@ -32,25 +32,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import saved
+from tidelog.llm.common import arrow_rows, saved
 from tidelog.llm.gsaca import suffix_arrays
 
 LENGTH = 100
 ANCHOR = 32
 CONTEXT = 32
 # Bytes of text that a task takes apart together, and bytes of text per anchor range.
-BATCH_BYTES = 16 << 20
-RANGE_BYTES = 12 << 20
+BATCH_BYTES = 3 << 20
+RANGE_BYTES = 6 << 20
 # Segments whose suffix array is constructed; larger groups go by hash.
 GROUP = 12
 # Symbols laid side by side for suffix arrays.
-LAYOUT = 600_000
+LAYOUT = 200_000
+# Documents that are handed to a task's Python at a time.
+ROWS = 1000
 # Starts of windows handled at a time within one long text (positions share a word with hashes).
 PIECE = 1_000_000
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 TABLE = np.frombuffer(hashlib.shake_128(b"bytes").digest(2048), np.uint64)
 ENTRY = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("tie", "<i4"), ("start", "<i4"), ("anchor", "u1"), ("more", "u1"), ("right", "<u2"), ("left", "<u2")])
+SPAN_ROW = np.dtype([("doc", "<i8"), ("tie", "<i4"), ("start", "<i8"), ("stop", "<i8")])
 
 
 def rolled(data: np.ndarray, width: int) -> np.ndarray:
@@ -92,7 +95,9 @@ def segments(data: bytes) -> dict[str, np.ndarray]:
         # Contexts outside this piece are missing for windows of this piece as well.
         right, left = anchor + ANCHOR, anchor - CONTEXT
         has_right, has_left = right < len(hashes), left >= 0
-        out["key"].append(hashes[anchor])
+        # Anchors have small hashes; multiplied by an odd number they are as distinct, and spread over all ranges.
+        spread = hashes[anchor] * FACTOR
+        out["key"].append(spread ^ (spread >> np.uint64(32)))
         out["content"].append(content)
         out["start"].append(first + at)
         out["anchor"].append(anchor - first)
@@ -149,6 +154,8 @@ def shared_windows(groups: np.ndarray, owners: np.ndarray, starts: np.ndarray, b
 
     Rows are sorted by group and, inside, by place of their documents: `owners` (of equal documents) and starts order them.
     """
+    if not len(groups):
+        return np.empty((0, 2), np.int64)
     sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) + 1
     begin = np.cumsum(sizes) - sizes
     # Per group one text: its bodies, each with a separator behind it, the last of which ends the text.
@@ -234,32 +241,35 @@ def _batches(frames: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFram
 
 
 def anchored(documents: DataFrame, ranges: int) -> DataFrame:
-    """Segments by anchor range, packed (part >= 0), and spans that a batch already knows to be repeats (part < 0)."""
+    """Segments by anchor range, packed, and (in any range) the spans that a batch already knows to be repeats."""
+    borders = np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _batches(frames, BATCH_BYTES):
+        for number, frame in enumerate(_batches(frames, BATCH_BYTES)):
             firsts, later = resolved(_entries_of(frame))
-            spans = _spans(later["doc"], later["tie"], later["start"].astype(np.int64), later["start"].astype(np.int64) + later["more"] + LENGTH)
-            yield spans.assign(part=-1, packed=None)
-            borders = np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
+            spans = _whole_spans(later).to_records(index=False, column_dtypes=dict(SPAN_ROW.descr)).tobytes()
             cut = np.append(np.searchsorted(firsts["key"], borders), len(firsts))
-            rows = [(part, firsts[cut[part] : cut[part + 1]].tobytes()) for part in np.flatnonzero(np.diff(cut)).tolist()]
-            yield pd.DataFrame(rows, columns=["part", "packed"]).assign(doc=0, tie=0, start=0, stop=0)
+            rows = [(part, firsts[cut[part] : cut[part + 1]].tobytes(), b"") for part in np.flatnonzero(np.diff(cut)).tolist()]
+            yield pd.DataFrame([*rows, (number % ranges, b"", spans)], columns=["part", "packed", "spans"])
+
+    return _named(documents).mapInPandas(run, "part int, packed binary, spans binary")
+
 
-    columns = "part int, packed binary, doc long, tie int, start long, stop long"
-    return _named(documents).mapInPandas(lambda frames: (f[["part", "packed", "doc", "tie", "start", "stop"]] for f in run(frames)), columns)
+def _whole_spans(later: np.ndarray) -> pd.DataFrame:
+    start = later["start"].astype(np.int64)
+    return _spans(later["doc"], later["tie"], start, start + later["more"] + LENGTH)
 
 
-MEET = "doc long, tie int, start long, stop long, group long, members int, first long"
+MEET = "doc long, tie int, start long, stop long, group long, members int"
 
 
 def across(frame: pd.DataFrame) -> pd.DataFrame:
     """Of an anchor range: repeated segments (members = 0), and the segments that meet in groups."""
+    known = pd.DataFrame(np.frombuffer(b"".join(frame["spans"]), SPAN_ROW))
     firsts, later = resolved(np.frombuffer(b"".join(frame["packed"]), ENTRY))
-    done = _spans(later["doc"], later["tie"], later["start"].astype(np.int64), later["start"].astype(np.int64) + later["more"] + LENGTH)
-    out = [done.assign(group=0, members=0, first=0)]
+    out = [spans.assign(group=0, members=0) for spans in (known, _whole_spans(later))]
     for entries, group, members, first, last in meetings(firsts):
-        out.append(pd.DataFrame({"doc": entries["doc"], "tie": entries["tie"], "start": first, "stop": last + LENGTH, "group": group, "members": members, "first": first}))
+        out.append(pd.DataFrame({"doc": entries["doc"], "tie": entries["tie"], "start": first, "stop": last + LENGTH, "group": group, "members": members}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -274,10 +284,10 @@ def _bodies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spans: dict[tuple[int, int], list[int]] = {}
         for doc, tie, text, wanted in zip(frame["doc"].tolist(), frame["tie"].tolist(), frame["text"], frame["wanted"], strict=True):
             data = text.encode()
-            for want in wanted:
-                start, stop = want["start"], want["stop"]
-                if want["members"] <= GROUP:
-                    rows.append((doc, tie, start, stop, want["group"], SEGMENT, data[start:stop], 0, 0))
+            for want in wanted.split(","):
+                start, stop, group, members = map(int, want.split())
+                if members <= GROUP:
+                    rows.append((doc, tie, start, stop, group, SEGMENT, data[start:stop], 0, 0))
                     continue
                 for at in range(start, stop - LENGTH + 1):
                     code = xxhash.xxh3_128_intdigest(data[at : at + LENGTH])
@@ -287,12 +297,19 @@ def _bodies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         here, there = there, here
                     if here is not None and here != there:
                         spans.setdefault(here[:2], []).append(here[2])
+            if len(rows) >= 20_000:
+                yield _body_rows(rows)
+                rows = []
         for (doc, tie), starts in spans.items():
             first, last = united(np.array(starts), np.array(starts) + LENGTH)
             rows += [(doc, tie, a, b, 0, SPAN, None, 0, 0) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
         half = 1 << 63
         rows += [(*at, at[2] + LENGTH, 0, WINDOW, None, (code & (2 * half - 1)) - half, (code >> 64) - half) for code, at in windows.items()]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in BODY.split(", ")])
+        yield _body_rows(rows)
+
+
+def _body_rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in BODY.split(", ")])
 
 
 def _compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -322,7 +339,7 @@ def _compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         held.append(frame)
         count += int(frame["body"].str.len().sum())
-        if count > 20 * LAYOUT:
+        if count > 10 * LAYOUT:
             part = pd.concat(held, ignore_index=True)
             open_group = part["group"] == part["group"].iloc[-1]
             if not open_group.all():
@@ -337,12 +354,12 @@ def repeats(documents: DataFrame) -> DataFrame:
     """doc, tie, start, stop: spans whose union per document is every byte in a window that also starts earlier."""
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-size // RANGE_BYTES))
-    found = saved(anchored(documents, ranges), "segments")
-    met = found.where("part >= 0").select("part", "packed").groupBy("part").applyInPandas(across, MEET)
-    met = saved(met, "segments-met")
-    wanted = met.where("members > 0").groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop", "group", "members")).alias("wanted"))
+    with arrow_rows(documents.sparkSession, ROWS):
+        met = saved(anchored(documents, ranges).groupBy("part").applyInPandas(across, MEET), "segments-met")
+    wanted = met.where("members > 0").groupBy("doc", "tie").agg(F.array_join(F.collect_list(F.concat_ws(" ", "start", "stop", "group", "members")), ",").alias("wanted"))
     texts = _named(documents).join(wanted, ["doc", "tie"]).dropDuplicates(["doc", "tie"])
-    cut = saved(texts.select("doc", "tie", "text", "wanted").mapInPandas(_bodies, BODY), "segment-bodies")
+    with arrow_rows(documents.sparkSession, ROWS):
+        cut = saved(texts.select("doc", "tie", "text", "wanted").mapInPandas(_bodies, BODY), "segment-bodies")
     small = cut.where(F.col("kind") == SEGMENT).select("doc", "tie", "start", "group", "body")
     tasks = max(12, 2 * ranges)
     small = small.repartition(tasks, "group").sortWithinPartitions("group").mapInPandas(_compared, "doc long, tie int, start long, stop long")
@@ -351,7 +368,7 @@ def repeats(documents: DataFrame) -> DataFrame:
     first = windows.groupBy("low", "high").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     large = windows.join(first, ["low", "high"]).where(place != F.col("first"))
     spans = ["doc", "tie", "start", "stop"]
-    out = found.where("part < 0").select(*spans).union(met.where("members = 0").select(*spans))
+    out = met.where("members = 0").select(*spans)
     return out.union(small.select(*spans)).union(cut.where(F.col("kind") == SPAN).select(*spans)).union(large.select(*spans))
 
 
@@ -393,4 +410,5 @@ def op6(documents: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = with_repeats(documents).select("doc_id", digest("text", "spans").alias("found"))
-    return found.select("doc_id", "found.*")
+    with arrow_rows(documents.sparkSession, ROWS):
+        return saved(found.select("doc_id", "found.*"), "kept-digests")
