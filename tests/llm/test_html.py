@@ -81,6 +81,28 @@ def test_differencing(spark):
     assert found[21] == found[22] == "Home | About " + " ".join(s.format("z") for s in story) + " All rights reserved"
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_templates_that_outweigh_articles_and_copies(spark, parts):
+    menu, legal = "Home | About | Products | Contact | Jobs | Press | Site map", "All rights reserved by whom it may concern, wherever they are"
+    rows = [(i, f"http://a.com/{i:02d}", page([f"short {i}"], (menu, legal))) for i in range(9)]
+    # Copies under neighbouring paths, then copies of another page.
+    rows += [(20 + i, f"http://b.com/{i}", page([f"story {i // 4}"], (menu, legal))) for i in range(8)]
+    # Pages that differ in a line only, beside one of another article: the article stays.
+    body = "an article that is long enough to outweigh the menu and the legal line of its site by far, and goes on and on and on, more than twice as long as both"
+    rows += [(40 + i, f"http://c.com/{i}", page([f"seen {i} times", body], (menu, legal))) for i in range(6)]
+    rows += [(50, "http://c.com/9", page([body[::-1]], (menu, legal)))]
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesced, str(parts == 1).lower())  # runs of pages lie in one range, or across several
+    try:
+        found = {row.page_id: row.text for row in html.op8(spark.createDataFrame(rows, PAGES).repartition(parts)).collect()}
+    finally:
+        spark.conf.unset(coalesced)
+    assert {i: found[i] for i in range(9)} == {i: f"short {i}" for i in range(9)}
+    assert {i: found[20 + i] for i in range(8)} == {i: f"story {i // 4}" for i in range(8)}
+    assert {i: found[40 + i] for i in range(6)} == {i: f"seen {i} times {body}" for i in range(6)}
+    assert found[50] == body[::-1]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (2, None, ""), (None, "http://a.com/", "<p>a</p>"), (3, "http://a.com/", "<p>a</p>"), (3, "http://a.com/", "<p>a</p>"), (2**60 + 1, "u", "<article>" + "w " * 100_000)]
     found = sorted((str(row.page_id), row.n_chars) for row in html.op8(spark.createDataFrame(rows, PAGES)).collect())

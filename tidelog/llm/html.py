@@ -3,13 +3,16 @@
 A page is cut into text lines, one per block element, with character references decoded and white space folded. Lines of
 menus, headers, footers, sidebars, notices, adverts, forms and comments (by element, role, class or id), scripts and styles
 are no article. If the page marks its article (`article`, `main`), that is the text. The lines of pages that mark none are
-aligned, by longest common subsequence, with those of the page of the same host whose URL path comes next before (or,
-for a host's first page, after) in order, and lines that both share are deleted as the site's template. A page most of whose
-text is shared is a copy of its neighbour, not a template, and keeps its lines.
+aligned, by longest common subsequence, with those of a page of the same host, and lines that both share are deleted as the
+site's template. Pages of a host with equal lines are one here, at their first path, and what is deleted of one is of all.
+Pages next to each other in order of path that share most of their text may be copies, or small articles in a large template:
+each is compared with the nearest page before their whole run (or, if there is none, after), which holds the template but no
+copy. If the run is all of the host, that page is the next before (or, for a host's first page, after). A page whose lines
+are all shared is contained in the other and keeps them.
 
-Pages find their neighbours by a range sort on host and path over small rows (id, URL, line hashes); the last rows of one
-range meet the first of the next through a table with a row per range. Page texts are not shuffled for it: a second pass
-over the pages joins only the line numbers to delete.
+Pages find their neighbours by a range sort on host and path over small rows (id, URL, line hashes); rows of one range meet
+those of others through a table with a row per range. Page texts are not shuffled for it: a second pass over the pages joins
+only the line numbers to delete.
 
 Nulls: null html has no text; a null URL has an empty host and path, and such pages are neighbours of each other. Repeated
 pages stay, each with its own row. Extra columns are ignored. Pages count whole, of any length; broken markup is read as
@@ -48,7 +51,7 @@ MARKS = re.compile(
     r"related|recommended|comment|comments|disqus|replies|reply|pagination|pager|toolbar|skip)(?:$|[\s_-])"
 )
 REMARKS = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|replies|reply)(?:$|[\s_-])")
-# A page this much of whose text its neighbour shares is a copy.
+# Pages that share this much of the text of either may be copies.
 COPY = 0.5
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))*+)(?:>|$)", re.DOTALL)
@@ -196,12 +199,17 @@ def _lengths(own: np.ndarray, other: np.ndarray) -> np.ndarray:
     return row
 
 
-def template_lines(own: list[int], sizes: list[int], other: list[int]) -> list[int]:
-    """Line numbers to delete: the shared ones, unless they are most of the page's text."""
-    shared = shared_lines(np.array(own, np.int64), np.array(other, np.int64)).astype(np.int64)
-    if np.array(sizes, np.int64)[shared].sum() > COPY * sum(sizes):
-        return []
-    return shared.tolist()
+def template_lines(own: np.ndarray, other: np.ndarray) -> list[int]:
+    """Line numbers to delete: the shared ones, unless they are all."""
+    shared = shared_lines(np.asarray(own, np.int64), np.asarray(other, np.int64)).astype(np.int64).tolist()
+    return shared if len(shared) < len(own) else []
+
+
+def alike(own: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_sizes: np.ndarray) -> bool:
+    """Whether the shared lines are most of the text of one of two pages."""
+    own, sizes = np.asarray(own, np.int64), np.asarray(sizes, np.int64)
+    shared = sizes[shared_lines(own, np.asarray(other, np.int64)).astype(np.int64)].sum()
+    return bool(shared > COPY * min(sizes.sum(), int(np.sum(other_sizes))))
 
 
 def line_hash(line: str) -> int:
@@ -225,26 +233,66 @@ def keyed(pages: DataFrame) -> DataFrame:
     return pages.select(F.xxhash64("page_id", "url", "html").alias("page_key"), "page_id", "url", host.alias("host"), path.alias("path"), "html")
 
 
-def neighbours(pages: DataFrame) -> DataFrame:
-    """page_key, lines, sizes, other: the lines of the page before in order of host and path (for a host's first, after).
+ORDER = ["host", "path", "page_key"]
+DISTINCT = "host string, path string, page_key long, seq long, range int, lines array<long>, sizes array<int>"
+
+
+def distinct_pages(judged: DataFrame) -> DataFrame:
+    """ORDER, seq, lines, sizes: one row per host and sequence of lines, at its first path."""
+    first = judged.groupBy("host", "seq").agg(F.min(F.struct("path", "page_key", "lines", "sizes")).alias("first"))
+    return first.select("host", "first.path", "first.page_key", "seq", "first.lines", "first.sizes")
 
-    Pages that are equal in everything are one here.
-    """
-    order = ["host", "path", "page_key"]
-    found = judged_lines(pages).where(F.size("lines") > 0).dropDuplicates(["page_key"])
-    ranged = found.repartitionByRange(*[F.col(c) for c in order]).withColumn("range", F.spark_partition_id())
-    ranged = saved(ranged.sortWithinPartitions(*order), "page-order")
-    inside = Window.partitionBy("range").orderBy(*order)
+
+def runs(pages: DataFrame) -> DataFrame:
+    """The distinct pages with the range they are in, the lines of the pages next `before` and `after` (null outside the host),
+    and whether a run of pages that are alike `begins` here."""
+    ranged = pages.repartitionByRange(*[F.col(c) for c in ORDER]).withColumn("range", F.spark_partition_id())
+    ranged = saved(ranged.sortWithinPartitions(*ORDER), "page-order")
+    inside = Window.partitionBy("range").orderBy(*ORDER)
     # One row per range: the first and last page of it, to be the neighbour of pages at the borders.
-    row = F.struct(*order, "lines")
+    row = F.struct(*ORDER, "lines", "sizes")
     ends = ranged.groupBy("range").agg(F.min(row).alias("first"), F.max(row).alias("last"))
     over = Window.orderBy("range")
     ends = ends.select("range", F.lag("last").over(over).alias("before_range"), F.lead("first").over(over).alias("after_range"))
     near = ranged.withColumn("before", F.lag(row).over(inside)).withColumn("after", F.lead(row).over(inside)).join(ends, "range")
     before, after = F.coalesce("before", "before_range"), F.coalesce("after", "after_range")
     near = near.withColumn("before", before).withColumn("after", after)
-    other = F.when(F.col("before.host") == F.col("host"), F.col("before.lines")).when(F.col("after.host") == F.col("host"), F.col("after.lines"))
-    return near.select("page_key", "lines", "sizes", other.alias("other")).where("other is not null")
+    same = F.col("before.host") == F.col("host")
+    near = near.select(
+        *ORDER,
+        *("seq", "range", "lines", "sizes"),
+        F.when(same, F.col("before.lines")).alias("before"),
+        F.when(same, F.col("before.sizes")).alias("before_sizes"),
+        F.when(F.col("after.host") == F.col("host"), F.col("after.lines")).alias("after"),
+    )
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = zip(frame["lines"], frame["sizes"], frame["before"], frame["before_sizes"], strict=True)
+            begins = [row[2] is None or not alike(*row) for row in rows]
+            yield frame.drop(columns="before_sizes").assign(begins=begins)
+
+    return near.mapInPandas(run, f"{DISTINCT}, before array<long>, after array<long>, begins boolean")
+
+
+def neighbours(judged: DataFrame) -> DataFrame:
+    """host, seq, lines, other: the lines of the page that each distinct page is compared with."""
+    found = saved(runs(distinct_pages(judged)), "page-runs")
+    # Wrapped, so that a first page of a host, with nothing before it, is met too.
+    opening = F.when(F.col("begins"), F.struct(*ORDER, "before"))
+    next_run = F.when(F.col("begins"), F.struct(*ORDER, "lines"))
+    ends = found.groupBy("range").agg(F.max(opening).alias("last"), F.min(next_run).alias("first"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("range", F.last("last", True).over(earlier).alias("opening_range"), F.last("first", True).over(later).alias("next_range"))
+    inside = Window.partitionBy("range")
+    so_far = inside.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    to_come = inside.orderBy(*[F.desc(c) for c in ORDER]).rowsBetween(Window.unboundedPreceding, -1)
+    near = found.withColumn("opening", F.last(opening, True).over(so_far)).withColumn("next_run", F.last(next_run, True).over(to_come)).join(ends, "range")
+    near = near.withColumn("opening", F.coalesce("opening", "opening_range")).withColumn("next_run", F.coalesce("next_run", "next_range"))
+    outside = F.coalesce("opening.before", F.when(F.col("next_run.host") == F.col("host"), F.col("next_run.lines")))
+    other = F.coalesce(outside, "before", "after")
+    return near.select("host", "seq", "lines", other.alias("other")).where("other is not null")
 
 
 def deletions(pages: DataFrame) -> DataFrame:
@@ -252,10 +300,13 @@ def deletions(pages: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            gone = [template_lines(*map(list, row)) for row in zip(frame["lines"], frame["sizes"], frame["other"], strict=True)]
-            yield pd.DataFrame({"page_key": frame["page_key"], "gone": gone})
+            gone = [template_lines(*row) for row in zip(frame["lines"], frame["other"], strict=True)]
+            yield frame[["host", "seq"]].assign(gone=gone)
 
-    return neighbours(pages).mapInPandas(run, "page_key long, gone array<int>").where(F.size("gone") > 0)
+    judged = judged_lines(pages).where(F.size("lines") > 0).withColumn("seq", F.xxhash64("lines"))
+    judged = saved(judged.dropDuplicates(["page_key"]), "page-lines")
+    gone = neighbours(judged).mapInPandas(run, "host string, seq long, gone array<int>").where(F.size("gone") > 0)
+    return judged.select("page_key", "host", "seq").join(gone, ["host", "seq"]).select("page_key", "gone")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
