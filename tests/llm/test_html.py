@@ -103,6 +103,16 @@ def test_templates_that_outweigh_articles_and_copies(spark, parts):
     assert found[50] == body[::-1]
 
 
+def test_differencing_inside_marked_articles(spark):
+    rows = [(i, f"http://a.com/{i}", f"<nav>n</nav><article><h1>T{i}</h1><p>a long and singular line of story {i}</p><p>Share this</p></article>") for i in range(5)]
+    rows += [(5, "http://a.com/5", "<main><p>a story in another element, long enough</p><p>Share this</p></main>")]
+    # A headline and a quotation of few pages are the article's.
+    rows += [(10 + i, f"http://b.com/{i}", f"<article><h1>News {i // 2}</h1><p>story {i} of the site and what more there is of it</p></article>") for i in range(8)]
+    found = {row.page_id: row.text for row in html.op8(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {i: found[i] for i in range(6)} == {i: f"T{i} a long and singular line of story {i}" for i in range(5)} | {5: "a story in another element, long enough"}
+    assert {i: found[10 + i] for i in range(8)} == {i: f"News {i // 2} story {i} of the site and what more there is of it" for i in range(8)}
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (2, None, ""), (None, "http://a.com/", "<p>a</p>"), (3, "http://a.com/", "<p>a</p>"), (3, "http://a.com/", "<p>a</p>"), (2**60 + 1, "u", "<article>" + "w " * 100_000)]
     found = sorted((str(row.page_id), row.n_chars) for row in html.op8(spark.createDataFrame(rows, PAGES)).collect())

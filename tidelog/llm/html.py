@@ -2,13 +2,14 @@
 
 A page is cut into text lines, one per block element, with character references decoded and white space folded. Lines of
 menus, headers, footers, sidebars, notices, adverts, forms and comments (by element, role, class or id), scripts and styles
-are no article. If the page marks its article (`article`, `main`), that is the text. The lines of pages that mark none are
+are no article. If the page marks its article (`article`, `main`), only the lines in there are left. The lines left are
 aligned, by longest common subsequence, with those of a page of the same host, and lines that both share are deleted as the
 site's template. Pages of a host with equal lines are one here, at their first path, and what is deleted of one is of all.
 Pages next to each other in order of path that share most of their text may be copies, or small articles in a large template:
 each is compared with the nearest page before their whole run (or, if there is none, after), which holds the template but no
 copy. If the run is all of the host, that page is the next before (or, for a host's first page, after). A page whose lines
-are all shared is contained in the other and keeps them.
+are all shared is contained in the other and keeps them. Inside a marked article two pages may well share a headline or a
+quotation; there a shared line is template only if it is on most of the host's distinct pages, and on three at least.
 
 Pages find their neighbours by a range sort on host and path over small rows (id, URL, line hashes); rows of one range meet
 those of others through a table with a row per range. Page texts are not shuffled for it: a second pass over the pages joins
@@ -51,6 +52,8 @@ MARKS = re.compile(
     r"related|recommended|comment|comments|disqus|replies|reply|pagination|pager|toolbar|skip)(?:$|[\s_-])"
 )
 REMARKS = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|replies|reply)(?:$|[\s_-])")
+# A line of a marked article that this many distinct pages of a host, and more than half of them, hold is no quotation.
+COMMON = 3
 # Pages that share this much of the text of either may be copies.
 COPY = 0.5
 
@@ -156,10 +159,11 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
     return lines, marks
 
 
-def open_lines(html: str | None) -> list[str]:
-    """The lines differencing judges: none if the page marks its article."""
+def open_lines(html: str | None) -> tuple[list[str], bool]:
+    """(the lines that differencing judges, whether they are a marked article): those in there, or all of a page without."""
     lines, marks = lines_of(html or "")
-    return [] if any(marks) else lines
+    best = max(marks, default=0)
+    return [line for line, mark in zip(lines, marks, strict=True) if mark == best], best > 0
 
 
 def shared_lines(own: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -199,10 +203,13 @@ def _lengths(own: np.ndarray, other: np.ndarray) -> np.ndarray:
     return row
 
 
-def template_lines(own: np.ndarray, other: np.ndarray) -> list[int]:
-    """Line numbers to delete: the shared ones, unless they are all."""
-    shared = shared_lines(np.asarray(own, np.int64), np.asarray(other, np.int64)).astype(np.int64).tolist()
-    return shared if len(shared) < len(own) else []
+def template_lines(own: np.ndarray, other: np.ndarray, common: np.ndarray | None = None) -> list[int]:
+    """Line numbers to delete: the shared ones (of those in `common`, if given), unless they are all."""
+    own = np.asarray(own, np.int64)
+    shared = shared_lines(own, np.asarray(other, np.int64)).astype(np.int64)
+    if common is not None:
+        shared = shared[np.isin(own[shared], np.asarray(common, np.int64))]
+    return shared.tolist() if len(shared) < len(own) else []
 
 
 def alike(own: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_sizes: np.ndarray) -> bool:
@@ -217,15 +224,16 @@ def line_hash(line: str) -> int:
 
 
 def judged_lines(pages: DataFrame) -> DataFrame:
-    """page_key, host, path, lines (hashes), sizes; only pages without a marked article have lines."""
+    """page_key, host, path, lines (hashes), sizes, marked."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [open_lines(html) for html in frame["html"]]
-            hashes = [[line_hash(line) for line in lines] for lines in found]
-            yield frame[["page_key", "host", "path"]].assign(lines=hashes, sizes=[list(map(len, lines)) for lines in found])
+            hashes = [[line_hash(line) for line in lines] for lines, _ in found]
+            sizes = [list(map(len, lines)) for lines, _ in found]
+            yield frame[["page_key", "host", "path"]].assign(lines=hashes, sizes=sizes, marked=[marked for _, marked in found])
 
-    return keyed(pages).mapInPandas(run, "page_key long, host string, path string, lines array<long>, sizes array<int>")
+    return keyed(pages).mapInPandas(run, "page_key long, host string, path string, lines array<long>, sizes array<int>, marked boolean")
 
 
 def keyed(pages: DataFrame) -> DataFrame:
@@ -234,13 +242,21 @@ def keyed(pages: DataFrame) -> DataFrame:
 
 
 ORDER = ["host", "path", "page_key"]
-DISTINCT = "host string, path string, page_key long, seq long, range int, lines array<long>, sizes array<int>"
+DISTINCT = "host string, path string, page_key long, seq long, range int, marked boolean, lines array<long>, sizes array<int>"
 
 
 def distinct_pages(judged: DataFrame) -> DataFrame:
-    """ORDER, seq, lines, sizes: one row per host and sequence of lines, at its first path."""
-    first = judged.groupBy("host", "seq").agg(F.min(F.struct("path", "page_key", "lines", "sizes")).alias("first"))
-    return first.select("host", "first.path", "first.page_key", "seq", "first.lines", "first.sizes")
+    """ORDER, seq, marked, lines, sizes: one row per host and sequence of lines, at its first path."""
+    first = judged.groupBy("host", "seq").agg(F.min(F.struct("path", "page_key", "marked", "lines", "sizes")).alias("first"))
+    return first.select("host", "first.path", "first.page_key", "seq", "first.marked", "first.lines", "first.sizes")
+
+
+def common_lines(pages: DataFrame) -> DataFrame:
+    """common_host, common: the lines on more than half of a host's distinct pages, so at most twice as many as a page has."""
+    totals = pages.groupBy("host").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= COMMON)
+    lines = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    lines = lines.where(F.col("n") >= COMMON).join(totals, "host").where(2 * F.col("n") > F.col("n_pages"))
+    return lines.groupBy(F.col("host").alias("common_host")).agg(F.collect_list("line").alias("common"))
 
 
 def runs(pages: DataFrame) -> DataFrame:
@@ -260,7 +276,7 @@ def runs(pages: DataFrame) -> DataFrame:
     same = F.col("before.host") == F.col("host")
     near = near.select(
         *ORDER,
-        *("seq", "range", "lines", "sizes"),
+        *("seq", "range", "marked", "lines", "sizes"),
         F.when(same, F.col("before.lines")).alias("before"),
         F.when(same, F.col("before.sizes")).alias("before_sizes"),
         F.when(F.col("after.host") == F.col("host"), F.col("after.lines")).alias("after"),
@@ -276,7 +292,7 @@ def runs(pages: DataFrame) -> DataFrame:
 
 
 def neighbours(judged: DataFrame) -> DataFrame:
-    """host, seq, lines, other: the lines of the page that each distinct page is compared with."""
+    """host, seq, lines, other: the lines of the page that each distinct page is compared with; common: `common_lines` for marked pages."""
     found = saved(runs(distinct_pages(judged)), "page-runs")
     # Wrapped, so that a first page of a host, with nothing before it, is met too.
     opening = F.when(F.col("begins"), F.struct(*ORDER, "before"))
@@ -292,7 +308,10 @@ def neighbours(judged: DataFrame) -> DataFrame:
     near = near.withColumn("opening", F.coalesce("opening", "opening_range")).withColumn("next_run", F.coalesce("next_run", "next_range"))
     outside = F.coalesce("opening.before", F.when(F.col("next_run.host") == F.col("host"), F.col("next_run.lines")))
     other = F.coalesce(outside, "before", "after")
-    return near.select("host", "seq", "lines", other.alias("other")).where("other is not null")
+    near = near.select("host", "seq", "marked", "lines", other.alias("other")).where("other is not null")
+    common = F.when(F.col("marked"), F.coalesce("common", F.array().cast("array<bigint>")))
+    near = near.join(common_lines(found), F.col("host") == F.col("common_host"), "left")
+    return near.select("host", "seq", "lines", "other", common.alias("common"))
 
 
 def deletions(pages: DataFrame) -> DataFrame:
@@ -300,10 +319,10 @@ def deletions(pages: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            gone = [template_lines(*row) for row in zip(frame["lines"], frame["other"], strict=True)]
+            gone = [template_lines(*row) for row in zip(frame["lines"], frame["other"], frame["common"], strict=True)]
             yield frame[["host", "seq"]].assign(gone=gone)
 
-    judged = judged_lines(pages).where(F.size("lines") > 0).withColumn("seq", F.xxhash64("lines"))
+    judged = judged_lines(pages).where(F.size("lines") > 0).withColumn("seq", F.xxhash64("marked", "lines"))
     judged = saved(judged.dropDuplicates(["page_key"]), "page-lines")
     gone = neighbours(judged).mapInPandas(run, "host string, seq long, gone array<int>").where(F.size("gone") > 0)
     return judged.select("page_key", "host", "seq").join(gone, ["host", "seq"]).select("page_key", "gone")
@@ -318,11 +337,8 @@ def extracted(pages: DataFrame) -> DataFrame:
         for frame in frames:
             texts = []
             for html, numbers in zip(frame["html"], frame["gone"], strict=True):
-                lines, marks = lines_of(html or "")
-                if any(marks):
-                    best = max(marks)
-                    lines = [line for line, mark in zip(lines, marks, strict=True) if mark == best]
-                elif numbers is not None:
+                lines, _ = open_lines(html)
+                if numbers is not None:
                     deleted = set(numbers)
                     lines = [line for i, line in enumerate(lines) if i not in deleted]
                 texts.append(" ".join(lines))
