@@ -51,6 +51,22 @@ def test_pages(page, text):
     assert " ".join(line for line, mark in zip(lines, marks, strict=True) if mark == best) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>a</p><figure><img><figcaption>caption</figcaption></figure><p>b</p></article>", "a caption b"),
+        ("<article><p>with f(<math><mi>x</mi></math>) in it</p><math display='block'><mi>y</mi><mo>=</mo><mn>2</mn></math>c</article>", "with f(x) in it y=2 c"),
+        ("<article>a<svg><text>s</text></svg>b<object>o</object><video>v</video><canvas>w</canvas></article>", "a s b o v w"),
+        ("<main><h1>Title</h1><p>the text</p><article>card</article></main>", "Title the text card"),
+        ("<main><p>m</p><article>a</article></main><article>b</article>", "a b"),
+        ("<article>a<main>m</main></article>", "a m"),
+        ("<main><article>a</article></main>", "a"),
+    ],
+)
+def test_what_belongs_to_an_article(page, text):
+    assert " ".join(html.open_lines(page)[0]) == text
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(300):

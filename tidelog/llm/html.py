@@ -17,7 +17,8 @@ only the line numbers to delete.
 
 Nulls: null html has no text; a null URL has an empty host and path, and such pages are neighbours of each other. Repeated
 pages stay, each with its own row. Extra columns are ignored. Pages count whole, of any length; broken markup is read as
-browsers do: unclosed elements end with their parent. Of a page that marks both, `article` is taken before `main`.
+browsers do: unclosed elements end with their parent. Of a page that marks both, `main` is taken if it encloses every `article`
+with text, else `article`. Captions, formulas, and the text in graphics and media elements are text like any other.
 """
 
 from __future__ import annotations
@@ -38,12 +39,16 @@ from tidelog.llm.urls import host_and_path
 # Elements by their part in a page.
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav header footer aside form menu dialog button select fieldset figcaption svg math object audio video canvas head".split()) | RAW
+DROPPED = frozenset("nav header footer aside form menu dialog button select fieldset head".split()) | RAW
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
     "li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-MAIN = {"main": 1, "article": 2}
+# Elements whose text stands apart from the line around them, as that of formulas does that are displayed so.
+MEDIA = frozenset("svg object audio video canvas".split())
+# Marks of lines: inside `main` only, in an `article` outside of `main`, in an `article` inside `main`.
+MAIN_ONLY, ARTICLE, BOTH = 1, 2, 3
+MAIN = frozenset(("main", "article"))
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 # Words of class and id values that mark what is no article.
 MARKS = re.compile(
@@ -59,6 +64,7 @@ COPY = 0.5
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))*+)(?:>|$)", re.DOTALL)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+DISPLAYED = re.compile(r"\bdisplay\s*=\s*[\"']?block", re.IGNORECASE)
 WHITE = re.compile(r"\s+")
 # Blocks that close an open paragraph, and siblings that close their like.
 CLOSES_P = BLOCKS - {"html", "body"}
@@ -85,11 +91,12 @@ def hides(name: str, attributes: str) -> bool:
 
 
 def lines_of(html: str) -> tuple[list[str], list[int]]:
-    """(text lines that no element hides, 2 for each inside an `article`, 1 inside `main` only, else 0)."""
+    """(text lines that no element hides, for each MAIN_ONLY, ARTICLE or BOTH by what it is inside, else 0)."""
     lines, marks = [], []
     text: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # name, hidden, mark
     hidden, inside = False, 0
+    apart = False  # whether the last formula is
 
     def flush() -> None:
         if text:
@@ -120,6 +127,8 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
         name = name.lower()
         if match.group(1):
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if name in MEDIA or (name == "math" and apart):
+                flush()
             if depth is not None and (name in BLOCKS or name in DROPPED or not any(s[0] in BLOCKS for s in stack[depth + 1 :])):
                 if name in BLOCKS or name in DROPPED:
                     close(depth)
@@ -133,6 +142,10 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
             if name == "hr":
                 flush()
             continue
+        if name == "math":
+            apart = bool(DISPLAYED.search(match.group(3)))
+        if name in MEDIA or (name == "math" and apart):
+            flush()
         if name in CLOSES_P:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
             if depth is not None and not any(s[0] in BLOCKS - {"p"} for s in stack[depth + 1 :]):
@@ -153,7 +166,9 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
         if match.group(3).endswith("/") and name not in BLOCKS:
             continue
         gone = hidden or hides(name, match.group(3))
-        hidden, inside = gone, max(inside, 0 if gone else MAIN.get(name, 0))
+        if not gone and name in MAIN:
+            inside = max(inside, MAIN_ONLY) if name == "main" else BOTH if inside in (MAIN_ONLY, BOTH) else ARTICLE
+        hidden = gone
         stack.append((name, hidden, inside))
     flush()
     return lines, marks
@@ -162,8 +177,9 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
 def open_lines(html: str | None) -> tuple[list[str], bool]:
     """(the lines that differencing judges, whether they are a marked article): those in there, or all of a page without."""
     lines, marks = lines_of(html or "")
-    best = max(marks, default=0)
-    return [line for line, mark in zip(lines, marks, strict=True) if mark == best], best > 0
+    # `main` is the article if it encloses all others.
+    least = ARTICLE if ARTICLE in marks else MAIN_ONLY if any(marks) else 0
+    return [line for line, mark in zip(lines, marks, strict=True) if mark >= least], least > 0
 
 
 def shared_lines(own: np.ndarray, other: np.ndarray) -> np.ndarray:
