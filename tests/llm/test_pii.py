@@ -67,6 +67,23 @@ def test_disguises(text, kind, inside):
     assert [text[s:e] for s, e in whole[kind] if (s, e) not in base[kind]] == [inside]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "inside", "clean"),
+    [
+        ("to jаne@example.com now", "email", "jаne@example.com", "to <EMAIL> now"),
+        ("to jane dot doe@example.com now", "email", "jane dot doe@example.com", "to <EMAIL> now"),
+        ("to jane@mail.cоm now", "email", "jane@mail.cоm", "to <EMAIL> now"),
+        ("a@b.com or jаne@example.com or c@d.com", "email", "jаne@example.com", "<EMAIL> or <EMAIL> or <EMAIL>"),
+        ("host eight point eight point four point four now", "ip", "eight point eight point four point four", "host <IP> now"),
+    ],
+)
+def test_disguises_around_base_spans(text, kind, inside, clean):
+    base, whole = pii.spans_of(text)
+    assert set(base[kind]) <= set(whole[kind])
+    assert [text[s:e] for s, e in whole[kind] if (s, e) not in base[kind]] == [inside]
+    assert pii.redacted(text) == clean
+
+
 @pytest.mark.parametrize("text", ["meet at example.com", "one two three four", "look at the dot com boom", "éàü ñ ß", "(at) [dot]", "a + b . c", "at dot at dot"])
 def test_prose_is_left_alone(text):
     assert pii.listed(pii.spans_of(text)[1]) == ""

@@ -3,7 +3,7 @@
 A chain of transducers rewrites a text and carries, for every character it writes, the span of source characters it came
 from: look-alike letters and digits of other scripts become ASCII and invisible characters vanish; runs of spelled
 digits become digits; `at` and `dot` disguises become signs. Patterns then run on the rewritten text, and what they find
-is mapped back to source positions. Found spans that overlap no base span of their kind are added; base spans stay.
+is mapped back to source positions. Found spans that no base span of their kind contains are added; base spans stay.
 
 Positions are code points, ends exclusive. Nulls: a null text is an empty text without spans; a null id keeps its row.
 Repeated rows stay. Extra columns are ignored. Every rule is linear in the text, whatever its length.
@@ -174,7 +174,8 @@ def at_and_dot(traced: Traced) -> Traced:
     return traced.rewritten(edits) if edits else traced
 
 
-HINT = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|\bdot\b|{DIGIT_WORD}[\s,-]+{DIGIT_WORD}[\s,-]+(?:{DIGIT_WORD}|dot|point)|\s@|@\s", re.IGNORECASE)
+# Whatever the transducers of spelled digits and signs match, this does.
+HINT = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|\bdot\b|{DIGIT_WORD}(?:[\s,-]+(?:{DIGIT_WORD}|dot|point)){{2}}|\s@|@\s", re.IGNORECASE)
 
 
 def disguised(text: str) -> dict[str, list[Span]]:
@@ -202,7 +203,8 @@ def spans_of(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
         if fresh and base[kind]:
             starts = np.array([s for s, _ in base[kind]])
             ends = np.array([e for _, e in base[kind]])
-            fresh = [(s, e) for s, e in fresh if np.searchsorted(starts, e) == np.searchsorted(ends, s, side="right")]
+            # Base spans do not overlap, so only the last that starts by s can contain a span.
+            fresh = [(s, e) for s, e in fresh if not (i := np.searchsorted(starts, s, side="right")) or ends[i - 1] < e]
         whole[kind] = sorted(base[kind] + fresh)
     return base, whole
 
