@@ -96,6 +96,16 @@ def test_contradicting_slots(spark, documents):
     assert found == {1: "reparameterised", 3: "exact"}
 
 
+def test_copies_that_templates_do_not_show(spark, documents):
+    dense = "Compute 12 + 30 * 4 - 7 now please"
+    names = "We saw Anna Berg and Carl Dietz with Emma Fuchs and Gerd Hahn near Ida Jung last week"
+    texts = [(1, f"Before it. {dense} and after it"), (2, f"x {names.lower()} y"), (3, f"x {names.upper()} y"), (4, ITEM.upper()), (5, "Compute the sum of it now please, and more words"), (6, names)]
+    rows = rows_of(spark, documents, texts, [(7, dense), (8, names), (9, ITEM)])
+    assert sorted((row.doc_id, row.item_id, row.kind) for row in rows) == [(1, 7, "exact"), (2, 8, "exact"), (3, 8, "exact"), (4, 9, "exact"), (6, 8, "exact")]
+    benchmark = spark.createDataFrame([(7, dense), (8, names), (9, ITEM)], "item_id long, text string")
+    assert [row.doc_id for row in decontam.clean_documents(documents(texts), benchmark).collect()] == [5]
+
+
 def test_odd_rows(spark, documents):
     texts = [(1, None), (2, ""), (None, ITEM), (3, ITEM), (3, ITEM), (3, "other text under the same id that is long enough")]
     found = [(row.doc_id, row.item_id) for row in rows_of(spark, documents, texts, [(9, ITEM), (10, ITEM)])]

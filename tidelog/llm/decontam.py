@@ -7,12 +7,17 @@ an item if at least 0.8 of the item's distinct windows occur in it and, along th
 occurrences agree with one value per item value: then it is an exact leak (if as many slots hold the item's own values), or
 the question with other numbers or names.
 
+Windows of five words as they are, in lower case and without placeholders, are joined likewise: a document that holds at least
+0.8 of an item's distinct word windows holds an exact copy, also where the template has no windows (numbers or names too
+dense) or others (names in another case). Only pairs that templates do not find are reported by words: with word windows
+counted and without slots.
+
 Documents are scanned once; a Bloom filter of the benchmark's windows (BLOOM_BITS, whatever the benchmark's size, so it may
 let more through but never less) keeps other windows from being shuffled. A document row is known by the hash of its id
 and text, so rows that share an id are judged apart and repeated rows alike.
 
 Nulls: null texts have no windows; rows without an id are judged and reported with a null id. Items with a null or short
-text (fewer than five template tokens) have no windows and are never matched. Extra columns are ignored. Texts count
+text (fewer than five words) have no windows and are never matched. Extra columns are ignored. Texts count
 whole, of any length.
 """
 
@@ -51,6 +56,8 @@ NUMBER = re.compile(r"[+-]?[$€£]?[0-9]+(?:[.,:/][0-9]+)*")
 GLUED = re.compile(r"(?<=[0-9])(?=[A-Za-z%°])")
 EDGES = re.compile(r"^[^\w$€£%°+-]+|[^\w%°]+$")
 NUM, CAPITAL, UNIT, ENDS, EMPTY = 1, 2, 4, 8, 16
+# Forms of windows: template tokens, words.
+TEMPLATE, WORDS = 0, 1
 PLACEHOLDERS = ("<num>", "<name>", "<unit>")
 SEED = 17
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +100,10 @@ class Canonical:
 
     def template(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """(code per template token, whether it is a slot, its place among the raw tokens and the end, raw tokens)."""
+        return self.parsed(text)[:4]
+
+    def parsed(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """What `template` returns, and the code of every word."""
         if len(self.index) > MEMORY:
             self.forget()
         raw = GLUED.sub(" ", text).replace("\n", " \0 ").split()
@@ -108,29 +119,33 @@ class Canonical:
         after_num = np.concatenate(([False], num[:-1])) if len(place) else num
         unit = (flags & UNIT > 0) & after_num & ~num
         name = (flags & CAPITAL > 0) & ~begins & ~unit
+        words = codes
         codes = np.where(num, self.placeholder[0], np.where(name, self.placeholder[1], np.where(unit, self.placeholder[2], codes)))
         keep = ~(name & np.concatenate(([False], name[:-1]))) if len(place) else name
         slot = (num | name | unit)[keep]
-        return codes[keep], slot, np.append(place[keep], len(raw)), raw
+        return codes[keep], slot, np.append(place[keep], len(raw)), raw, words
 
     def windows(self, text: str | None, wanted=None) -> list[tuple[int, int, list[str | None]]]:
-        """(position, hash, slot values) of the windows, those for whose hashes `wanted` (if given) says so."""
-        codes, slot, place, raw = self.template(text or "")
-        count = len(codes) - WINDOW + 1
-        if count < 1:
-            return []
-        hashes = np.zeros(count, np.uint64)
-        for k in range(WINDOW):
-            hashes = (hashes ^ codes[k : k + count]) * FACTOR
-            hashes ^= hashes >> np.uint64(29)
-        slots = np.concatenate(([0], np.cumsum(slot)))
-        fit = slots[WINDOW:] - slots[:-WINDOW] <= WINDOW - LITERALS
-        if wanted is not None:
-            fit &= wanted(hashes)
+        """(position, hash, slot values) of the template windows, those for whose hashes `wanted` (if given) says so."""
+        return [window[1:] for window in self.all_windows(text, wanted) if window[0] == TEMPLATE]
+
+    def all_windows(self, text: str | None, wanted=None) -> list[tuple[int, int, int, list[str | None]]]:
+        """(form, position, hash, slot values) of the windows of both forms."""
+        codes, slot, place, raw, words = self.parsed(text or "")
         found = []
-        for i in np.flatnonzero(fit).tolist():
-            values = [self.value(raw, place, j) if slot[j] else None for j in range(i, i + WINDOW)]
-            found.append((i, int(hashes[i].astype(np.int64)), values))
+        if len(codes) >= WINDOW:
+            hashes = window_hashes(codes, TEMPLATE)
+            slots = np.concatenate(([0], np.cumsum(slot)))
+            fit = slots[WINDOW:] - slots[:-WINDOW] <= WINDOW - LITERALS
+            if wanted is not None:
+                fit &= wanted(hashes)
+            for i in np.flatnonzero(fit).tolist():
+                values = [self.value(raw, place, j) if slot[j] else None for j in range(i, i + WINDOW)]
+                found.append((TEMPLATE, i, int(hashes[i].astype(np.int64)), values))
+        if len(words) >= WINDOW:
+            hashes = window_hashes(words, WORDS)
+            fit = range(len(hashes)) if wanted is None else np.flatnonzero(wanted(hashes)).tolist()
+            found += [(WORDS, i, int(hashes[i].astype(np.int64)), []) for i in fit]
         return found
 
     def value(self, raw: list[str], place: np.ndarray, j: int) -> str:
@@ -138,6 +153,15 @@ class Canonical:
         return " ".join(w for w in words if w)
 
 
+def window_hashes(codes: np.ndarray, form: int) -> np.ndarray:
+    count = len(codes) - WINDOW + 1
+    hashes = np.full(count, form, np.uint64)
+    for k in range(WINDOW):
+        hashes = (hashes ^ codes[k : k + count]) * FACTOR
+        hashes ^= hashes >> np.uint64(29)
+    return hashes
+
+
 def bloom_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two bit positions per hash."""
     return hashes & np.uint64(BLOOM_BITS - 1), (hashes >> np.uint64(32)) & np.uint64(BLOOM_BITS - 1)
@@ -156,22 +180,22 @@ def bloom_of(windows: DataFrame) -> np.ndarray:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, off, hash, slots) of the distinct windows of every item."""
+    """(item_id, form, off, hash, slots) of the distinct windows of every item."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         canonical = Canonical()
         for frame in frames:
-            rows = [(key, *window) for key, text in zip(frame["item_id"], frame["text"], strict=True) for window in canonical.windows(text)]
-            yield pd.DataFrame(rows, columns=["item_id", "off", "hash", "slots"])
+            rows = [(key, *window) for key, text in zip(frame["item_id"], frame["text"], strict=True) for window in canonical.all_windows(text)]
+            yield pd.DataFrame(rows, columns=["item_id", "form", "off", "hash", "slots"])
 
     found = benchmark.select("item_id", "text").where("item_id is not null")
-    found = found.mapInPandas(run, "item_id long, off int, hash long, slots array<string>")
-    first = found.groupBy("item_id", "hash").agg(F.min_by(F.struct("off", "slots"), F.struct("off", "slots")).alias("first"))
-    return first.select("item_id", "hash", "first.off", "first.slots")
+    found = found.mapInPandas(run, "item_id long, form int, off int, hash long, slots array<string>")
+    first = found.groupBy("item_id", "form", "hash").agg(F.min_by(F.struct("off", "slots"), F.struct("off", "slots")).alias("first"))
+    return first.select("item_id", "form", "hash", "first.off", "first.slots")
 
 
 def document_windows(documents: DataFrame, bloom: np.ndarray) -> DataFrame:
-    """(row_key, doc_id, pos, hash, slots) of the windows that may be the benchmark's."""
+    """(row_key, doc_id, form, pos, hash, slots) of the windows that may be the benchmark's."""
     shared = documents.sparkSession.sparkContext.broadcast(bloom)  # BLOOM_BITS / 8 bytes
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,15 +211,15 @@ def document_windows(documents: DataFrame, bloom: np.ndarray) -> DataFrame:
             rows = []
             for key, doc_id, text in zip(frame["row_key"], frame["doc_id"], frame["text"], strict=True):
                 seen = set()
-                for pos, code, slots in canonical.windows(text, wanted):
-                    if (code, tuple(slots)) not in seen:
-                        seen.add((code, tuple(slots)))
-                        rows.append((key, doc_id, pos, code, slots))
-            yield pd.DataFrame(rows, columns=["row_key", "doc_id", "pos", "hash", "slots"])
+                for form, pos, code, slots in canonical.all_windows(text, wanted):
+                    if (form, code, tuple(slots)) not in seen:
+                        seen.add((form, code, tuple(slots)))
+                        rows.append((key, doc_id, form, pos, code, slots))
+            yield pd.DataFrame(rows, columns=["row_key", "doc_id", "form", "pos", "hash", "slots"])
 
     # Ids pass as text: a null among them would turn whole numbers into floating ones.
     keyed = documents.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("string").alias("doc_id"), "text")
-    found = keyed.mapInPandas(run, "row_key long, doc_id string, pos int, hash long, slots array<string>")
+    found = keyed.mapInPandas(run, "row_key long, doc_id string, form int, pos int, hash long, slots array<string>")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -203,12 +227,15 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(row_key, doc_id, item_id, n_windows, n_matched, similarity, n_slots, consistency, kind) of each item a row holds."""
     items = saved(item_windows(benchmark), "benchmark-windows")
     found = document_windows(documents, bloom_of(items))
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    item = items.select("item_id", "off", "hash", F.col("slots").alias("item_slots"))
-    met = found.join(item, "hash").withColumn("diagonal", F.col("pos") - F.col("off"))
+    sizes = items.groupBy("item_id", "form").agg(F.count("*").alias("n_windows"))
+    item = items.select("item_id", "form", "off", "hash", F.col("slots").alias("item_slots"))
+    met = found.join(item, ["form", "hash"]).withColumn("diagonal", F.col("pos") - F.col("off"))
     met = saved(met.distinct(), "matched-windows")
-    matched = met.select("row_key", "doc_id", "item_id", "hash").distinct().groupBy("row_key", "doc_id", "item_id").agg(F.count("*").alias("n_matched"))
-    matched = matched.join(sizes, "item_id").withColumn("similarity", F.col("n_matched") / F.col("n_windows")).where(F.col("similarity") >= SIMILARITY)
+    pair = ["row_key", "doc_id", "item_id", "form"]
+    matched = met.select(*pair, "hash").distinct().groupBy(*pair).agg(F.count("*").alias("n_matched"))
+    matched = matched.join(sizes, ["item_id", "form"]).withColumn("similarity", F.col("n_matched") / F.col("n_windows")).where(F.col("similarity") >= SIMILARITY)
+    by_words, matched = matched.where(F.col("form") == WORDS), matched.where(F.col("form") == TEMPLATE)
+    met = met.where(F.col("form") == TEMPLATE)
     # One alignment per row and item: the one with most windows, of several the first.
     aligned = met.groupBy("row_key", "item_id", "diagonal").agg(F.count("*").alias("n"))
     best = aligned.groupBy("row_key", "item_id").agg(F.max_by("diagonal", F.struct("n", -F.col("diagonal"))).alias("diagonal"))
@@ -222,9 +249,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     judged = matched.join(slots, ["row_key", "item_id"], "left").na.fill(0, ["n_slots", "agree", "equal"])
     judged = judged.withColumn("consistency", F.when(F.col("n_slots") == 0, 1.0).otherwise(F.col("agree") / F.col("n_slots")))
     kind = F.when(F.col("equal") >= SIMILARITY * F.col("n_slots"), "exact").otherwise("reparameterised")
-    return judged.where(F.col("consistency") >= SIMILARITY).select(
-        "row_key", "doc_id", "item_id", "n_windows", "n_matched", "similarity", "n_slots", "consistency", kind.alias("kind")
-    )
+    columns = ["row_key", "doc_id", "item_id", "n_windows", "n_matched", "similarity", "n_slots", "consistency", "kind"]
+    judged = saved(judged.where(F.col("consistency") >= SIMILARITY).withColumn("kind", kind).select(*columns), "template-leaks")
+    by_words = by_words.join(judged.select("row_key", "item_id"), ["row_key", "item_id"], "left_anti")
+    by_words = by_words.withColumn("n_slots", F.lit(0).cast("long")).withColumn("consistency", F.lit(1.0)).withColumn("kind", F.lit("exact"))
+    return judged.unionByName(by_words.select(*columns))
 
 
 def op3(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
