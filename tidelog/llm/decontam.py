@@ -202,9 +202,13 @@ def document_windows(documents: DataFrame, bloom: np.ndarray) -> DataFrame:
         words, canonical = shared.value, Canonical()
 
         def wanted(hashes: np.ndarray) -> np.ndarray:
-            met = np.ones(len(hashes), bool)
+            # The second bit is looked up only where the first is set.
+            met = np.zeros(len(hashes), bool)
+            at = np.arange(len(hashes))
             for place in bloom_places(hashes):
-                met &= (words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                place = place[at]
+                at = at[(words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+            met[at] = True
             return met
 
         for frame in frames:
