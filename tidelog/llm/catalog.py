@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, decontam, html, lm, pii, quality, simhash, substrings, urls, warc
+from tidelog.llm import bpe, decontam, html, lm, pii, quality, rankbpe, simhash, substrings, urls, warc
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_pii(spark: SparkSession, directory: str) -> DataFrame:
     return pii.found(table(spark, directory, "documents"))
 
 
+def op11_rankbpe(spark: SparkSession, directory: str) -> DataFrame:
+    return rankbpe.digests(table(spark, directory, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm": op1_lm,
     "op2_quality": op2_quality,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op8_html": op8_html,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op11_rankbpe": op11_rankbpe,
 }
 SQL = {"op4_warc": warc.OP4_SQL, "op7_urls": urls.OP7_SQL}
 
