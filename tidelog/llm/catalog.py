@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, decontam, html, lm, pii, quality, rankbpe, simhash, substrings, urls, warc
+from tidelog.llm import bpe, decontam, html, lm, pii, quality, rankbpe, ranked, simhash, substrings, urls, warc
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op11_rankbpe(spark: SparkSession, directory: str) -> DataFrame:
     return rankbpe.digests(table(spark, directory, "documents"))
 
 
+def op12_ranked(spark: SparkSession, directory: str) -> DataFrame:
+    return ranked.search(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm": op1_lm,
     "op2_quality": op2_quality,
@@ -68,8 +72,9 @@ QUERIES: dict[str, Query] = {
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
     "op11_rankbpe": op11_rankbpe,
+    "op12_ranked": op12_ranked,
 }
-SQL = {"op4_warc": warc.OP4_SQL, "op7_urls": urls.OP7_SQL}
+SQL = {"op4_warc": warc.OP4_SQL, "op7_urls": urls.OP7_SQL, "op12_ranked": ranked.OP12_SQL}
 
 
 def queries() -> dict[str, Query]:
