@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, decontam, html, lm, pii, quality, rankbpe, ranked, simhash, substrings, urls, warc
+from tidelog.llm import bpe, decontam, html, lm, phrases, pii, quality, rankbpe, ranked, simhash, substrings, urls, warc
 from tidelog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op12_ranked(spark: SparkSession, directory: str) -> DataFrame:
     return ranked.search(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
+def op13_phrases(spark: SparkSession, directory: str) -> DataFrame:
+    return phrases.collocations(table(spark, directory, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm": op1_lm,
     "op2_quality": op2_quality,
@@ -73,8 +77,9 @@ QUERIES: dict[str, Query] = {
     "op10_pii": op10_pii,
     "op11_rankbpe": op11_rankbpe,
     "op12_ranked": op12_ranked,
+    "op13_phrases": op13_phrases,
 }
-SQL = {"op4_warc": warc.OP4_SQL, "op7_urls": urls.OP7_SQL, "op12_ranked": ranked.OP12_SQL}
+SQL = {"op4_warc": warc.OP4_SQL, "op7_urls": urls.OP7_SQL, "op12_ranked": ranked.OP12_SQL, "op13_phrases": phrases.OP13_SQL}
 
 
 def queries() -> dict[str, Query]:
