@@ -9,6 +9,7 @@ from tidelog.functions.json_values import field_text
 from tidelog.plans.adapters import DOCFILES, DOCLINES, document_files, document_lines, table
 from tidelog.plans.registry import query
 from tidelog.sources import files as S
+from tidelog.sources import json_splits
 from tidelog.sources.scratch import scratch_path
 
 MAX_BYTES = 4000
@@ -289,6 +290,36 @@ def scan_json_array(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("file", "pos", "raw", "problem")
 
 
+_ARRAY_FILES = 8
+_ARRAY_SQL = f"""SELECT doc_id % {_ARRAY_FILES} AS bucket, CAST(row_number() OVER (PARTITION BY doc_id % {_ARRAY_FILES} ORDER BY doc_id) - 1 AS BIGINT) AS pos,
+  doc_id, text, len(string_split(text, ',')) AS n_parts, CAST(NULL AS VARCHAR) AS problem FROM documents WHERE doc_id % {_ARRAY_FILES} < {_ARRAY_FILES - 1}
+UNION ALL SELECT {_ARRAY_FILES - 1}, NULL, NULL, NULL, NULL, 'Invalid JSON file'"""
+
+
+def write_json_arrays(documents: DataFrame, path: str, files: int) -> None:
+    """All documents as a few large array files; the last file lacks its closing bracket."""
+    bucket = (F.col("doc_id") % files).alias("bucket")
+    element = F.to_json(F.struct("doc_id", "text", F.split("text", ",").alias("parts")))
+    rows = documents.select("doc_id", bucket, element.alias("element"))
+    ends = documents.groupBy(bucket).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    opening = F.when(F.col("doc_id") == F.col("first"), "[").otherwise("")
+    closing = F.when(F.col("doc_id") < F.col("last"), ",").when(F.col("bucket") < files - 1, "]").otherwise("")
+    marked = rows.join(ends, "bucket").select("bucket", "doc_id", F.concat(opening, "element", closing).alias("value"))
+    marked.repartition(files, "bucket").sortWithinPartitions("bucket", "doc_id").drop("doc_id").write.partitionBy("bucket").text(path)
+
+
+@query("scan_json_splits", _ARRAY_SQL)
+def scan_json_splits(spark: SparkSession, directory: str) -> DataFrame:
+    """All documents in a few array files, read back in chunks of a few KB."""
+    path = scratch_path(spark, "json-arrays")
+    write_json_arrays(table(spark, directory, "documents"), path, _ARRAY_FILES)
+    rows = json_splits.scan_json_splits(spark, path, "*.txt", chunk_bytes=16 << 10)
+    doc = F.variant_get("doc", "$", "struct<doc_id:bigint,text:string,parts:array<string>>")
+    bucket = F.regexp_extract("file", "bucket=([0-9]+)", 1).cast("long").alias("bucket")
+    shown = rows.select(bucket, "pos", doc.alias("d"), "problem")
+    return shown.select("bucket", "pos", "d.doc_id", "d.text", F.when(F.col("d").isNotNull(), F.size("d.parts")).cast("long").alias("n_parts"), "problem")
+
+
 @query(
     "valid_utf8",
     f"WITH {DOCLINES} SELECT file, count(*) AS good_lines, CAST(0 AS BIGINT) AS bad_lines FROM doclines GROUP BY file",

@@ -6,7 +6,7 @@ import atexit
 import uuid
 
 from pyspark import SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[str] = []
 
@@ -22,6 +22,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def saved(frame: DataFrame, label: str) -> DataFrame:
+    """`frame` written to the scratch folder and read back: lineage ends there."""
+    path = scratch_path(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 @atexit.register
 def remove_scratch() -> None:
     """Deletes the paths handed out, as long as the session that can reach them is still there."""
