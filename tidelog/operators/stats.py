@@ -37,7 +37,11 @@ def statistic_rows(records: DataFrame) -> DataFrame:
 
     Pairs are counted first, so only a few rows per task are expanded into the sets.
     """
-    pairs = records.groupBy("level", "service").agg(F.count("*").alias("n"))
+    return rows_of_counts(records.groupBy("level", "service").agg(F.count("*").alias("n")))
+
+
+def rows_of_counts(pairs: DataFrame) -> DataFrame:
+    """`statistic_rows` of records that were counted by level and service before (several rows of a pair add up)."""
     grouped = pairs.groupingSets([["level"], ["service"], []], "level", "service").agg(
         F.grouping_id().alias("_set"), F.sum("n").alias("n")
     )
@@ -57,8 +61,13 @@ def statistics(records: DataFrame, storage_type: str = "table", services_by_name
     aggregate would make Spark sort the records.
     `services_by_name` lists the first services by name instead of the largest.
     """
-    named = records.withColumn("level", F.coalesce("level", F.lit("UNKNOWN")))
-    rows = statistic_rows(named)
+    pairs = records.groupBy("level", "service").agg(F.count("*").alias("n"))
+    return statistics_of_counts(pairs, time_range(records), storage_type, services_by_name)
+
+
+def statistics_of_counts(pairs: DataFrame, times: DataFrame, storage_type: str = "table", services_by_name: bool = False) -> DataFrame:
+    """`statistics` from counts by level and service and a row of the time range."""
+    rows = rows_of_counts(pairs.withColumn("level", F.coalesce("level", F.lit("UNKNOWN"))))
     # Every level is its own partition of the ranking, all services share one.
     alone = F.when(F.col("dimension") == "level", F.col("key"))
     by_size = [] if services_by_name else [F.desc("n")]
@@ -74,7 +83,7 @@ def statistics(records: DataFrame, storage_type: str = "table", services_by_name
         F.map_from_entries(F.array_sort(F.collect_list(of("level", F.struct("key", "n"))))).alias("level_distribution"),
         F.transform(services, lambda x: F.struct(x["service"].alias("service"), x["n"].alias("n"))).alias("top_services"),
     )
-    return one_row(counts, time_range(records)).withColumn("storage_type", F.lit(storage_type))
+    return one_row(counts, times).withColumn("storage_type", F.lit(storage_type))
 
 
 def memory_statistics(records: DataFrame) -> DataFrame:

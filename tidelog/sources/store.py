@@ -12,7 +12,7 @@ import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators.clean import emit_json
@@ -20,11 +20,14 @@ from tidelog.operators.dedup import (
     dedup_first_wins,
     dedup_small_vs_store,
     dedup_vs_store,
+    storable,
     storable_records,
     tag_lineage,
     with_hash,
 )
 from tidelog.schema import LINEAGE, STORE_SCHEMA
+from tidelog.sources.scratch import saved
+from tidelog.sources.sidecars import dedup_by_filters, write_sidecars
 
 _DATA_COLUMNS = [name for name in STORE_SCHEMA.fieldNames() if name not in ("run", "batch_id")]
 
@@ -60,14 +63,16 @@ def stored_before(stored: DataFrame, run: str, batch_id: int) -> DataFrame:
     return stored.filter((F.col("run") != run) | (F.col("batch_id") < batch_id))
 
 
-def write_batch(records: DataFrame, root: str, run: str, batch_id: int) -> None:
-    """Write one batch to its partition, ordered by time inside each file for range pruning."""
-    (
-        records.select(*_DATA_COLUMNS)
-        .sortWithinPartitions("timestamp")
-        .write.mode("overwrite")
-        .parquet(f"{root}/run={partition_name(run)}/batch_id={batch_id}")
-    )
+def batch_path(run: str, batch_id: int) -> str:
+    return f"run={partition_name(run)}/batch_id={batch_id}"
+
+
+def write_batch(records: DataFrame, root: str, run: str, batch_id: int, sidecars: bool = False) -> None:
+    """Write one batch to its partition, ordered by time inside each file for range pruning, and its sidecars if wanted."""
+    path = batch_path(run, batch_id)
+    records.select(*_DATA_COLUMNS).sortWithinPartitions("timestamp").write.mode("overwrite").parquet(f"{root}/{path}")
+    if sidecars:
+        write_sidecars(records.sparkSession, root, path)
 
 
 def unique_records(records: DataFrame, order: Sequence[str] = LINEAGE) -> DataFrame:
@@ -83,11 +88,8 @@ def merge_batch(records: DataFrame, root: str, run: str, batch_id: int, small: b
     small=True suits batches that are small next to the store: the batch is kept while its hashes
     are looked up, and the stored hashes are scanned instead of shuffled.
     """
-    spark = records.sparkSession
-    stored = stored_before(open_store(spark, root), run, batch_id)
-    if "raw_data" not in records.columns:
-        records = records.withColumn("raw_data", F.col("raw")) if "raw" in records.columns else emit_json(records)
-    unique = unique_records(records)
+    stored = stored_before(open_store(records.sparkSession, root), run, batch_id)
+    unique = unique_records(with_raw_data(records))
     if not small:
         write_batch(tag_lineage(dedup_vs_store(unique, stored), run, batch_id), root, run, batch_id)
         return
@@ -98,6 +100,38 @@ def merge_batch(records: DataFrame, root: str, run: str, batch_id: int, small: b
         unique.unpersist()
 
 
+def with_raw_data(records: DataFrame) -> DataFrame:
+    if "raw_data" in records.columns:
+        return records
+    return records.withColumn("raw_data", F.col("raw")) if "raw" in records.columns else emit_json(records)
+
+
+def merge_indexed(records: DataFrame, root: str, run: str, batch_id: int) -> dict[str, int]:
+    """As `merge_batch`, with the store's sidecars; returns the counters of `merge_stats` for the records.
+
+    The records are read once, and what is counted is what is written: the batch's own first records go to the scratch
+    folder while they are counted, and those that no earlier batch holds to the store. Of the store, the filters are read, and the hash
+    columns of batches that may hold one of the records.
+    """
+    spark = records.sparkSession
+    stored = stored_before(open_store(spark, root), run, batch_id)
+    read, first, kept = Observation(), Observation(), Observation()
+    records = with_raw_data(records).observe(read, F.count("*").alias("records"))
+    unique = dedup_first_wins(with_hash(records)).observe(first, F.count("*").alias("unique"), F.count_if(storable()).alias("storable"))
+    unique = saved(storable_records(unique), "unique-records")
+    fresh = dedup_by_filters(unique, stored, root).observe(kept, F.count("*").alias("stored"))
+    write_batch(tag_lineage(fresh, run, batch_id), root, run, batch_id, sidecars=True)
+    counted = {**read.get, **first.get, **kept.get}
+    unstorable, known = counted["unique"] - counted["storable"], counted["storable"] - counted["stored"]
+    return {
+        "duplicates_removed": counted["records"] - counted["unique"],
+        "duplicates_in_store": known,
+        "unstorable_logs": unstorable,
+        "invalid_logs_filtered": unstorable + known,
+        "final_log_count": counted["stored"],
+    }
+
+
 def with_store_tags(records: DataFrame) -> DataFrame:
     """In-session form of the store: the record plus hash, chunk and time under underscore names."""
     return with_hash(records).select(
