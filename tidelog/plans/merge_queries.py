@@ -12,6 +12,7 @@ from tidelog.operators.clean import emit_json
 from tidelog.operators.validate import valid_records
 from tidelog.plans.adapters import ELOG, HASHED, RESULTS, chunk_results, event_records
 from tidelog.plans.registry import query
+from tidelog.sources import sidecars
 from tidelog.sources import store as S
 from tidelog.sources.scratch import scratch_path
 
@@ -245,6 +246,71 @@ def store_raw_data(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def _stored_records(spark: SparkSession, directory: str) -> DataFrame:
+    records = valid_records(event_records(spark, directory)).withColumn("user_id", F.col("user_id").cast("string"))
+    return records.withColumns({name: F.lit(None).cast("string") for name in ("request_id", "source_ip")})
+
+
+# First and last days of the batches of `indexed_store`, which overlap.
+_DAYS = (("2024-01-01", "2024-01-11"), ("2024-01-05", "2024-01-21"), ("2024-01-05", "2024-02-09"))
+
+
+def indexed_store(spark: SparkSession, directory: str, merges: tuple[int, ...] = (0, 1, 2)) -> tuple[str, list[tuple[int, dict[str, int]]]]:
+    """(root of a store of three overlapping batches with sidecars; the counters of each merge)."""
+    root, records = scratch_path(spark, "indexed-store"), _stored_records(spark, directory)
+    counters = []
+    for number in merges:
+        first, last = _DAYS[number]
+        batch = records.filter((F.col("timestamp") >= first) & (F.col("timestamp") < last))
+        counters.append((number, S.merge_indexed(batch, root, "daily", number)))
+    return root, counters
+
+
+_BATCH_SQL = f"""batches(batch_id, first_day, last_day) AS (VALUES {", ".join(str((n, *days)) for n, days in enumerate(_DAYS))}),
+held AS (SELECT b.batch_id, h.*, row_number() OVER (PARTITION BY b.batch_id, log_hash ORDER BY file, chunk_id, pos) AS place
+  FROM hashed h JOIN batches b ON "timestamp" >= first_day AND "timestamp" < last_day),
+kept AS (SELECT * FROM held WHERE place = 1 QUALIFY batch_id = min(batch_id) OVER (PARTITION BY log_hash))"""
+
+
+@query(
+    "store_indexed",
+    f"""WITH {HASHED}, {_BATCH_SQL} SELECT log_hash, "timestamp", level, message, service, chunk_id, pos, CAST(batch_id AS BIGINT) AS batch_id FROM kept""",
+)
+def store_indexed(spark: SparkSession, directory: str) -> DataFrame:
+    """The second batch is merged once more before the third."""
+    root, _ = indexed_store(spark, directory, (0, 1, 1, 2))
+    return S.read_store(spark, root).select("log_hash", "timestamp", "level", "message", "service", "chunk_id", "pos", "batch_id")
+
+
+@query(
+    "merge_counters",
+    f"""WITH {HASHED}, {_BATCH_SQL} SELECT CAST(h.batch_id AS BIGINT) AS batch_id, CAST(count(*) - count(DISTINCT h.log_hash) AS BIGINT) AS duplicates_removed,
+  CAST(count(DISTINCT h.log_hash) - any_value(n) AS BIGINT) AS duplicates_in_store, CAST(0 AS BIGINT) AS unstorable_logs,
+  CAST(count(DISTINCT h.log_hash) - any_value(n) AS BIGINT) AS invalid_logs_filtered, CAST(any_value(n) AS BIGINT) AS final_log_count
+FROM held h JOIN (SELECT b.batch_id, count(log_hash) AS n FROM batches b LEFT JOIN kept USING (batch_id) GROUP BY b.batch_id) USING (batch_id)
+GROUP BY h.batch_id""",
+)
+def merge_counters(spark: SparkSession, directory: str) -> DataFrame:
+    """What each merge counted while it wrote; a repeated merge counts the same."""
+    _, counters = indexed_store(spark, directory, (0, 1, 2, 2))
+    names = list(counters[0][1])
+    rows = [(number, *map(counted.get, names)) for number, counted in counters]
+    return spark.createDataFrame(rows, "batch_id long, " + ", ".join(f"{name} long" for name in names)).distinct()
+
+
+@query(
+    "distinct_hash_sketches",
+    f"WITH {HASHED} SELECT true AS within_three_percent, CAST(count(*) * 0 + 3 AS BIGINT) AS n_sketches FROM survivors",
+)
+def distinct_hash_sketches(spark: SparkSession, directory: str) -> DataFrame:
+    """Distinct hashes of all batches from the union of their sketches."""
+    root, _ = indexed_store(spark, directory)
+    sketches = sidecars.sidecar(spark, root, "sketches")
+    exact = D.distinct_hashes(S.read_store(spark, root)).agg(F.count("*").alias("exact"))
+    both = D.one_row(sidecars.distinct_estimate(sketches), exact, sketches.agg(F.count("*").alias("n_sketches")))
+    return both.select((F.abs(F.col("approx_hashes") - F.col("exact")) <= 0.03 * F.col("exact")).alias("within_three_percent"), "n_sketches")
+
+
 @query("store_reset", "SELECT CAST(0 AS BIGINT) AS total_logs")
 def store_reset(spark: SparkSession, directory: str) -> DataFrame:
     """A filled table is emptied and stays readable."""
@@ -334,6 +400,16 @@ def retrieve_filtered(spark: SparkSession, directory: str) -> DataFrame:
     return R.retrieve(survivors(spark, directory), 50, "warn", "svc-1").select(*_SHOWN)
 
 
+@query(
+    "retrieve_newest",
+    f"""WITH {HASHED} SELECT "timestamp", level, message, service, pos FROM survivors WHERE upper(level) = 'WARN' AND service = 'svc-1' {_NEWEST} LIMIT 50""",
+)
+def retrieve_newest(spark: SparkSession, directory: str) -> DataFrame:
+    """The newest rows of a store, from the files that can hold them."""
+    root, _ = indexed_store(spark, directory)
+    return sidecars.retrieve_newest(spark, root, 50, "warn", "svc-1").select("timestamp", "level", "message", "service", "pos")
+
+
 @query(
     "retrieval_counts",
     f"WITH {HASHED} SELECT count(*) AS total_matching, least(count(*), 1000) AS total_count FROM survivors WHERE upper(level) = 'DEBUG'",

@@ -12,9 +12,10 @@ from tidelog.functions.text import elapsed_seconds
 from tidelog.operators import runs as U
 from tidelog.operators import stats as A
 from tidelog.plans.adapters import DOCFILES, ELOG, HASHED, RESULTS, chunk_results, document_files, event_records, table
-from tidelog.plans.merge_queries import survivors
+from tidelog.plans.merge_queries import indexed_store, survivors
 from tidelog.plans.registry import query
 from tidelog.sources.scratch import scratch_path
+from tidelog.sources.sidecars import store_statistics
 
 
 @query("total_count", f"WITH {HASHED} SELECT count(*) AS total_logs FROM survivors")
@@ -72,6 +73,13 @@ def statistics(spark: SparkSession, directory: str) -> DataFrame:
     return _flat(A.statistics(survivors(spark, directory)))
 
 
+@query("statistics_of_batches", f"WITH {HASHED} " + _statistics_sql("survivors", "n DESC, service NULLS FIRST", "table"))
+def statistics_of_batches(spark: SparkSession, directory: str) -> DataFrame:
+    """Statistics of a stored table from the partial counts beside it."""
+    root, _ = indexed_store(spark, directory)
+    return _flat(store_statistics(spark, root))
+
+
 @query("statistics_by_name", f"WITH {HASHED} " + _statistics_sql("survivors", "service NULLS FIRST", "table"))
 def statistics_by_name(spark: SparkSession, directory: str) -> DataFrame:
     return _flat(A.statistics(survivors(spark, directory), services_by_name=True))

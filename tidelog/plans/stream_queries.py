@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import clean
 from tidelog.operators.chunking import chunk_budget
+from tidelog.operators.dedup import dedup_first_wins, with_hash
 from tidelog.operators.validate import valid_records
-from tidelog.plans.adapters import DOCLINES, HASHED, as_event_records, document_lines, table
+from tidelog.plans.adapters import DOCLINES, HASHED, as_event_records, document_lines, event_records, table
 from tidelog.plans.cleaning_queries import _TEXT_SQL, messy_text_lines
 from tidelog.plans.registry import query
 from tidelog.schema import LOG_FIELDS
 from tidelog.sources.files import number_rows
 from tidelog.sources.scratch import scratch_path
-from tidelog.sources.store import read_store
+from tidelog.sources.store import merge_batch, read_store
 from tidelog.streaming import incremental as I
+from tidelog.streaming.keyed import merge_keyed_stream
 
 
 def _event_stream(spark: SparkSession, directory: str) -> DataFrame:
@@ -46,6 +48,18 @@ def stream_merge(spark: SparkSession, directory: str) -> DataFrame:
     return read_store(spark, root).select("log_hash", "timestamp", "level", "message", "service", "chunk_id", "pos")
 
 
+@query("stream_merge_keyed", f'WITH {HASHED} SELECT log_hash, "timestamp", level, message, service, chunk_id, pos FROM survivors WHERE event_id % 5 > 0')
+def stream_merge_keyed(spark: SparkSession, directory: str) -> DataFrame:
+    """The stream's new records; a fifth of the survivors is in the store before, and is its initial state."""
+    root = scratch_path(spark, "keyed-store")
+    before = dedup_first_wins(with_hash(valid_records(event_records(spark, directory)))).where("event_id % 5 = 0")
+    merge_batch(_with_log_fields(before), root, "before", 0)
+    records = _with_log_fields(valid_records(as_event_records(_event_stream(spark, directory))))
+    merge_keyed_stream(records, root, "stream", scratch_path(spark, "checkpoint")).awaitTermination()
+    stored = read_store(spark, root).where("run = 'stream'")
+    return stored.select("log_hash", "timestamp", "level", "message", "service", "chunk_id", "pos")
+
+
 @query(
     "stream_clean_merge",
     f"""WITH {_TEXT_SQL} SELECT DISTINCT "timestamp", level, message, service FROM parsed WHERE layout IS NOT NULL""",

@@ -29,6 +29,12 @@ def saved(frame: DataFrame, label: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()).exists(where)
+
+
 @atexit.register
 def remove_scratch() -> None:
     """Deletes the paths handed out, as long as the session that can reach them is still there."""

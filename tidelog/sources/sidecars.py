@@ -17,12 +17,12 @@ from __future__ import annotations
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators import retrieve, stats
 from tidelog.schema import LINEAGE, STORE_SCHEMA
+from tidelog.sources.scratch import path_exists
 
 FILES = "file string, level string, service string, n long, earliest string, latest string, run string, batch_id long"
 FILTERS = "blocks long, block long, bits array<long>, run string, batch_id long"
@@ -39,12 +39,9 @@ SKETCH_BITS = 14
 def sidecar(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """One kind of sidecar rows of all batches; no rows where none was written."""
     path = f"{root}/_index/{kind}"
-    try:
-        return spark.read.schema(KINDS[kind]).option("basePath", path).parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not path_exists(spark, path):
         return spark.createDataFrame([], KINDS[kind])
+    return spark.read.schema(KINDS[kind]).option("basePath", path).parquet(path)
 
 
 def write_sidecars(spark: SparkSession, root: str, partition: str) -> None:

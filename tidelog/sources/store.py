@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +25,7 @@ from tidelog.operators.dedup import (
     with_hash,
 )
 from tidelog.schema import LINEAGE, STORE_SCHEMA
-from tidelog.sources.scratch import saved
+from tidelog.sources.scratch import path_exists, saved
 from tidelog.sources.sidecars import dedup_by_filters, write_sidecars
 
 _DATA_COLUMNS = [name for name in STORE_SCHEMA.fieldNames() if name not in ("run", "batch_id")]
@@ -44,13 +43,9 @@ def read_store(spark: SparkSession, root: str) -> DataFrame:
 
 def open_store(spark: SparkSession, root: str) -> DataFrame:
     """The stored table, created when there is nothing at `root` yet. What is there is never overwritten."""
-    try:
-        return read_store(spark, root)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not path_exists(spark, root):
         spark.createDataFrame([], STORE_SCHEMA).write.mode("append").partitionBy("run", "batch_id").parquet(root)
-        return read_store(spark, root)
+    return read_store(spark, root)
 
 
 def partition_name(value: str) -> str:
