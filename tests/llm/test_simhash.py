@@ -121,5 +121,14 @@ def test_odd_rows(documents):
     assert kept == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
     assert [c for k, _, c in found if k is None] == [None]
     assert simhash.op5(documents([])).count() == 0
-    stay = simhash.keep_representatives(documents([(1, None), (2, ""), (None, "q"), (None, "q"), (9, "q r s"), (9, "q r s")]))
-    assert sorted(str(row.doc_id) for row in stay.collect()) == ["1", "9", "None", "None"]
+
+
+def test_representatives(documents):
+    first, second = "alpha beta gamma delta one", "totally other words stand here now"
+    rows = [(1, first), (1, second), (2, first), (2, None), (3, ""), (None, second), (None, "q"), (None, "q"), (9, "q r s"), (9, "q r s"), (4, "q r s")]
+    frame = documents(rows).selectExpr("*", "1 as kept_id", "2 as key", "3 as row", "4 as fp", "5 as first")
+    stay = simhash.keep_representatives(frame)
+    assert stay.columns == frame.columns
+    found = sorted((str(row.doc_id), row.text) for row in stay.collect())
+    assert found == sorted([("1", first), ("1", second), ("2", None), ("None", "q"), ("4", "q r s")], key=lambda row: (row[0], str(row[1])))
+    assert simhash.keep_representatives(documents([])).count() == 0

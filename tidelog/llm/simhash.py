@@ -23,7 +23,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import connected_classes, rows_per_task, saved
@@ -57,14 +57,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.dtype("<i8"))[0])
 
 
-def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) per document."""
+def fingerprints(documents: DataFrame, shingle: int = SHINGLE, keys: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, the keys, fp) per document."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(text, shingle) for text in texts], dtype="int64")
 
-    return documents.select("doc_id", of("text").alias("fp"))
+    return documents.select("doc_id", *keys, of("text").alias("fp"))
 
 
 def block_masks(blocks: int, radius: int) -> list[int]:
@@ -251,9 +251,19 @@ def op5(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(documents: DataFrame) -> DataFrame:
-    """One row of each class: that with the smallest doc_id (of rows with the same id, any one). Rows without an id stay."""
-    found = near_duplicates(documents.where("doc_id is not null"))
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = documents.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return one.dropDuplicates(["doc_id"]).unionByName(documents.where("doc_id is null"))
+def keep_representatives(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each class: that with the smallest doc_id, rows without one last; of rows with that id, the text with the
+    smallest hash; of rows equal in id and text, any one.
+
+    Every row has the class of its own text, so rows that share an id and not their text are judged apart.
+    """
+    keys = (F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit("text"), "doc_id", "text").alias("key2"))
+    prints = saved(fingerprints(documents, shingle, keys), "simhash-rows")
+    roots = connected_classes(links(prints.select("fp"), radius), "simhash-links")
+    own = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    # The key of the first row is read from a minimum, which is taken before the shuffle as well: a large class costs no more.
+    first = own.groupBy(F.coalesce("root", "fp").alias("class")).agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "key", "key2")).alias("first"))
+    kept = saved(first.select("first.key", "first.key2"), "simhash-kept")
+    # The rows are carried as one column, so that no name of theirs can clash.
+    held = documents.select(F.struct("*").alias("row"), *keys).join(kept, ["key", "key2"], "left_semi")
+    return held.dropDuplicates(["key", "key2"]).select("row.*")
