@@ -134,3 +134,26 @@ def test_odd_rows(spark):
     found = sorted((str(row.page_id), row.n_chars) for row in html.op8(spark.createDataFrame(rows, PAGES)).collect())
     assert found == sorted([("1", 0), ("2", 0), ("None", 1), ("3", 1), ("3", 1), (str(2**60 + 1), 199_999)])
     assert html.op8(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="content-sidebar-wrap"><main><article>a</article></main><div class="sidebar">s</div></div>', "a"),
+        ('<div class="layout no-sidebar"><article>a</article></div>', "a"),
+        ('<div id="reply"><main>a</main></div>', "a"),
+        ('<div class="has-comments page"><article>a<p>b</p></article></div>', "a b"),
+        ('<form id="aspnetForm"><div class="nav">n</div><article>a</article></form>', "a"),
+        ("<article><header><h1>Headline</h1><p>by me</p></header><p>a</p></article>", "Headline a"),
+        ("<main><header class='nav'><h2>Site</h2></header><p>a</p></main>", "a"),
+        ("<header><h1>Site</h1></header><article>a</article>", "a"),
+        # What encloses no article of the page hides what it holds, cards and remarks among it.
+        ('<article>a</article><section class="related-posts"><article>card</article></section>', "a"),
+        ('<article>a</article><div class="comments"><article>remark</article></div>', "a"),
+        ('<article>a<form class="subscribe"><p>f</p></form><div class="sidebar-content">s</div></article>', "a"),
+        ("<aside><article>card</article></aside><article>a</article>", "a"),
+        ('<div hidden><article>h</article></div><article>a</article>', "a"),
+    ],
+)
+def test_wrappers_of_articles(page, text):
+    assert " ".join(html.open_lines(page)[0]) == text

@@ -57,6 +57,12 @@ MARKS = re.compile(
     r"related|recommended|comment|comments|disqus|replies|reply|pagination|pager|toolbar|skip)(?:$|[\s_-])"
 )
 REMARKS = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|replies|reply)(?:$|[\s_-])")
+# Words of class and id values that name the arrangement of a page: together with a word above they hide no article.
+LAYOUT = re.compile(r"(?:^|[_-])(?:wrap|wrapper|container|layout|content|page|main|site|body|grid|row|col|column|left|right|with|has|no|without)(?:$|[_-])")
+# Ways to hide, the weaker first. An `article` shows in spite of the first, a `main` of the first two, a heading of the
+# article's own header in spite of the third.
+FORM_OR_LAYOUT, MARKED, OWN_HEADER, ALWAYS = 1, 2, 3, 4
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"))
 # A line of a marked article that this many distinct pages of a host, and more than half of them, hold is no quotation.
 COMMON = 3
 # Pages that share this much of the text of either may be copies.
@@ -71,31 +77,33 @@ CLOSES_P = BLOCKS - {"html", "body"}
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table"))}
 
 
-def hides(name: str, attributes: str) -> bool:
-    """Whether an element and what it holds is no article."""
+def kind_of_hiding(name: str, attributes: str) -> int:
+    """How an element hides what it holds: not at all, or FORM_OR_LAYOUT, MARKED or ALWAYS."""
     if name in DROPPED:
-        return True
+        return FORM_OR_LAYOUT if name == "form" else ALWAYS
     if name in ("html", "body") or ("=" not in attributes and "hidden" not in attributes):
-        return False
+        return 0
+    kind = 0
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (values[0] or values[1] or values[2]).lower()
         if key in ("class", "id"):
-            if (REMARKS if name in MAIN else MARKS).search(value):
-                return True
+            for token in value.split():
+                if (REMARKS if name in MAIN else MARKS).search(token):
+                    kind = max(kind, FORM_OR_LAYOUT if LAYOUT.search(token) else MARKED)
         elif key == "role":
             if value in ROLES:
-                return True
+                return ALWAYS
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
+            return ALWAYS
+    return kind
 
 
 def lines_of(html: str) -> tuple[list[str], list[int]]:
     """(text lines that no element hides, for each MAIN_ONLY, ARTICLE or BOTH by what it is inside, else 0)."""
     lines, marks = [], []
     text: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # name, hidden, mark
-    hidden, inside = False, 0
+    stack: list[tuple[str, int, int]] = []  # name, the strongest way in which it is hidden, mark
+    hidden, inside = 0, 0
     apart = False  # whether the last formula is
 
     def flush() -> None:
@@ -110,7 +118,7 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
         nonlocal hidden, inside
         flush()
         del stack[depth:]
-        _, hidden, inside = stack[-1] if stack else ("", False, 0)
+        _, hidden, inside = stack[-1] if stack else ("", 0, 0)
 
     at = 0
     while at < len(html):
@@ -134,7 +142,7 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
                     close(depth)
                 else:
                     del stack[depth:]
-                    _, hidden, inside = stack[-1] if stack else ("", False, 0)
+                    _, hidden, inside = stack[-1] if stack else ("", 0, 0)
             continue
         if name in VOID:
             if not hidden:
@@ -165,7 +173,12 @@ def lines_of(html: str) -> tuple[list[str], list[int]]:
             continue
         if match.group(3).endswith("/") and name not in BLOCKS:
             continue
-        gone = hidden or hides(name, match.group(3))
+        own = kind_of_hiding(name, match.group(3))
+        if (name in MAIN and hidden <= (MARKED if name == "main" else FORM_OR_LAYOUT)) or (name in HEADINGS and hidden == OWN_HEADER):
+            hidden = 0
+        if name == "header" and own == ALWAYS and not hidden and stack and stack[-1][0] in MAIN and not kind_of_hiding("div", match.group(3)):
+            own = OWN_HEADER
+        gone = max(hidden, own)
         if not gone and name in MAIN:
             inside = max(inside, MAIN_ONLY) if name == "main" else BOTH if inside in (MAIN_ONLY, BOTH) else ARTICLE
         hidden = gone
