@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import pytest
 from llm_fixtures import documents  # noqa: F401
@@ -14,7 +15,7 @@ BROKEN = "Priya has 31 apples and buys 5 more apples at the market on Sunday. Ho
 def template(text):
     """The template tokens, written plainly."""
     text = re.sub(r"(?<=[0-9])(?=[A-Za-z%°])", " ", text)
-    tokens, begins, last = [], True, ""
+    tokens, begins, last, spelled = [], True, "", False
     for line in text.split("\n"):
         begins = True
         for raw in line.split():
@@ -32,26 +33,37 @@ def template(text):
                 kind = "<name>"
             else:
                 kind = lower
-            if not (kind == "<name>" and last == "<name>"):
+            number_word = lower in decontam.NUMBER_WORDS
+            if not (kind == "<name>" and last == "<name>") and not (number_word and spelled):
                 tokens.append(kind)
-            last, begins = kind, bool(ends)
+            last, begins, spelled = kind, bool(ends), number_word
     return tokens
 
 
 def windows(text):
+    """(place, window) of the template windows."""
     tokens = template(text)
-    found = [tuple(tokens[i : i + 5]) for i in range(len(tokens) - 4)]
-    return {w for w in found if sum(t not in decontam.PLACEHOLDERS for t in w) >= 3}
+    found = [(i, tuple(tokens[i : i + 5])) for i in range(len(tokens) - 4)]
+    return [(i, w) for i, w in found if sum(t not in decontam.PLACEHOLDERS for t in w) >= 3]
 
 
 def plain_leaks(texts, items):
-    wanted = {key: windows(text or "") for key, text in items}
+    """Every text against every item, along the alignment with most windows."""
+    wanted = {}
+    for key, text in items:
+        for i, w in windows(text or ""):
+            wanted.setdefault(key, {}).setdefault(w, i)
     found = {}
     for key, text in texts:
         mine = windows(text or "")
         for item, goal in wanted.items():
-            if goal and len(goal & mine) >= 0.8 * len(goal):
-                found[key, item] = (len(goal), len(goal & mine))
+            met = [(i - goal[w], w) for i, w in mine if w in goal]
+            if met:
+                count = Counter(d for d, _ in met)
+                best = min(count, key=lambda d: (-count[d], d))
+                matched = len({w for d, w in met if abs(d - best) <= decontam.DRIFT})
+                if matched >= 0.8 * len(goal):
+                    found[key, item] = (len(goal), matched)
     return found
 
 
@@ -83,11 +95,33 @@ def test_templates_of_texts(spark):
 @pytest.mark.parametrize("lead", ["", "Some words before it. ", "word " * 5000])
 def test_reparameterised(spark, documents, lead):
     texts = [(1, f"{lead}{ITEM} And more"), (2, f"{lead}{OTHER} and more"), (3, f"{lead}{BROKEN}"), (4, f"{lead}nothing of the kind is in this one here"), (5, ITEM[:70])]
-    found = {row.doc_id: row.kind for row in rows_of(spark, documents, texts, [(9, ITEM), (8, "too short"), (7, None), (None, ITEM)])}
+    found = {row.doc_id: row.kind for row in rows_of(spark, documents, texts, [(9, ITEM), (8, "too short"), (7, None)])}
     found.pop(3, None)  # mostly consistent: either verdict is defined by the share
     assert found == {1: "exact", 2: "reparameterised"}
 
 
+def test_scattered_windows_are_no_copy(spark, documents):
+    words = ITEM.split()
+    scattered = " ".join(" ".join(words[i : i + 5]) + f" filler{i} of another sort" for i in range(len(words) - 4))
+    apart = " ".join(words[:20]) + " a few words more " + " ".join(words[20:])
+    # First a part of the item, then all of it.
+    later = " ".join(words[:15]) + " and so on " + "word " * 100 + ITEM
+    rows = rows_of(spark, documents, [(1, scattered), (2, later), (3, apart)], [(9, ITEM)])
+    assert {row.doc_id for row in rows if row.doc_id < 3} == {2}
+
+
+def test_items_by_id_and_text(spark, documents):
+    second = "the wizard saw the old dwarf near the river by the tower and went away without a word to him"
+    rows = rows_of(spark, documents, [(1, ITEM), (2, second)], [(9, ITEM), (9, second), (None, second), (9, ITEM)])
+    assert sorted(((row.doc_id, row.item_id) for row in rows), key=str) == [(1, 9), (2, 9), (2, None)]
+
+
+def test_spelled_numbers_in_a_row(spark, documents):
+    item = "the farmer sold twenty five sheep at the old market and then bought one hundred and six geese there"
+    other = "the farmer sold nine sheep at the old market and then bought eighty four and two geese there"
+    assert [row.kind for row in rows_of(spark, documents, [(1, f"so {other} again")], [(9, item)])] == ["reparameterised"]
+
+
 def test_contradicting_slots(spark, documents):
     item = "the wizard Anna met the dwarf Anna and the troll Anna near the river Anna by the tower Anna today"
     good = item.replace("Anna", "Berta")
@@ -111,7 +145,9 @@ def test_odd_rows(spark, documents):
     found = [(row.doc_id, row.item_id) for row in rows_of(spark, documents, texts, [(9, ITEM), (10, ITEM)])]
     assert sorted(found, key=str) == [(3, 10), (3, 9), (None, 10), (None, 9)]
     benchmark = spark.createDataFrame([(9, ITEM)], "item_id long, text string")
-    kept = decontam.clean_documents(documents(texts), benchmark)
+    kept = decontam.clean_documents(documents(texts).selectExpr("*", "1 as held_key", "2 as __row_key", "3 as key", "4 as row"), benchmark)
+    assert {"held_key", "__row_key", "key", "row"} <= set(kept.columns)
+    kept = kept.drop("held_key", "__row_key", "key", "row")
     assert sorted(str(row.doc_id) for row in kept.collect()) == ["1", "2", "3"]
     assert kept.columns == documents(texts).columns
     assert decontam.op3(documents([]), benchmark).count() == 0

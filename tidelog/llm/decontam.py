@@ -3,7 +3,7 @@
 A text becomes a sequence of template tokens: words without the signs around them and in lower case; numbers, units (after
 a number) and names (capitalised inside a sentence, but not all in capitals; several in a row are one) become placeholders. Windows of five
 template tokens, at least three of them literal, are joined by hash with those of the benchmark items. A document holds
-an item if at least 0.8 of the item's distinct windows occur in it and, along the best alignment, at least 0.8 of the slot
+an item if at least 0.8 of the item's distinct windows occur in it side by side and, along the best alignment, at least 0.8 of the slot
 occurrences agree with one value per item value: then it is an exact leak (if as many slots hold the item's own values), or
 the question with other numbers or names.
 
@@ -12,12 +12,15 @@ Windows of five words as they are, in lower case and without placeholders, are j
 dense) or others (names in another case). Only pairs that templates do not find are reported by words: with word windows
 counted and without slots.
 
+Side by side means: along one alignment of item and document, the one with most windows, give or take DRIFT tokens for
+values and insertions of other length. Windows scattered over a text are no copy. Several spelled numbers in a row are one.
+
 Documents are scanned once; a Bloom filter of the benchmark's windows (BLOOM_BITS, whatever the benchmark's size, so it may
-let more through but never less) keeps other windows from being shuffled. A document row is known by the hash of its id
+let more through but never less) keeps other windows from being shuffled. A document row or item is known by the hash of its id
 and text, so rows that share an id are judged apart and repeated rows alike.
 
-Nulls: null texts have no windows; rows without an id are judged and reported with a null id. Items with a null or short
-text (fewer than five words) have no windows and are never matched. Extra columns are ignored. Texts count
+Nulls: null texts have no windows; rows and items without an id are judged and reported with a null id. Items with a null or short
+text (fewer than five words) have no windows and are never matched. No documents or no items: an empty result, or all documents are clean. Extra columns are ignored. Texts count
 whole, of any length.
 """
 
@@ -37,6 +40,7 @@ from tidelog.llm.common import saved
 WINDOW = 5
 LITERALS = 3
 SIMILARITY = 0.8
+DRIFT = 20
 BLOOM_BITS = 1 << 24
 # Distinct tokens that a task remembers.
 MEMORY = 400_000
@@ -55,7 +59,7 @@ UNITS = frozenset(
 NUMBER = re.compile(r"[+-]?[$€£]?[0-9]+(?:[.,:/][0-9]+)*")
 GLUED = re.compile(r"(?<=[0-9])(?=[A-Za-z%°])")
 EDGES = re.compile(r"^[^\w$€£%°+-]+|[^\w%°]+$")
-NUM, CAPITAL, UNIT, ENDS, EMPTY = 1, 2, 4, 8, 16
+NUM, CAPITAL, UNIT, ENDS, EMPTY, SPELLED = 1, 2, 4, 8, 16, 32
 # Forms of windows: template tokens, words.
 TEMPLATE, WORDS = 0, 1
 PLACEHOLDERS = ("<num>", "<name>", "<unit>")
@@ -86,7 +90,7 @@ class Canonical:
                 flags |= ENDS
             lower = word.lower()
             if NUMBER.fullmatch(word) or lower in NUMBER_WORDS:
-                flags |= NUM
+                flags |= NUM | (SPELLED if lower in NUMBER_WORDS else 0)
             elif word[0].isupper() and not word.isupper():
                 flags |= CAPITAL
             if lower in UNITS:
@@ -121,7 +125,9 @@ class Canonical:
         name = (flags & CAPITAL > 0) & ~begins & ~unit
         words = codes
         codes = np.where(num, self.placeholder[0], np.where(name, self.placeholder[1], np.where(unit, self.placeholder[2], codes)))
-        keep = ~(name & np.concatenate(([False], name[:-1]))) if len(place) else name
+        spelled = flags & SPELLED > 0
+        again = (name[1:] & name[:-1]) | (spelled[1:] & spelled[:-1])
+        keep = ~np.concatenate(([False], again)) if len(place) else name
         slot = (num | name | unit)[keep]
         return codes[keep], slot, np.append(place[keep], len(raw)), raw, words
 
@@ -180,18 +186,18 @@ def bloom_of(windows: DataFrame) -> np.ndarray:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, form, off, hash, slots) of the distinct windows of every item."""
+    """(item, item_id, form, off, hash, slots) of the distinct windows of every item."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         canonical = Canonical()
         for frame in frames:
-            rows = [(key, *window) for key, text in zip(frame["item_id"], frame["text"], strict=True) for window in canonical.all_windows(text)]
-            yield pd.DataFrame(rows, columns=["item_id", "form", "off", "hash", "slots"])
+            rows = [(*key, *window) for *key, text in zip(frame["item"], frame["item_id"], frame["text"], strict=True) for window in canonical.all_windows(text)]
+            yield pd.DataFrame(rows, columns=["item", "item_id", "form", "off", "hash", "slots"])
 
-    found = benchmark.select("item_id", "text").where("item_id is not null")
-    found = found.mapInPandas(run, "item_id long, form int, off int, hash long, slots array<string>")
-    first = found.groupBy("item_id", "form", "hash").agg(F.min_by(F.struct("off", "slots"), F.struct("off", "slots")).alias("first"))
-    return first.select("item_id", "form", "hash", "first.off", "first.slots")
+    found = benchmark.select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id").cast("string").alias("item_id"), "text")
+    found = found.mapInPandas(run, "item long, item_id string, form int, off int, hash long, slots array<string>")
+    first = found.groupBy("item", "item_id", "form", "hash").agg(F.min_by(F.struct("off", "slots"), F.struct("off", "slots")).alias("first"))
+    return first.select("item", F.col("item_id").cast("long").alias("item_id"), "form", "hash", "first.off", "first.slots")
 
 
 def document_windows(documents: DataFrame, bloom: np.ndarray) -> DataFrame:
@@ -214,11 +220,7 @@ def document_windows(documents: DataFrame, bloom: np.ndarray) -> DataFrame:
         for frame in frames:
             rows = []
             for key, doc_id, text in zip(frame["row_key"], frame["doc_id"], frame["text"], strict=True):
-                seen = set()
-                for form, pos, code, slots in canonical.all_windows(text, wanted):
-                    if (form, code, tuple(slots)) not in seen:
-                        seen.add((form, code, tuple(slots)))
-                        rows.append((key, doc_id, form, pos, code, slots))
+                rows += [(key, doc_id, *window) for window in canonical.all_windows(text, wanted)]
             yield pd.DataFrame(rows, columns=["row_key", "doc_id", "form", "pos", "hash", "slots"])
 
     # Ids pass as text: a null among them would turn whole numbers into floating ones.
@@ -231,33 +233,34 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(row_key, doc_id, item_id, n_windows, n_matched, similarity, n_slots, consistency, kind) of each item a row holds."""
     items = saved(item_windows(benchmark), "benchmark-windows")
     found = document_windows(documents, bloom_of(items))
-    sizes = items.groupBy("item_id", "form").agg(F.count("*").alias("n_windows"))
-    item = items.select("item_id", "form", "off", "hash", F.col("slots").alias("item_slots"))
+    sizes = items.groupBy("item", "form").agg(F.count("*").alias("n_windows"))
+    item = items.select("item", "form", "off", "hash", F.col("slots").alias("item_slots"))
     met = found.join(item, ["form", "hash"]).withColumn("diagonal", F.col("pos") - F.col("off"))
     met = saved(met.distinct(), "matched-windows")
-    pair = ["row_key", "doc_id", "item_id", "form"]
-    matched = met.select(*pair, "hash").distinct().groupBy(*pair).agg(F.count("*").alias("n_matched"))
-    matched = matched.join(sizes, ["item_id", "form"]).withColumn("similarity", F.col("n_matched") / F.col("n_windows")).where(F.col("similarity") >= SIMILARITY)
+    # One alignment per row, item and form: the one with most windows, of several the first.
+    pair = ["row_key", "item", "form"]
+    aligned = met.groupBy(*pair, "diagonal").agg(F.count("*").alias("n"))
+    best = aligned.groupBy(*pair).agg(F.max_by("diagonal", F.struct("n", -F.col("diagonal"))).alias("best"))
+    met = met.join(best, pair).where(F.abs(F.col("diagonal") - F.col("best")) <= DRIFT)
+    matched = met.select(*pair, "doc_id", "hash").distinct().groupBy(*pair, "doc_id").agg(F.count("*").alias("n_matched"))
+    matched = matched.join(sizes, ["item", "form"]).withColumn("similarity", F.col("n_matched") / F.col("n_windows")).where(F.col("similarity") >= SIMILARITY)
     by_words, matched = matched.where(F.col("form") == WORDS), matched.where(F.col("form") == TEMPLATE)
-    met = met.where(F.col("form") == TEMPLATE)
-    # One alignment per row and item: the one with most windows, of several the first.
-    aligned = met.groupBy("row_key", "item_id", "diagonal").agg(F.count("*").alias("n"))
-    best = aligned.groupBy("row_key", "item_id").agg(F.max_by("diagonal", F.struct("n", -F.col("diagonal"))).alias("diagonal"))
-    pairs = met.join(best, ["row_key", "item_id", "diagonal"])
-    pairs = pairs.select("row_key", "item_id", F.explode(F.arrays_zip("item_slots", F.col("slots").alias("doc_slots"))).alias("pair"))
-    pairs = pairs.where("pair.item_slots is not null").groupBy("row_key", "item_id", "pair.item_slots", "pair.doc_slots").agg(F.count("*").alias("n"))
-    values = pairs.groupBy("row_key", "item_id", "item_slots").agg(
+    pairs = met.where((F.col("form") == TEMPLATE) & (F.col("diagonal") == F.col("best")))
+    pairs = pairs.select("row_key", "item", F.explode(F.arrays_zip("item_slots", F.col("slots").alias("doc_slots"))).alias("pair"))
+    pairs = pairs.where("pair.item_slots is not null").groupBy("row_key", "item", "pair.item_slots", "pair.doc_slots").agg(F.count("*").alias("n"))
+    values = pairs.groupBy("row_key", "item", "item_slots").agg(
         F.max("n").alias("most"), F.sum("n").alias("n"), F.sum(F.when(F.col("item_slots") == F.col("doc_slots"), F.col("n")).otherwise(0)).alias("equal")
     )
-    slots = values.groupBy("row_key", "item_id").agg(F.sum("n").alias("n_slots"), F.sum("most").alias("agree"), F.sum("equal").alias("equal"))
-    judged = matched.join(slots, ["row_key", "item_id"], "left").na.fill(0, ["n_slots", "agree", "equal"])
+    slots = values.groupBy("row_key", "item").agg(F.sum("n").alias("n_slots"), F.sum("most").alias("agree"), F.sum("equal").alias("equal"))
+    judged = matched.join(slots, ["row_key", "item"], "left").na.fill(0, ["n_slots", "agree", "equal"])
     judged = judged.withColumn("consistency", F.when(F.col("n_slots") == 0, 1.0).otherwise(F.col("agree") / F.col("n_slots")))
     kind = F.when(F.col("equal") >= SIMILARITY * F.col("n_slots"), "exact").otherwise("reparameterised")
-    columns = ["row_key", "doc_id", "item_id", "n_windows", "n_matched", "similarity", "n_slots", "consistency", "kind"]
+    columns = ["row_key", "doc_id", "item", "n_windows", "n_matched", "similarity", "n_slots", "consistency", "kind"]
     judged = saved(judged.where(F.col("consistency") >= SIMILARITY).withColumn("kind", kind).select(*columns), "template-leaks")
-    by_words = by_words.join(judged.select("row_key", "item_id"), ["row_key", "item_id"], "left_anti")
+    by_words = by_words.join(judged.select("row_key", "item"), ["row_key", "item"], "left_anti")
     by_words = by_words.withColumn("n_slots", F.lit(0).cast("long")).withColumn("consistency", F.lit(1.0)).withColumn("kind", F.lit("exact"))
-    return judged.unionByName(by_words.select(*columns))
+    named = items.select("item", "item_id").distinct()
+    return judged.unionByName(by_words.select(*columns)).join(named, "item").drop("item")
 
 
 def op3(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -267,6 +270,8 @@ def op3(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item."""
-    held = leaks(documents, benchmark).select(F.col("row_key").alias("held_key")).distinct()
-    keyed = documents.withColumn("__row_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(held, F.col("__row_key") == F.col("held_key"), "left_anti").drop("__row_key")
+    # Written, so that its size is known: a few rows are sent to the documents, which then stay where they are.
+    held = saved(leaks(documents, benchmark).select(F.col("row_key").alias("key")).distinct(), "held-items")
+    # The rows are carried as one column, so that no name of theirs can clash.
+    keyed = documents.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    return keyed.join(held, "key", "left_anti").select("row.*")
