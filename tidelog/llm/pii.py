@@ -82,8 +82,17 @@ LOOKALIKES = {
     "ı": "i", "ɡ": "g", "ℓ": "l", "․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "﹫": "@", " ": " ", " ": " ", " ": " ",
 }
 INVISIBLE = "­​‌‍⁠﻿"
-# Spelled digits.
-SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Spelled digits, from zero on, and the words for `@` and `.`, in English, German, Spanish and French.
+DIGITS = (
+    "zero one two three four five six seven eight nine",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+)
+AT_AND_DOT = (("at", "dot"), ("at|ät", "punkt"), ("arroba", "punto"), ("arobase|arobas", "point"))
+SPELLED = {"oh": "0", "zwo": "2"} | {word: str(digit) for words in DIGITS for digit, word in enumerate(words.split())}
+AT_WORDS = "|".join(sorted({word for at, _ in AT_AND_DOT for word in at.split("|")}, reverse=True))
+DOT_WORDS = "|".join(dot for _, dot in AT_AND_DOT)
 
 
 @cache
@@ -92,8 +101,12 @@ def signs() -> tuple[dict[str, str], re.Pattern[str]]:
     table = dict(LOOKALIKES) | dict.fromkeys(INVISIBLE, "")
     table |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}  # full-width forms
     for code in range(0x80, 0x20000):
-        if unicodedata.category(chr(code)) == "Nd" and chr(code) not in table:
-            table[chr(code)] = str(unicodedata.decimal(chr(code)))
+        sign, kind = chr(code), unicodedata.category(chr(code))
+        if sign in table or kind not in ("Nd", "Lu", "Ll"):
+            continue
+        plain = str(unicodedata.decimal(sign)) if kind == "Nd" else unicodedata.normalize("NFKC", sign)
+        if len(plain) == 1 and plain.isascii():
+            table[sign] = plain  # digits of all scripts, and letters that are forms of Latin ones
     return table, re.compile("[" + "".join(map(re.escape, sorted(table))) + "]")
 
 
@@ -126,11 +139,11 @@ def plain_signs(traced: Traced) -> Traced:
     return traced.rewritten(edits) if edits else traced
 
 
-DIGIT_WORD = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-# At least four spelled digits, with `dot`, `plus` and digit groups between them.
-SPELLED_RUN = re.compile(rf"\b(?:plus[\s,-]+)?{DIGIT_WORD}(?:[\s,-]+(?:{DIGIT_WORD}|dot|point)){{3,}}\b", re.IGNORECASE)
-SPELLED_PART = re.compile(r"[A-Za-z]+")
-SPELLED_SIGN = {"dot": ".", "point": ".", "plus": "+"} | SPELLED
+DIGIT_WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
+# At least four spelled digits, signs or groups of digits, the first of them spelled.
+SPELLED_RUN = re.compile(rf"\b(?:plus[\s,-]+)?{DIGIT_WORD}(?:[\s,-]+(?:{DIGIT_WORD}|{DOT_WORDS}|[0-9]+)){{3,}}\b", re.IGNORECASE)
+SPELLED_PART = re.compile(r"[^\W\d_]+|[0-9]+")
+SPELLED_SIGN = {"plus": "+"} | dict.fromkeys(DOT_WORDS.split("|"), ".") | SPELLED
 
 
 def spelled_digits(traced: Traced) -> Traced:
@@ -141,41 +154,64 @@ def spelled_digits(traced: Traced) -> Traced:
             start, end = run.start() + part.start(), run.start() + part.end()
             if start > last:
                 edits.append((last, start, ""))
-            edits.append((start, end, SPELLED_SIGN[part.group().lower()]))
+            written = SPELLED_SIGN.get(part.group().lower())
+            if written is not None:
+                edits.append((start, end, written))
             last = end
     return traced.rewritten(edits) if edits else traced
 
 
-BRACKETED = re.compile(r"\s{0,3}[\[({<]\s{0,3}(at|dot|@|\.)\s{0,3}[\])}>]\s{0,3}", re.IGNORECASE)
-WORDED = re.compile(r"(?<=[A-Za-z0-9])(\s{1,3}at\s{1,3}|\s{0,3}@\s{0,3})([A-Za-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]{1,63}){1,8})", re.IGNORECASE)
-NAME_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9._%+-]{1,64}(?:@|\s{1,3}dot\s))", re.IGNORECASE)
-DOT_WORD = re.compile(r"\s{1,3}dot\s{1,3}", re.IGNORECASE)
+BRACKETED = re.compile(rf"(?<!\s)\s*+[\[({{<]\s*({AT_WORDS}|{DOT_WORDS}|@|\.)\s*[\])}}>]\s*", re.IGNORECASE)
 # Words that are no domain names after a bare `at` (`look at the dot com boom`).
 DETERMINERS = frozenset(("the", "a", "an", "this", "that", "each", "every"))
 
 
+class Spoken:
+    """The words of one language: `name at domain dot ending`."""
+
+    def __init__(self, at: str, dot: str):
+        self.plain = "at" in at.split("|")  # a word of prose too: it needs a spoken dot behind it
+        self.worded = re.compile(rf"(?<=[A-Za-z0-9])(\s+(?:{at})\s+|\s*@\s*)([A-Za-z0-9-]+(?:(?:\s+(?:{dot})\s+|\.)[A-Za-z0-9-]+)+)", re.IGNORECASE)
+        self.dots = re.compile(rf"\s+(?:{dot})\s+", re.IGNORECASE)
+        self.name_dots = re.compile(rf"(?<=[A-Za-z0-9])\s+(?:{dot})\s+(?=[A-Za-z0-9._%+-]+(?:@|\s+(?:{dot})\s))", re.IGNORECASE)
+
+    def rewritten(self, traced: Traced) -> Traced:
+        edits, own = [], self.plain
+        for match in self.worded.finditer(traced.text):
+            spoken = list(self.dots.finditer(match.group(2)))
+            if "@" not in match.group(1):
+                if self.plain and (not spoken or match.group(2).split(None, 1)[0].lower() in DETERMINERS):
+                    continue  # `at example.com` in prose names a place, not a mailbox
+                own = True
+            edits.append((match.start(1), match.end(1), "@"))
+            edits += [(match.start(2) + m.start(), match.start(2) + m.end(), ".") for m in spoken]
+        traced = traced.rewritten(edits) if edits else traced
+        # Dots in names: `point` and `punto` are words of prose, so they count only in texts that speak their at.
+        edits = [(m.start(), m.end(), ".") for m in self.name_dots.finditer(traced.text)] if own and "@" in traced.text else []
+        return traced.rewritten(edits) if edits else traced
+
+
+LANGUAGES = tuple(Spoken(at, dot) for at, dot in AT_AND_DOT)
+
+
 def sign_of(match: re.Match[str]) -> str:
-    return "@" if match.group(1).lower() in ("at", "@") else "."
+    return "@" if match.group(1).lower() in (*AT_WORDS.split("|"), "@") else "."
 
 
 def at_and_dot(traced: Traced) -> Traced:
-    """Bracketed disguises anywhere; bare words only in the form `name at domain dot ending`."""
+    """Bracketed disguises anywhere; bare words only in the form `name at domain dot ending`, all in one language."""
     edits = [(m.start(), m.end(), sign_of(m)) for m in BRACKETED.finditer(traced.text)]
     traced = traced.rewritten(edits) if edits else traced
-    edits = []
-    for match in WORDED.finditer(traced.text):
-        spoken = list(DOT_WORD.finditer(match.group(2)))
-        if "@" not in match.group(1) and (not spoken or match.group(2).split(None, 1)[0].lower() in DETERMINERS):
-            continue  # `at example.com` in prose names a place, not a mailbox
-        edits.append((match.start(1), match.end(1), "@"))
-        edits += [(match.start(2) + m.start(), match.start(2) + m.end(), ".") for m in spoken]
-    traced = traced.rewritten(edits) if edits else traced
-    edits = [(m.start(), m.end(), ".") for m in NAME_DOT.finditer(traced.text)] if "@" in traced.text else []
-    return traced.rewritten(edits) if edits else traced
+    for language in LANGUAGES:
+        traced = language.rewritten(traced)
+    return traced
 
 
 # Whatever the transducers of spelled digits and signs match, this does.
-HINT = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|\bdot\b|{DIGIT_WORD}(?:[\s,-]+(?:{DIGIT_WORD}|dot|point)){{2}}|\s@|@\s", re.IGNORECASE)
+HINT = re.compile(
+    rf"[\[({{<]\s*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s*[\])}}>]|\b(?:dot|punkt|arroba|arobase|arobas)\b|\b{DIGIT_WORD}(?:[\s,-]+(?:{DIGIT_WORD}|{DOT_WORDS}|[0-9]+)){{3}}|\s@|@\s",
+    re.IGNORECASE,
+)
 
 
 def disguised(text: str) -> dict[str, list[Span]]:
@@ -248,11 +284,13 @@ def found(documents: DataFrame) -> DataFrame:
 
 
 def redact(documents: DataFrame) -> DataFrame:
-    """The documents with personal data replaced in `text` and `n_chars` counted anew; null texts stay null."""
+    """The documents with personal data replaced in `text` and `n_chars`, if there is such a column, counted anew; null texts stay null."""
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(redacted, na_action="ignore")
 
     out = documents.withColumn("text", clean("text"))
+    if "n_chars" not in documents.columns:
+        return out
     return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
