@@ -67,3 +67,10 @@ def test_rules_sit_under_their_rarest_token(spark):
     found = {row.url: row.name for row in urls.judged(pages, rules).collect()}
     assert found["http://a.com/x/rare"] == "r"
     assert found["http://b.com/x/3"] == "any"
+
+
+def test_names_that_clash(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", "h", "j"), (2, None, "h", "j")], "page_id long, url string, host string, judged_url string")
+    found = urls.filtered(pages)
+    assert found.columns == ["page_id", "url", "judged_url", "host", "path", "name", "action"]
+    assert sorted((r.page_id, r.judged_url, r.host, r.action) for r in found.collect()) == [(1, "j", "a.org", "allow"), (2, "j", "", "allow")]

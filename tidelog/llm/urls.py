@@ -144,8 +144,10 @@ def judged(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 def filtered(pages: DataFrame, rules: tuple[Rule, ...] = PLACE_RULES + WORD_RULES) -> DataFrame:
     """The pages with host, path, the winning rule's name and action; action is `allow` where no rule matches."""
     found = judged(pages, rules).withColumnRenamed("url", "judged_url")
-    joined = pages.join(found, F.col("url").eqNullSafe(F.col("judged_url")), "left")
-    return joined.drop("judged_url").withColumn("action", F.coalesce("action", F.lit("allow")))
+    # The rows are carried as one column, so that no name of theirs can clash; the columns added replace any of the same name.
+    joined = pages.select(F.struct("*").alias("row")).join(found, F.col("row.url").eqNullSafe(F.col("judged_url")), "left")
+    added = {"host": F.col("host"), "path": F.col("path"), "name": F.col("name"), "action": F.coalesce("action", F.lit("allow"))}
+    return joined.select(*[F.col(f"row.`{name}`") for name in pages.columns if name not in added], *[value.alias(name) for name, value in added.items()])
 
 
 def op7(pages: DataFrame) -> DataFrame:
