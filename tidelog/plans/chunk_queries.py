@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import chunking as C
 from tidelog.operators import chunkmap as M
+from tidelog.operators import scoring
 from tidelog.operators.validate import record_problem
 from tidelog.plans.adapters import (
     DOCLINES,
@@ -288,13 +289,23 @@ def _answers(spark: SparkSession, directory: str) -> DataFrame:
     return M.infer_chunks(M.render_prompts(M.chunk_payloads(event_chunks(spark, directory))), stub_scorer)
 
 
-@query(
-    "infer_chunks",
-    f"""WITH {_LINES_SQL}, outcome AS (SELECT file, chunk_id, arg_min(level, pos) <> 'WARN' AS success, count(*) AS n,
+_OUTCOME_SQL = f"""WITH {_LINES_SQL}, outcome AS (SELECT file, chunk_id, arg_min(level, pos) <> 'WARN' AS success, count(*) AS n,
       count(*) FILTER ({_VALID}) AS valid FROM lines GROUP BY file, chunk_id)
 SELECT file, chunk_id, n AS original_line_count, CASE WHEN success THEN valid ELSE 0 END AS cleaned_line_count,
-  CASE WHEN success THEN n ELSE 0 END AS tokens_used, success, CASE WHEN NOT success THEN 'refused' END AS error FROM outcome""",
-)
+  CASE WHEN success THEN n ELSE 0 END AS tokens_used, success, CASE WHEN NOT success THEN 'refused' END AS error FROM outcome"""
+
+
+@query("infer_resumable", _OUTCOME_SQL)
+def infer_resumable(spark: SparkSession, directory: str) -> DataFrame:
+    """Answers kept by prompt: a first run over the chunks of even number, then one over all."""
+    path = scratch_path(spark, "answers")
+    prompts = M.render_prompts(M.chunk_payloads(event_chunks(spark, directory)))
+    scoring.infer_resumable(prompts.where("chunk_id % 2 = 0"), stub_scorer, path, attempts=1)
+    answers = scoring.infer_resumable(prompts, stub_scorer, path, attempts=1)
+    return M.answers_to_results(answers).drop("processing_time_seconds")
+
+
+@query("infer_chunks", _OUTCOME_SQL)
 def infer_chunks(spark: SparkSession, directory: str) -> DataFrame:
     return M.answers_to_results(_answers(spark, directory)).drop("processing_time_seconds")
 
