@@ -112,14 +112,24 @@ def test_long_texts_are_cut_between_pieces():
 def test_transducers():
     rng = np.random.default_rng(2)
     tokens = [rng.integers(0, 6, 400) for _ in range(3)]
-    parts = [phrases.Transducer.build(*phrases.sorted_grams(t, 4)) for t in tokens]
-    parts = [phrases.Transducer.unpacked(p.packed()) for p in parts]
-    whole = phrases.Transducer.union(parts)
+    links = [np.append((t[:-1] > 0) & (t[1:] > 0) & (t[:-1] != t[1:]), False) for t in tokens]
+    grams = [phrases.sorted_grams(t, own, 2, 4) for t, own in zip(tokens, links, strict=True)]
+    parts = [phrases.Transducer.unpacked(phrases.Transducer.build(g, c).packed()) for g, c, _, _ in grams]
+    whole, _ = phrases.Transducer.united(parts)
     expected = Counter()
-    for t in tokens:
+    for t, own in zip(tokens, links, strict=True):
         for i in range(len(t)):
             for k in range(1, 5):
-                if i + k <= len(t) and (t[i : i + max(k, 2)] > 0).all() and i + 2 <= len(t):
+                if own[i] and own[i : i + k - 1].all():
                     expected[tuple(t[i : i + k].tolist())] += 1
     found = {tuple(p): c for layer, counts in enumerate(whole.counts()) for p, c in zip(whole.phrases(layer, np.arange(len(counts))).tolist(), counts.tolist(), strict=True)}
     assert found == dict(expected)
+    for t, (g, _, start, which) in zip(tokens, grams, strict=True):
+        for at, row in zip(start.tolist(), g[which].tolist(), strict=True):
+            row = [x for x in row if x]
+            assert row == t[at : at + len(row)].tolist()
+
+
+def test_packed_numbers():
+    for values in ([], [0], [255, 256, 0], [2**40 + 3, 7], list(range(70_000))):
+        assert phrases.numbers(phrases.planes(np.array(values, np.int64))).tolist() == values

@@ -23,10 +23,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/corpus/{label}-{uuid.uuid4().hex}"
 
 
-def saved(frame: DataFrame, label: str) -> DataFrame:
-    """`frame` written to the shared folder and read back: lineage ends there, lost executors cost nothing."""
+def saved(frame: DataFrame, label: str, group_bytes: int | None = None) -> DataFrame:
+    """`frame` written to the shared folder and read back: lineage ends there, lost executors cost nothing.
+
+    A reader holds a row group at a time, which `group_bytes` bounds for tables of very large rows.
+    """
     path = shared_path(frame.sparkSession, label)
-    frame.write.parquet(path)
+    writer = frame.write if group_bytes is None else frame.write.option("parquet.block.size", str(group_bytes))
+    writer.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

@@ -3,14 +3,16 @@
 Texts (A-Z lower-cased) are cut at sentence signs into pieces and these at blanks into words. Each language has its own counts.
 
 1. Tasks turn their texts into shards: token numbers and the distinct words with their counts. The words' counts are summed;
-   words of at least `least` occurrences get an id, the most frequent the lowest. A phrase counts `least` only if all its words do,
+   words of at least `least` occurrences get an id. A phrase counts `least` only if all its words do,
    so other words end every phrase.
-2. Each shard lists the `longest` words that begin at each place, sorted, equal ones counted once. From these sorted n-grams it
-   builds a count transducer: states are their prefixes, made row by row where a row departs from the one before it; an arc
-   per next word; a weight where n-grams end. Its sorted n-grams are cut at the borders of prefix ranges, one transducer a range.
-3. A range's transducers are united layer by layer: arcs with equal origin and word become one, weights are added up. The
-   weight that passes through a state is the count of its phrase in the range. A phrase whose n-grams lie across a border
-   is on the range's first or last path, so those are handed on whatever their count, and sums over ranges are exact.
+2. Each shard lists its pairs of neighbouring words, sorted, equal ones counted once. From these sorted n-grams it builds a count
+   transducer: states are their prefixes, made row by row where a row departs from the one before it; an arc per next word; a
+   weight where n-grams end. Its sorted n-grams are cut at the borders of prefix ranges, one transducer a range.
+3. A range's transducers are united layer by layer: arcs with equal origin and word become one, weights are added up. Each
+   shard hears, a bit per pair, which of its pairs are frequent. Then it lists the up to `longest` words that begin at each
+   place and go on as long as pairs are frequent, and these go the same way. The weight that passes through a state is the count of
+   its phrase in the range. A phrase whose n-grams lie across a border is on the range's first or last path, so those
+   are handed on whatever their count, and sums over ranges are exact.
 4. The states left, of all ranges, are the transducer of the frequent phrases, each named by its path. The parts of every cut of a
    candidate are composed with it: the state that a part leads to has the part's name, so the lookup is a join.
 
@@ -25,23 +27,28 @@ Products are taken in 38-digit decimals. Equal scores are in order of count, the
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import saved
-from tidelog.llm.lm import numbers, planes
+from tidelog.llm.common import arrow_rows, saved
 
 LEAST = 100
 LONGEST = 5
 TOP = 2000
 # Bytes of text that a shard holds, and n-grams that a prefix range aims at.
-SHARD_BYTES = 8 << 20
-RANGE_GRAMS = 2_000_000
+SHARD_BYTES = 4 << 20
+RANGE_GRAMS = 1_000_000
+# Bits of a word's id that name its partition.
+PART_BITS = 20
+# Documents, and shards, that are handed to a task's Python at a time.
+TEXT_ROWS = 1000
+SHARD_ROWS = 4
 # Shards, and n-grams of each, that the borders are taken from.
 SAMPLE_SHARDS = 2000
 SAMPLE = 512
@@ -50,6 +57,22 @@ END = b"\xff"  # no byte of any text: the end of a piece
 BYTES = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of whole numbers, all first bytes first, without the last planes if all zero, compressed; the first byte counts the planes."""
+    values = np.ascontiguousarray(values, np.uint64)
+    used = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return zstandard.compress(bytes([used]) + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :used].T).tobytes(), 1)
+
+
+def numbers(packed: bytes) -> np.ndarray:
+    packed = zstandard.decompress(packed)
+    used = packed[0]
+    own = np.frombuffer(packed, np.uint8, offset=1).reshape(used, -1)
+    out = np.zeros((own.shape[1], 8), np.uint8)
+    out[:, :used] = own.T
+    return out.view(np.int64).ravel()
+
+
 class Words:
     """The token numbers of the texts of a shard; 0 ends a piece."""
 
@@ -113,30 +136,50 @@ def shards(documents: DataFrame, size: int = SHARD_BYTES) -> DataFrame:
 
 
 def frequent_words(pieces: DataFrame, least: int) -> DataFrame:
-    """id, lang, word, f of the words with at least `least` occurrences; ids from 1 on, the most frequent first."""
-    each = pieces.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
-    found = each.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")).where(F.col("f") >= least)
-    ordered = found.orderBy(F.desc("f"), "lang", "word").withColumn("place", F.monotonically_increasing_id())
-    ordered = saved(ordered, "words")
-    # `place` numbers the rows of each partition; with the rows of the partitions before it, it numbers all.
-    part = F.shiftright("place", 33)
-    parts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
-    parts = parts.withColumn("before", F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    ordered = ordered.withColumn("part", part).join(parts, "part")
-    number = F.col("place").bitwiseAND((1 << 33) - 1) + F.coalesce("before", F.lit(0)) + 1
-    return ordered.select(number.alias("id"), "lang", "word", "f")
-
-
-def sorted_grams(ids: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the distinct n-grams of `longest` ids, or fewer if 0 follows, with two ids at least, sorted; their counts)."""
+    """shard, place, id: the ids of a shard's words with at least `least` occurrences in all; and, on the first row of each word, lang, word, f.
+
+    Words meet once, one row a shard, to be counted and numbered. A word's id is made of its place in its partition and the partition.
+    """
+    each = pieces.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
+    each = each.select("shard", "place", "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
+    found = each.withColumn("f", F.sum("count").over(Window.partitionBy("lang", "word"))).where(F.col("f") >= least)
+
+    def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, last, count = TaskContext.get().partitionId(), None, 0
+        for frame in frames:
+            lang, word = frame["lang"].to_numpy(), frame["word"].to_numpy()
+            first = np.ones(len(frame), bool)
+            first[1:] = (lang[1:] != lang[:-1]) | (word[1:] != word[:-1])
+            if len(frame):
+                first[0] = (lang[0], word[0]) != last
+                last = lang[-1], word[-1]
+            rank = count + np.cumsum(first)
+            count += int(first.sum())
+            shown = {"lang": np.where(first, lang, None), "word": np.where(first, word, None), "f": frame["f"].astype("Int64").where(pd.Series(first, frame.index))}
+            yield frame[["shard", "place"]].assign(id=rank << PART_BITS | part, **shown)
+
+    # The window leaves the rows of a partition sorted by language and word.
+    return found.drop("count").mapInPandas(number, "shard string, place int, id long, lang string, word string, f long")
+
+
+def sorted_grams(ids: np.ndarray, links: np.ndarray, fewest: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the distinct n-grams, sorted; their counts; the places where one begins; which of the distinct ones it is).
+
+    `links` tells of each place whether its word goes on to the next. An n-gram ends after `longest` words or
+    where there is no link (0 follows); those of less than `fewest` words are left out.
+    """
     known, rank = np.unique(ids, return_inverse=True)
     if not len(known) or known[0] != 0:
         known, rank = np.concatenate(([0], known)), rank + 1
     padded = np.concatenate((rank, np.zeros(longest, rank.dtype)))
-    start = np.flatnonzero((rank > 0) & (padded[1 : len(rank) + 1] > 0))
-    columns = [padded[start]]
+    links = np.concatenate((links, np.zeros(longest, bool)))
+    start = np.arange(len(ids))
+    for j in range(fewest - 1):
+        start = start[links[start + j]]
+    columns, alive = [padded[start]], np.ones(len(start), bool)
     for j in range(1, longest):
-        columns.append(np.where(columns[-1] > 0, padded[start + j], 0))
+        alive = alive & links[start + j - 1]
+        columns.append(np.where(alive, padded[start + j], 0))
     # Columns side by side in as few words as hold them, to sort by.
     bits = max(1, int(len(known) - 1).bit_length())
     each = max(1, 63 // bits)
@@ -153,8 +196,25 @@ def sorted_grams(ids: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]
         key = key[order]
         fresh[1:] |= key[1:] != key[:-1]
     first = np.flatnonzero(fresh)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(fresh) - 1
     grams = np.stack([known[column[order[first]]] for column in columns], axis=1).astype(np.int64)
-    return grams, np.diff(np.append(first, len(order)))
+    return grams, np.diff(np.append(first, len(order))), start, which
+
+
+def pairs_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`sorted_grams` of the pairs of neighbouring words that have ids."""
+    links = np.zeros(len(ids), bool)
+    links[:-1] = (ids[:-1] > 0) & (ids[1:] > 0)
+    return sorted_grams(ids, links, 2, 2)
+
+
+def grams_of(ids: np.ndarray, mask: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams of three words or more whose pairs are all frequent by `mask`, a bit per distinct pair; their counts."""
+    _, _, start, which = pairs_of(ids)
+    links = np.zeros(len(ids), bool)
+    links[start] = mask[which]
+    return sorted_grams(ids, links, 3, longest)[:2]
 
 
 class Transducer:
@@ -186,8 +246,11 @@ class Transducer:
         return cls(origins, words, weights)
 
     @classmethod
-    def union(cls, several: list[Transducer]) -> Transducer:
-        """Layer by layer: arcs with equal origin and word are one, their weights are added."""
+    def united(cls, several: list[Transducer]) -> tuple[Transducer, list[np.ndarray]]:
+        """(the union, the state of it that each state of the last layer of each part became).
+
+        Layer by layer, arcs with equal origin and word are one, and their weights are added.
+        """
         places = [np.zeros(1, np.int64) for _ in several]
         origins, words, weights = [], [], []
         for layer in range(max(len(t.words) for t in several)):
@@ -204,7 +267,7 @@ class Transducer:
             words.append(word[fresh])
             weights.append(np.bincount(at, weights=weight, minlength=len(words[-1])).astype(np.int64))
             places = np.split(at, np.cumsum([len(t.words[layer]) for t in several])[:-1])
-        return cls(origins, words, weights)
+        return cls(origins, words, weights), places
 
     def counts(self) -> list[np.ndarray]:
         """Per layer, the weight that ends in or passes through each state: the count of its phrase."""
@@ -223,7 +286,7 @@ class Transducer:
         return np.stack(columns[::-1], axis=1)
 
     def packed(self) -> list[bytes]:
-        """Three byte strings a layer: arcs per origin, words, weights."""
+        """Three compressed byte strings a layer: arcs per origin, words, weights."""
         out, above = [], 1
         for origin, word, weight in zip(self.origins, self.words, self.weights, strict=True):
             out += [planes(np.bincount(origin, minlength=above)), planes(word), planes(weight)]
@@ -232,62 +295,110 @@ class Transducer:
 
     @classmethod
     def unpacked(cls, parts: list[bytes]) -> Transducer:
-        arcs, words, weights = ([numbers(part).astype(np.int64) for part in parts[i::3]] for i in range(3))
+        arcs, words, weights = ([numbers(part) for part in parts[i::3]] for i in range(3))
         return cls([np.repeat(np.arange(len(a)), a) for a in arcs], words, weights)
 
 
-def shard_grams(frame: pd.DataFrame, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sorted n-grams of ids and their counts, shard by shard."""
-    for tokens, places, known in zip(frame["tokens"], frame["places"], frame["ids"], strict=True):
-        tokens = numbers(tokens).astype(np.int64)
-        ids = np.zeros(int(tokens.max(initial=0)) + 1, np.int64)
-        ids[places + 1] = known
-        yield sorted_grams(ids[tokens], longest)
-
-
 def _before(grams: np.ndarray, border: tuple[int, ...]) -> int:
     """How many of the sorted n-grams are less than the border."""
     return bisect_left(range(len(grams)), border, key=lambda i: tuple(grams[i].tolist()))
 
 
-def frequent_phrases(pieces: DataFrame, words: DataFrame, least: int, longest: int, range_grams: int) -> DataFrame:
-    """ids, f of all phrases of 2 to `longest` words with at least `least` occurrences."""
-    spark = pieces.sparkSession
-    each = pieces.select("shard", "lang", F.posexplode("words").alias("place", "word"))
-    known = each.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("known"))
-    coded = pieces.select("shard", "tokens").join(known, "shard").select("shard", "tokens", F.col("known.place").alias("places"), F.col("known.id").alias("ids"))
+def coded_shards(pieces: DataFrame, numbered: DataFrame) -> DataFrame:
+    """shard, ids: the word ids of a shard's tokens in order, 0 for ends and words that are not frequent."""
+    known = numbered.groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("known"))
+    met = pieces.select("shard", "tokens").join(known, "shard").select("shard", "tokens", F.col("known.place").alias("places"), F.col("known.id").alias("ids"))
 
-    size = pieces.agg(F.sum("n")).first()[0] or 0
+    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            coded = []
+            for tokens, places, known in zip(frame["tokens"], frame["places"], frame["ids"], strict=True):
+                tokens = numbers(tokens)
+                ids = np.zeros(int(tokens.max(initial=0)) + 1, np.int64)
+                ids[places + 1] = known
+                coded.append(planes(ids[tokens]))
+            yield pd.DataFrame({"shard": frame["shard"], "ids": coded})
+
+    return met.mapInPandas(code, "shard string, ids binary")
+
+
+def borders_of(shards: DataFrame, listed: Callable[[pd.DataFrame], Iterator[np.ndarray]], size: int, range_grams: int) -> list[tuple[int, ...]]:
+    """N-grams that cut the sorted n-grams of all shards, as `listed` gives them, into ranges of at most about `range_grams`."""
     ranges = max(1, -(-size // range_grams))
-    chosen: list[tuple[int, ...]] = []
-    if ranges > 1:
-        few = pieces.select("shard").orderBy(F.xxhash64("shard"), "shard").limit(min(SAMPLE_SHARDS, max(8, ranges // 16)))
+    if ranges == 1:
+        return []
+    few = shards.select("shard").orderBy(F.xxhash64("shard"), "shard").limit(min(SAMPLE_SHARDS, max(8, ranges // 16)))
+    names = [row.shard for row in few.collect()]  # SAMPLE_SHARDS at most
+
+    def sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for grams in filter(len, listed(frame)):
+                yield pd.DataFrame({"gram": list(grams[np.linspace(0, len(grams) - 1, min(SAMPLE, len(grams))).astype(np.int64)])})
+
+    drawn = sorted(tuple(row.gram) for row in shards.where(F.col("shard").isin(names)).mapInPandas(sample, "gram array<long>").collect())
+    return sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
+
+
+def _parts(grams: np.ndarray, counts: np.ndarray, borders: list[tuple[int, ...]]) -> Iterator[tuple[int, list[bytes]]]:
+    """(range, packed transducer) of each range that has some of the sorted n-grams."""
+    ends = np.array([0, *(_before(grams, border) for border in borders), len(grams)])
+    for part in np.flatnonzero(np.diff(ends)).tolist():
+        here = slice(ends[part], ends[part + 1])
+        yield part, Transducer.build(grams[here], counts[here]).packed()
 
-        def sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for grams, _ in shard_grams(frame, longest):
-                    yield pd.DataFrame({"ids": list(grams[np.linspace(0, len(grams) - 1, min(SAMPLE, len(grams))).astype(np.int64)])})
 
-        names = [row.shard for row in few.collect()]  # SAMPLE_SHARDS at most
-        drawn = sorted(tuple(row.ids) for row in coded.where(F.col("shard").isin(names)).mapInPandas(sample, "ids array<long>").collect())
-        chosen = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
-    borders = spark.sparkContext.broadcast(chosen)  # one n-gram a range
+def frequent_pairs(coded: DataFrame, size: int, least: int, range_grams: int) -> DataFrame:
+    """Rows ids, f of the frequent pairs, and rows shard, range, mask, pairs: which of a shard's sorted pairs in a range are frequent."""
+
+    def listed(frame: pd.DataFrame) -> Iterator[np.ndarray]:
+        for ids in frame["ids"]:
+            yield pairs_of(numbers(ids))[0]
+
+    sent = coded.sparkSession.sparkContext.broadcast(borders_of(coded, listed, size, range_grams))  # one pair a range
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for grams, counts in shard_grams(frame, longest):
-                ends = np.array([0, *(_before(grams, border) for border in borders.value), len(grams)])
-                rows = []
-                for part in np.flatnonzero(np.diff(ends)).tolist():
-                    here = slice(ends[part], ends[part + 1])
-                    rows.append((part, Transducer.build(grams[here], counts[here]).packed()))
-                yield pd.DataFrame(rows, columns=["range", "layers"])
+            for shard, ids in zip(frame["shard"], frame["ids"], strict=True):
+                grams, counts, _, _ = pairs_of(numbers(ids))
+                yield pd.DataFrame([(shard, *part) for part in _parts(grams, counts, sent.value)], columns=["shard", "range", "layers"])
 
     def unite(frame: pd.DataFrame) -> pd.DataFrame:
-        whole = Transducer.union([Transducer.unpacked(list(layers)) for layers in frame["layers"]])
+        # Equal pairs lie in one range, so their sums are whole here.
+        several = [Transducer.unpacked(list(layers)) for layers in frame["layers"]]
+        whole, places = Transducer.united(several)
+        counts = whole.counts()[1]
+        rows = [(shard, part, np.packbits(counts[at] >= least).tobytes(), len(at), None, None) for shard, part, at in zip(frame["shard"], frame["range"], places, strict=True)]
+        states = np.flatnonzero(counts >= least)
+        rows += [(None, None, None, None, ids, f) for ids, f in zip(whole.phrases(1, states).tolist(), counts[states].tolist(), strict=True)]
+        return pd.DataFrame(rows, columns=["shard", "range", "mask", "pairs", "ids", "f"]).astype({"range": "Int32", "pairs": "Int64", "f": "Int64"})
+
+    parts = coded.mapInPandas(cut, "shard string, range int, layers array<binary>")
+    return parts.groupBy("range").applyInPandas(unite, "shard string, range int, mask binary, pairs long, ids array<long>, f long")
+
+
+def longer_phrases(coded: DataFrame, masks: DataFrame, size: int, least: int, longest: int, range_grams: int) -> DataFrame:
+    """ids, f of the frequent phrases of three words or more."""
+    spark = coded.sparkSession
+    listed = masks.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("range", "mask", "pairs"))).alias("masks"))
+    met = coded.join(listed, "shard").select("shard", "ids", F.col("masks.mask").alias("masks"), F.col("masks.pairs").alias("pairs"))
+
+    def grams(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for ids, masks, pairs in zip(frame["ids"], frame["masks"], frame["pairs"], strict=True):
+            mask = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(masks, pairs, strict=True)]).astype(bool)
+            yield grams_of(numbers(ids), mask, longest)
+
+    sent = spark.sparkContext.broadcast(borders_of(met, lambda frame: (found for found, _ in grams(frame)), size, range_grams))
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for found, counts in grams(frame):
+                yield pd.DataFrame(_parts(found, counts, sent.value), columns=["range", "layers"])
+
+    def unite(frame: pd.DataFrame) -> pd.DataFrame:
+        whole, _ = Transducer.united([Transducer.unpacked(list(layers)) for layers in frame["layers"]])
         ids, f = [], []
         for layer, counts in enumerate(whole.counts()):
-            if layer and len(counts):
+            if layer > 1 and len(counts):
                 keep = counts >= least
                 keep[[0, -1]] = True  # paths that n-grams of a neighbouring range may share
                 states = np.flatnonzero(keep)
@@ -295,18 +406,35 @@ def frequent_phrases(pieces: DataFrame, words: DataFrame, least: int, longest: i
                 f.append(counts[states])
         return pd.DataFrame({"ids": ids, "f": np.concatenate(f)})
 
-    found = coded.mapInPandas(cut, "range int, layers array<binary>").groupBy("range").applyInPandas(unite, "ids array<long>, f long")
+    found = met.mapInPandas(cut, "range int, layers array<binary>").groupBy("range").applyInPandas(unite, "ids array<long>, f long")
     return found.groupBy("ids").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
+def frequent_phrases(pieces: DataFrame, numbered: DataFrame, least: int, longest: int, range_grams: int) -> DataFrame:
+    """ids, f of all phrases of 2 to `longest` words with at least `least` occurrences."""
+    spark = pieces.sparkSession
+    size = pieces.agg(F.sum("n")).first()[0] or 0
+    with arrow_rows(spark, SHARD_ROWS):
+        coded = saved(coded_shards(pieces, numbered), "coded-shards", 8 << 20)
+        pairs = saved(frequent_pairs(coded, size, least, range_grams), "pairs")
+        found = pairs.where("ids is not null").select("ids", "f")
+        if longest < 3:
+            return found
+        masks = pairs.where("ids is null").select("shard", "range", "mask", "pairs")
+        return found.union(saved(longer_phrases(coded, masks, size, least, longest, range_grams), "longer-phrases"))
+
+
 def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = 100, shard_bytes: int = SHARD_BYTES, range_grams: int = RANGE_GRAMS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases of 2 to `longest` words.
 
     A phrase that lies in a longer candidate with at least `share` per cent of its count is left out.
     """
-    pieces = saved(shards(documents, shard_bytes), "shards")
-    words = saved(frequent_words(pieces, least), "frequent-words")
-    phrases = saved(frequent_phrases(pieces, words, least, longest, range_grams), "phrases")
+    spark = documents.sparkSession
+    with arrow_rows(spark, TEXT_ROWS):
+        pieces = saved(shards(documents, shard_bytes), "shards", 8 << 20)
+    numbered = saved(frequent_words(pieces, least), "frequent-words")
+    words = numbered.where("word is not null").select("id", "lang", "word", "f")
+    phrases = frequent_phrases(pieces, numbered, least, longest, range_grams)
 
     # Parts of candidates are as frequent as candidates, so all are states of this transducer.
     states = phrases.union(words.select(F.array("id").alias("ids"), "f"))
