@@ -1,5 +1,6 @@
 """Chunk rules against a direct loop, across block boundaries and for one dominant file."""
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -135,3 +136,17 @@ def test_entry_states_without_spark(sizes, block_lengths, limit, part_chunks):
         chunk = expected[first - 2] if first > 1 else 0
         assert (row.entry_id, row.entry_open) == (chunk, starts[chunk])
     assert len(entries) == block
+
+
+@pytest.mark.parametrize("levels", [1, 2, 4])
+def test_parts_of_parts(spark, monkeypatch, tmp_path, levels):
+    """However often parts are taken together, the result is that of the loop; no task sees more than FAN tables of a level."""
+    monkeypatch.setattr(C, "PART_CHUNKS", 2)
+    monkeypatch.setattr(C, "FAN", 3)
+    monkeypatch.setattr(C, "LEVELS", levels)
+    files = {"long": [1 + (n * 7919) % 97 for n in range(3_000)], "short": [5, 5], "large": [300] * 40, "even": [25] * 400}
+    check(spark, files, 4, 100)
+    lines = frame(spark, files, 4)
+    assert C._levels(lines, 100) == 7
+    found = {(r.file, r.line_no): r.chunk_id for r in C.chunk_next_fit(lines, 100, str(tmp_path / "sizes")).collect()}
+    assert found == {(name, n + 1): chunk for name, sizes in files.items() for n, chunk in enumerate(sequential(sizes, 100))}

@@ -27,6 +27,9 @@ CHUNK_BYTES = 50 * 1024 * 1024
 
 # Blocks whose offsets lie in one stretch of this many chunk limits form a part.
 PART_CHUNKS = 64
+# Parts that a task takes together, and how often at most.
+FAN = 64
+LEVELS = 2
 
 _TABLE = "file string, part long, block long, upto long, exit_open long, closed long"
 _PART_TABLE = "file string, part long, upto long, exit_open long, closed long"
@@ -188,32 +191,49 @@ def _follow(limit: int):
     return follow
 
 
-def _entries(tables: DataFrame, limit: int) -> DataFrame:
-    """Open chunk and its id at the entry of each block: first between parts, then inside all parts at once."""
-    by_part = (
-        tables.repartition("file", "part")
-        .sortWithinPartitions("file", "part", "block", "upto")
-        .mapInPandas(_compose(limit), _PART_TABLE)
-    )
+def _levels(sizes: DataFrame, limit: int) -> int:
+    """How often parts have to be taken together, FAN at a time, until a file has FAN of them at most."""
+    parts = (sizes.agg(F.max("block_off")).first()[0] or 0) // (PART_CHUNKS * limit) + 1
+    levels = 1
+    while parts > FAN:
+        parts, levels = -(-parts // FAN), levels + 1
+    return levels
+
+
+def _entries(tables: DataFrame, limit: int, levels: int) -> DataFrame:
+    """Open chunk and its id at the entry of each block.
+
+    Up: the tables of the blocks of a part are composed to one, those of FAN parts to one of a larger part, and so on.
+    Down: from the file's beginning, the entry of each of the largest parts is found, then that of the parts in each of
+    them at once, and so on to the blocks. Composition is associative and a table holds no more than the lines of one
+    chunk limit, so no task reads more than a constant number of parts' tables, however long a file is.
+    """
+    sweep = [tables]
+    for _ in range(levels):
+        larger = (
+            sweep[-1]
+            .repartition("file", "part")
+            .sortWithinPartitions("file", "part", "block", "upto")
+            .mapInPandas(_compose(limit), _PART_TABLE)
+        )
+        sweep.append(
+            larger.select("file", F.expr(f"part div {FAN}").alias("part"), F.col("part").alias("block"), "upto", "exit_open", "closed")
+        )
     none = F.lit(0).cast("long")
-    between = (
-        by_part.select(
-            "file", none.alias("part"), F.col("part").alias("block"), "upto", "exit_open", "closed",
-            none.alias("part_open"), none.alias("part_id"),
+    opened = sweep.pop().withColumns({"part": none, "part_open": none, "part_id": none})
+    while True:
+        entries = (
+            opened.select("file", "part", "block", "upto", "exit_open", "closed", "part_open", "part_id")
+            .repartition("file", "part")
+            .sortWithinPartitions("file", "part", "block", "upto")
+            .mapInPandas(_follow(limit), _ENTRY)
         )
-        .repartition("file")
-        .sortWithinPartitions("file", "block", "upto")
-        .mapInPandas(_follow(limit), _ENTRY)
-        .select("file", F.col("block").alias("part"), F.col("entry_open").alias("part_open"), F.col("entry_id").alias("part_id"))
-    )
-    return (
-        tables.join(between, ["file", "part"])
-        .select("file", "part", "block", "upto", "exit_open", "closed", "part_open", "part_id")
-        .repartition("file", "part")
-        .sortWithinPartitions("file", "part", "block", "upto")
-        .mapInPandas(_follow(limit), _ENTRY)
-        .drop("part")
-    )
+        if not sweep:
+            return entries.drop("part")
+        known = entries.select(
+            "file", F.col("block").alias("part"), F.col("entry_open").alias("part_open"), F.col("entry_id").alias("part_id")
+        )
+        opened = sweep.pop().join(known, ["file", "part"])
 
 
 def _walk(limit: int):
@@ -275,7 +295,8 @@ def chunk_spans(lines: DataFrame, limit: int = CHUNK_BYTES, sizes_path: str | No
         .sortWithinPartitions("file", "block", "line_no")
         .mapInPandas(_summarize(limit), _TABLE)
     )
-    entries = _entries(tables, limit)
+    # Sizes that are not written are not read for the number of levels: enough for some hundred TB at the default limit.
+    entries = _entries(tables, limit, _levels(sizes, limit) if sizes_path else LEVELS)
     carried = F.col("block_off") - F.coalesce("entry_open", "block_off")
     return (
         sizes.join(entries, ["file", "block"], "left")
