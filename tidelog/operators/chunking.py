@@ -391,14 +391,16 @@ def json_chunk_metadata(chunked: DataFrame) -> DataFrame:
     )
 
 
-def chunk_by_type(text_lines: DataFrame, json_items: DataFrame, formats: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
+def chunk_by_type(
+    text_lines: DataFrame, json_items: DataFrame, formats: DataFrame, limit: int = CHUNK_BYTES, sizes_path: str | None = None
+) -> DataFrame:
     """Chunked content of all files by format: (file, chunk_id, line_no, line, n_bytes, type).
 
-    `formats` is (file, file_type). Files without a format are treated as text.
+    `formats` is (file, file_type). Files without a format are treated as text. `sizes_path` as for `chunk_spans`.
     """
     typed = text_lines.join(formats, "file", "left")
     lines = typed.filter(F.coalesce("file_type", F.lit("plain_text")) != "json")
-    by_line = chunk_next_fit(lines, limit).select(
+    by_line = chunk_next_fit(lines, limit, sizes_path).select(
         "file", "chunk_id", "line_no", "line", "n_bytes", chunk_type_of(F.coalesce("file_type", F.lit("plain_text"))).alias("type")
     )
     elements = json_items.join(formats.filter("file_type = 'json'"), "file", "left_semi")

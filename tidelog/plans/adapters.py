@@ -13,6 +13,13 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """The rows dealt to all cores where a small table has fewer splits: rules that are dear per row are then not the work of
+    one task. Tables of more splits stay as they are read."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 # --- events as cleaned records ------------------------------------------------------------------
 #
 # Deliberately messy: mixed-case levels, an invalid level, missing services, many repeats. A chunk

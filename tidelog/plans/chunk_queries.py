@@ -134,7 +134,11 @@ def chunk_by_type(spark: SparkSession, directory: str) -> DataFrame:
         doc.cast("string").alias("file"),
         F.when(doc % 3 == 0, "json").when(doc % 3 == 1, "jsonl").otherwise("plain_text").alias("file_type"),
     )
-    chunked = C.chunk_by_type(document_lines(spark, directory), _json_items(spark, directory), formats, LIMIT)
+    # Each format's files are read by its own reader only.
+    json_files = json_documents(spark, directory).join(formats.filter("file_type = 'json'"), "file", "left_semi")
+    items = explode_json_files(json_files, "file", "content", dumped=True).filter("problem is null")
+    lines = document_lines(spark, directory).join(formats.filter("file_type <> 'json'"), "file", "left_semi")
+    chunked = C.chunk_by_type(lines, items, formats, LIMIT, scratch_path(spark, "sizes"))
     return chunked.groupBy("file", "chunk_id", "type").agg(F.count("*").alias("line_count"))
 
 

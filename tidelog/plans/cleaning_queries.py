@@ -11,7 +11,7 @@ from tidelog.operators import clean, validate
 from tidelog.operators.chunking import chunk_budget
 from tidelog.operators.ordering import last_known
 from tidelog.operators.parse import parse_lines
-from tidelog.plans.adapters import ELOG, event_records, table
+from tidelog.plans.adapters import ELOG, as_event_records, event_records, spread, table
 from tidelog.plans.registry import query
 
 _VALID = "upper(level) IN ('ERROR', 'WARN', 'INFO', 'DEBUG', 'TRACE', 'FATAL')"
@@ -239,7 +239,7 @@ def messy_text_lines(spark: SparkSession, directory: str) -> DataFrame:
         .when(shape == 5, F.concat(F.lit("ts="), F.date_format(second, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" level=debug service="), service, F.lit(' msg="'), kind, F.lit(' done" uid='), user))
         .otherwise(F.concat(F.lit("    at com.example."), kind, F.lit("(Main.java:1)")))
     )
-    return table(spark, directory, "events").select(
+    return spread(table(spark, directory, "events")).select(
         F.lit("events").alias("file"),
         F.expr("event_id div 4096").alias("block"),
         number.alias("line_no"),
@@ -423,5 +423,6 @@ def validate_entry_json(spark: SparkSession, directory: str) -> DataFrame:
         .when(shape == 6, F.lit('{"timestamp":"t","level":" INFO ","message":"m"}'))
         .otherwise(F.lit('{"timestamp":false,"level":"INFO","message":"m"}'))
     )
-    docs = event_records(spark, directory).select("event_id", parse_json(text).alias("entry"))
+    records = as_event_records(spread(table(spark, directory, "events")))
+    docs = records.select("event_id", parse_json(text).alias("entry"))
     return docs.select("event_id", entry_problem(F.col("entry")).alias("problem"))
