@@ -7,7 +7,7 @@ occurrences, and retires the words without a mergeable pair. The vocabulary file
 bounded table of chunks already encoded.
 
 Nulls: a null text is an empty text: no ids, empty decoded text. A null id keeps its row. Repeated rows stay. Extra
-columns are ignored. Texts of any length are encoded whole.
+columns are ignored. Texts of any length are encoded whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations

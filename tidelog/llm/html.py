@@ -16,7 +16,7 @@ those of others through a table with a row per range. Page texts are not shuffle
 only the line numbers to delete.
 
 Nulls: null html has no text; a null URL has an empty host and path, and such pages are neighbours of each other. Repeated
-pages stay, each with its own row. Extra columns are ignored. Pages count whole, of any length; broken markup is read as
+pages stay, each with its own row. Extra columns are ignored. An empty table gives an empty result. Pages count whole, of any length; broken markup is read as
 browsers do: unclosed elements end with their parent. Of a page that marks both, `main` is taken if it encloses every `article`
 with text, else `article`. Captions, formulas, and the text in graphics and media elements are text like any other.
 """

@@ -6,7 +6,7 @@ digits become digits; `at` and `dot` disguises become signs. Patterns then run o
 is mapped back to source positions. Found spans that no base span of their kind contains are added; base spans stay.
 
 Positions are code points, ends exclusive. Nulls: a null text is an empty text without spans; a null id keeps its row.
-Repeated rows stay. Extra columns are ignored. Every rule is linear in the text, whatever its length.
+Repeated rows stay. Extra columns are ignored. An empty table gives an empty result. Every rule is linear in the text, whatever its length.
 """
 
 from __future__ import annotations

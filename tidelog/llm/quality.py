@@ -7,8 +7,9 @@ is kept if it is precise enough there; rows it covers are set aside and the next
 chained CASE expression, so the first matching rule names its rejection.
 
 Words are runs of characters other than space and \\t to \\r. Nulls: a null text has no words (and fails the base rules);
-labels with null id or quality are no labels; a document labelled twice counts with its lower quality. Repeated documents
-stay. Extra columns are carried along, except that names of features are replaced. Without labels of both classes no
+labels with null id or quality are no labels; a document labelled twice counts with its lower quality; of several texts of
+a labelled id, the one with the smallest hash is learned from. Repeated documents
+stay. Extra columns are carried along, except that names of features are replaced. An empty table gives an empty result. Without labels of both classes no
 rules are learned and the base rules decide alone. Texts of any length count whole.
 """
 
@@ -25,6 +26,7 @@ from tidelog.llm.common import SPACES, let
 WINDOW = 8
 # The bound of the training sample.
 TRAIN_ROWS = 20_000
+# Cut points of a feature that conditions are tried at, rules of a list, and conditions of a rule.
 QUANTILES = 24
 MAX_RULES = 12
 MAX_CONDITIONS = 3
@@ -154,7 +156,8 @@ def labelled(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     sample = sample.select(F.col("doc_id").alias("label_id"), "low")
     # The sample has at most `rows` rows of 9 bytes.
     met = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
-    found = with_features(met.dropDuplicates(["doc_id"]))
+    one = met.groupBy("doc_id", "low").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = with_features(one)
     return found.where("not base_failed").select("low", F.xxhash64("doc_id").alias("draw"), *[v.alias(k) for k, v in ratios().items()])
 
 

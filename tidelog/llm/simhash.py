@@ -11,7 +11,8 @@ plane. Words in which all pairs exceed the radius are abandoned after every few
 their links, never all pairs.
 
 Nulls: a null text is an empty text, whose fingerprint is zero and is linked like any other; a row with a null id keeps
-its row and counts as having no id. Repeated ids and rows stay. Extra columns are ignored.
+its row and counts as having no id. Repeated ids and rows stay. Extra columns are ignored. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ windows with one anchor is a segment. Then, in this order:
 Segments are compared by 128 bits of hashes of anchor and content, then per document all repeats are united and cut out.
 
 Documents are ordered by doc_id, a null one first; of rows that share a doc_id, the order is that of a hash of their texts,
-and rows with the same id and text are one document (each gets its result). A null text is empty. Extra columns are
+and rows with the same id and text are one document (each gets its result). A null text is empty. An empty table gives an empty result. Extra columns are
 ignored. Texts are UTF-8 bytes, whole, of any length; texts under LENGTH bytes have no repeats.
 """
 

@@ -7,7 +7,8 @@ token are candidates of every URL. Distinct URLs are judged once; a hot URL or a
 an ordinary (skewed) join key, and the index has one row per rule.
 
 Nulls: a null URL, or one without `://`, has empty host and path, so no rule fits and it is allowed. Repeated rows stay.
-Extra columns are ignored. Long URLs are judged whole.
+Extra columns are ignored. Long URLs are judged whole. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
