@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from llm_fixtures import documents  # noqa: F401
 
@@ -99,3 +100,16 @@ def test_states_are_distributions():
 
 def test_empty(documents):
     assert lm.scored(documents([])).count() == 0
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_segments_do_not_change_scores(monkeypatch, order):
+    rng = random.Random(order)
+    texts = [" ".join(rng.choices("abcde", k=rng.randint(0, 60))) for _ in range(20)] + [None, ""]
+    block = lm.Block(texts, np.array([i % 4 > 0 for i in range(len(texts))]), order)
+    tokens, words = int(block.count[0].sum()), int((block.count[0] > 0).sum())
+    whole = lm.Automaton(block, block.count, tokens, words).read()
+    for segment in (1, 2, 7):
+        monkeypatch.setattr(lm, "SEGMENT", segment)
+        for found, expected in zip(lm.Automaton(block, block.count, tokens, words).read(), whole, strict=True):
+            assert np.allclose(found, expected, rtol=0, atol=1e-12)

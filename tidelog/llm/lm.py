@@ -7,8 +7,10 @@ arc for every n-gram seen in training, weighted with log10 of
 
 h' being h without its first word, and one failure arc to the state of h', weighted with log10(MU / (c(h) + MU)). Following
 failure arcs until an arc for the next word is found gives exactly the smoothed probability, and the probabilities of a
-state add up to one. A text is read once from left to right; the state after a word is its longest context, so a whole
-block of texts is traversed side by side, one array step per order.
+state add up to one. A text is read once from left to right with the state carried along: after a word that an arc from a
+context of k words was found for, the state is the context of k + 1 words that ends with it (longer ones were never seen).
+The texts of a block are read side by side, a step of arrays per place; a state depends on the words before it only,
+so long texts are cut into segments that begin in the longest context, whose unseen part fails at no cost.
 
 The model is never gathered in one place. Documents are dealt to blocks of about BLOCK_BYTES. Each block counts its own
 n-grams (by 64-bit hash) and sends the sorted counts, cut into hash ranges, to the ranges' tasks; these add them up and
@@ -28,13 +30,16 @@ import zlib
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ORDER = 2
+ORDER = 3
 MU = 4.0
 ADD = 0.1
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
+# Events of a text that are read in one go.
+SEGMENT = 512
 SCORES = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 BEGIN, END = (np.uint64(xxhash.xxh64_intdigest(mark, 7)) for mark in (b" begin", b" end"))  # no word holds a space
@@ -93,12 +98,12 @@ class Block:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """The bytes of 64-bit numbers, all first bytes first: sorted hashes and small counts shrink when shuffle files are compressed."""
-    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """The bytes of 64-bit numbers, all first bytes first, compressed: sorted hashes and small counts have planes of few values."""
+    return zstandard.compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def numbers(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 def ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -133,20 +138,30 @@ class Automaton:
         return np.where(context == BEGIN, self.counts[0][end], counts) if k == 1 else counts
 
     def read(self) -> tuple[np.ndarray, np.ndarray]:
-        """(base, model) log10 probability of every event, in one pass over the orders from the longest context down."""
-        block = self.block
-        weight = np.zeros(len(block.at[0]))
-        waiting = np.ones(len(weight), bool)
-        for k in range(len(self.counts) - 1, 0, -1):
-            at = block.at[k]
-            here = waiting & block.deep[k]
-            taken = here & (self.counts[k][at] > 0)
-            weight[taken] += self.arc[k][at[taken]]
-            failed = here & ~taken
-            weight[failed] += self.failure[k][at[failed]]
-            waiting &= ~taken
-        base = self.arc[0][block.at[0]]
-        weight[waiting] += base[waiting]
+        """(base, model) log10 probability of every event, from one traversal of the texts."""
+        block, deepest = self.block, len(self.counts) - 1
+        base, weight = self.arc[0][block.at[0]], np.zeros(len(block.at[0]))
+        # Segments of the texts, the longest first.
+        pieces = -(-block.sizes // SEGMENT)
+        number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = np.repeat(block.first, pieces) + number * SEGMENT
+        size = np.minimum(np.repeat(block.first + block.sizes, pieces) - start, SEGMENT)
+        order = np.argsort(-size, kind="stable")
+        start, size = start[order], size[order]
+        # The words of a segment's context: the beginning of a text is a context of one.
+        state = np.where(number[order] == 0, min(1, deepest), deepest)
+        for step in range(int(size.max(initial=0))):
+            live = int(np.searchsorted(-size, -step, side="left"))  # segments longer than `step`
+            at, level, score = start[:live] + step, state[:live].copy(), np.zeros(live)
+            for k in range(deepest, 0, -1):
+                here = np.flatnonzero(level == k)
+                if len(here):
+                    gram = block.at[k][at[here]]
+                    known = self.counts[k][gram] > 0
+                    score[here] += np.where(known, self.arc[k][gram], self.failure[k][gram])
+                    level[here[~known]] = k - 1
+            weight[at] = np.where(level == 0, score + base[at], score)
+            state[:live] = np.minimum(level + 1, deepest)
         return base, weight
 
 
@@ -174,7 +189,8 @@ def scored(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BY
     def add_up(frame: pd.DataFrame) -> pd.DataFrame:
         rows, tokens, words, part = [], 0, 0, int(frame["part"].iloc[0])
         for k, own in frame.groupby("order"):
-            hashes = np.concatenate([numbers(b) for b in own["hashes"]])
+            hashes = [numbers(b) for b in own["hashes"]]
+            sizes, hashes = list(map(len, hashes)), np.concatenate(hashes)
             counts = np.concatenate([numbers(b) for b in own["counts"]]).astype(np.int64)
             unique, at = np.unique(hashes, return_inverse=True)
             totals = np.bincount(at, weights=counts, minlength=len(unique)).astype(np.int64)
@@ -182,8 +198,8 @@ def scored(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BY
                 tokens, words = int(totals.sum()), int((totals > 0).sum())
             totals = totals[at]
             start = 0
-            for block, sent in zip(own["block"], own["hashes"], strict=True):
-                here = slice(start, start := start + len(sent) // 8)
+            for block, sent in zip(own["block"], sizes, strict=True):
+                here = slice(start, start := start + sent)
                 more = totals[here] != counts[here]
                 if more.any():
                     rows.append((part, block, k, np.packbits(more).tobytes(), planes(totals[here][more])))
