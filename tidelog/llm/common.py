@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.sources.scratch import scratch_path
+
 # The white space of every word rule in this package: space, tab, line feed, vertical tab, form feed, return.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -18,9 +19,8 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder the session shares: `spark.checkpoint.dir`, else the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/corpus/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the folder the session shares: `spark.checkpoint.dir`, else the warehouse. It goes when the session's process ends."""
+    return scratch_path(spark, f"corpus/{label}")
 
 
 def saved(frame: DataFrame, label: str, group_bytes: int | None = None) -> DataFrame:
