@@ -2,8 +2,8 @@
 
 Parquet has no UNIQUE constraint, so uniqueness comes from `merge_batch`: first record of each hash
 within the batch, minus the hashes stored by earlier batches. A batch overwrites its own partition
-and ignores what later batches of its run stored, so repeating it leaves the table unchanged. One
-writer at a time.
+and ignores what later batches of its run stored, so repeating it leaves the table unchanged but for
+`created_at`. One writer at a time; readers miss a partition while it is overwritten.
 """
 
 from __future__ import annotations
