@@ -96,8 +96,8 @@ DOT_WORDS = "|".join(dot for _, dot in AT_AND_DOT)
 
 
 @cache
-def signs() -> tuple[dict[str, str], re.Pattern[str]]:
-    """What each disguised character stands for, and a pattern that finds any of them."""
+def signs() -> dict[str, str]:
+    """What each disguised character stands for."""
     table = dict(LOOKALIKES) | dict.fromkeys(INVISIBLE, "")
     table |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}  # full-width forms
     for code in range(0x80, 0x20000):
@@ -107,7 +107,7 @@ def signs() -> tuple[dict[str, str], re.Pattern[str]]:
         plain = str(unicodedata.decimal(sign)) if kind == "Nd" else unicodedata.normalize("NFKC", sign)
         if len(plain) == 1 and plain.isascii():
             table[sign] = plain  # digits of all scripts, and letters that are forms of Latin ones
-    return table, re.compile("[" + "".join(map(re.escape, sorted(table))) + "]")
+    return table
 
 
 class Traced:
@@ -133,10 +133,17 @@ class Traced:
         return int(self.starts[span[0]]), int(self.ends[span[1] - 1])
 
 
+def strange_signs(text: str) -> set[str]:
+    """The disguised characters of a text."""
+    return set() if text.isascii() else signs().keys() & set(text)
+
+
 def plain_signs(traced: Traced) -> Traced:
-    table, pattern = signs()
-    edits = [(m.start(), m.end(), table[m.group()]) for m in pattern.finditer(traced.text)]
-    return traced.rewritten(edits) if edits else traced
+    met = strange_signs(traced.text)
+    if not met:
+        return traced
+    table, pattern = signs(), re.compile("[" + "".join(map(re.escape, sorted(met))) + "]")
+    return traced.rewritten([(m.start(), m.end(), table[m.group()]) for m in pattern.finditer(traced.text)])
 
 
 DIGIT_WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
@@ -171,11 +178,14 @@ class Spoken:
 
     def __init__(self, at: str, dot: str):
         self.plain = "at" in at.split("|")  # a word of prose too: it needs a spoken dot behind it
+        self.at = re.compile(rf"\s(?:{at})\s", re.IGNORECASE)
         self.worded = re.compile(rf"(?<=[A-Za-z0-9])(\s+(?:{at})\s+|\s*@\s*)([A-Za-z0-9-]+(?:(?:\s+(?:{dot})\s+|\.)[A-Za-z0-9-]+)+)", re.IGNORECASE)
         self.dots = re.compile(rf"\s+(?:{dot})\s+", re.IGNORECASE)
         self.name_dots = re.compile(rf"(?<=[A-Za-z0-9])\s+(?:{dot})\s+(?=[A-Za-z0-9._%+-]+(?:@|\s+(?:{dot})\s))", re.IGNORECASE)
 
     def rewritten(self, traced: Traced) -> Traced:
+        if "@" not in traced.text and not self.at.search(traced.text):
+            return traced
         edits, own = [], self.plain
         for match in self.worded.finditer(traced.text):
             spoken = list(self.dots.finditer(match.group(2)))
@@ -207,17 +217,29 @@ def at_and_dot(traced: Traced) -> Traced:
     return traced
 
 
-# Whatever the transducers of spelled digits and signs match, this does.
-HINT = re.compile(
-    rf"[\[({{<]\s*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s*[\])}}>]|\b(?:dot|punkt|arroba|arobase|arobas)\b|\b{DIGIT_WORD}(?:[\s,-]+(?:{DIGIT_WORD}|{DOT_WORDS}|[0-9]+)){{3}}|\s@|@\s",
-    re.IGNORECASE,
-)
+BRACKET_HINT = re.compile(rf"[\[({{<]\s*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s*[\])}}>]")
+WORD_HINTS = ("dot", "punkt", "arroba", "arobas")
+AT_HINT = re.compile(r"\s@|@\s")
+WORDS = re.compile(r"[^\W_]+")
+# A spelled digit, and three words that are digits, spelled or not, or signs.
+RUN_HINT = re.compile("d[dn]{3}")
+
+
+def hinted(text: str) -> bool:
+    """True wherever the transducers of spelled digits and signs match anything."""
+    lower = text.casefold()
+    if any(word in lower for word in WORD_HINTS) or ("@" in text and AT_HINT.search(text)) or BRACKET_HINT.search(lower):
+        return True
+    words = WORDS.findall(lower)
+    if SPELLED.keys().isdisjoint(words):
+        return False
+    marks = "".join(["d" if w in SPELLED else "n" if w.isdigit() or w in SPELLED_SIGN else " " for w in words])
+    return bool(RUN_HINT.search(marks))
 
 
 def disguised(text: str) -> dict[str, list[Span]]:
     """Source spans per kind of what the patterns find only in the rewritten text."""
-    strange = not text.isascii() and signs()[1].search(text)
-    if not strange and not HINT.search(text):
+    if not strange_signs(text) and not hinted(text):
         return {}
     traced = at_and_dot(spelled_digits(plain_signs(Traced(text))))
     if traced.text == text:
