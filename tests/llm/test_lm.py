@@ -113,3 +113,14 @@ def test_segments_do_not_change_scores(monkeypatch, order):
         monkeypatch.setattr(lm, "SEGMENT", segment)
         for found, expected in zip(lm.Automaton(block, block.count, tokens, words).read(), whole, strict=True):
             assert np.allclose(found, expected, rtol=0, atol=1e-12)
+
+
+def test_the_order_of_rows_does_not_matter():
+    """Blocks are built twice, from rows in any order: they list the same n-grams."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdef", k=rng.randint(0, 9))) for _ in range(60)]
+    first, second = (lm.Block(own, np.ones(len(own), bool), 4) for own in (texts, texts[::-1]))
+    for a, b in zip(first.unique, second.unique, strict=True):
+        assert a.tolist() == b.tolist()
+    for a, b in zip(first.count, second.count, strict=True):
+        assert a.tolist() == b.tolist()

@@ -81,8 +81,9 @@ class Block:
         grams = token
         for k in range(1, order + 1):
             if k > 1:
-                grams = self._joined(context, token, k)
                 self.deep.append(behind >= k - 2)  # BEGIN stands before the first event
+                # Events too near the beginning end no k-gram: the text before this one, whichever it is, is not looked at.
+                grams = np.where(self.deep[-1], self._joined(context, token, k), np.uint64(0))
                 self.context.append(context)
                 context = np.concatenate(([BEGIN], grams[:-1])) if total else grams
             unique, at = np.unique(grams, return_inverse=True)
