@@ -150,3 +150,17 @@ def test_parts_of_parts(spark, monkeypatch, tmp_path, levels):
     assert C._levels(lines, 100) == 7
     found = {(r.file, r.line_no): r.chunk_id for r in C.chunk_next_fit(lines, 100, str(tmp_path / "sizes")).collect()}
     assert found == {(name, n + 1): chunk for name, sizes in files.items() for n, chunk in enumerate(sequential(sizes, 100))}
+
+
+def test_blocks_are_dealt_anew_behind_joins(spark, tmp_path):
+    """A sorted join found small at run time reads rows where they lie, so each function over partitions has its own exchange."""
+    frame(spark, {"f": [10] * 40}, 3).write.parquet(f"{tmp_path}/lines")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spans = C.chunk_spans(spark.read.parquet(f"{tmp_path}/lines"), 100)
+        plan = spans._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan
+    assert plan.count("REPARTITION_BY_COL") == plan.count("MapInPandas")

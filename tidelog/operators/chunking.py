@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.ordering import running_sum
+from tidelog.operators.ordering import running_sum, together
 
 # Fixed value: default chunk limit.
 CHUNK_BYTES = 50 * 1024 * 1024
@@ -211,8 +211,7 @@ def _entries(tables: DataFrame, limit: int, levels: int) -> DataFrame:
     sweep = [tables]
     for _ in range(levels):
         larger = (
-            sweep[-1]
-            .repartition("file", "part")
+            together(sweep[-1], "file", "part")
             .sortWithinPartitions("file", "part", "block", "upto")
             .mapInPandas(_compose(limit), _PART_TABLE)
         )
@@ -222,9 +221,9 @@ def _entries(tables: DataFrame, limit: int, levels: int) -> DataFrame:
     none = F.lit(0).cast("long")
     opened = sweep.pop().withColumns({"part": none, "part_open": none, "part_id": none})
     while True:
+        rows = opened.select("file", "part", "block", "upto", "exit_open", "closed", "part_open", "part_id")
         entries = (
-            opened.select("file", "part", "block", "upto", "exit_open", "closed", "part_open", "part_id")
-            .repartition("file", "part")
+            together(rows, "file", "part")
             .sortWithinPartitions("file", "part", "block", "upto")
             .mapInPandas(_follow(limit), _ENTRY)
         )
@@ -290,20 +289,18 @@ def chunk_spans(lines: DataFrame, limit: int = CHUNK_BYTES, sizes_path: str | No
         sizes.write.mode("overwrite").parquet(sizes_path)
         sizes = lines.sparkSession.read.schema(sizes.schema).parquet(sizes_path)
     tables = (
-        sizes.filter("blocks > 1")
-        .repartition("file", "block")
+        together(sizes.filter("blocks > 1"), "file", "block")
         .sortWithinPartitions("file", "block", "line_no")
         .mapInPandas(_summarize(limit), _TABLE)
     )
     # Sizes that are not written are not read for the number of levels: enough for some hundred TB at the default limit.
     entries = _entries(tables, limit, _levels(sizes, limit) if sizes_path else LEVELS)
     carried = F.col("block_off") - F.coalesce("entry_open", "block_off")
+    entered = sizes.join(entries, ["file", "block"], "left").select(
+        "file", "block", "line_no", "n_bytes", carried.alias("carried"), F.coalesce("entry_id", F.lit(0)).alias("entry_id")
+    )
     return (
-        sizes.join(entries, ["file", "block"], "left")
-        .select(
-            "file", "block", "line_no", "n_bytes", carried.alias("carried"), F.coalesce("entry_id", F.lit(0)).alias("entry_id")
-        )
-        .repartition("file", "block")
+        together(entered, "file", "block")
         .sortWithinPartitions("file", "block", "line_no")
         .mapInPandas(_walk(limit), _SPANS)
     )

@@ -15,6 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def together(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt so that one task has all rows of a key, for functions over whole partitions.
+
+    Nothing tells Spark that such a function needs its keys together. A plain `repartition` by the keys is dropped behind a join
+    on the same keys, and that join may turn into a broadcast join, or have a large partition cut up, while the query runs:
+    a key's rows are then dealt to several tasks. No join deals rows by this hash, so the exchange stays.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def _before(group: Sequence[str], block: str):
     return Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
 
