@@ -73,3 +73,18 @@ def test_stored_table_is_read_by_column(spark, tmp_path):
     assert "EqualTo(level,ERROR)" in plan and "EqualTo(service,api)" in plan
     plan, _ = schemas(dedup.dedup_vs_store(records.filter("batch_id = 1"), records.filter("batch_id = 0")))
     assert "ReadSchema: struct<log_hash:string>" in plan and "PartitionFilters: [isnotnull(batch_id" in plan
+
+
+def test_python_gets_few_bytes_at_a_time(spark):
+    """Long documents: the batches that reach Python are bounded by bytes, not by the number of rows alone."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from tidelog.session import prepare
+
+    @F.pandas_udf("long")
+    def held(texts: pd.Series) -> pd.Series:
+        return pd.Series([texts.str.len().sum()] * len(texts))
+
+    frame = prepare(spark).range(0, 400, 1, 1).select(F.repeat(F.lit("x"), F.lit(100_000) + F.col("id").cast("int")).alias("text"))
+    assert frame.select(held("text").alias("n")).agg(F.max("n")).first()[0] < 12 << 20

@@ -7,11 +7,13 @@ import os
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings: UTC wall clocks; JSON objects with a repeated key keep the last value; generated
-# methods that the JVM would refuse to compile (over 8000 bytes) are split instead of interpreted.
+# methods that the JVM would refuse to compile (over 8000 bytes) are split instead of interpreted; Python gets a
+# few MB of rows at a time, however long the rows are.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
