@@ -149,3 +149,33 @@ def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
 def test_byte_order_mark_and_empty_file(spark, tmp_path):
     folder = write_files(tmp_path, {"mark.json": b"\xef\xbb\xbf[1, 2]", "mark_comma.json": b"\xef\xbb\xbf[1, 2],", "zero.json": b""})
     assert read(J.scan_json_splits(spark, folder)) == {"mark.json": [1, 2], "mark_comma.json": None}
+
+
+@pytest.mark.parametrize("chunk_bytes", [1, 30, 4 << 20])
+def test_parts_of_a_folder_are_one_text(spark, tmp_path, chunk_bytes):
+    """Texts cut between characters, also behind commas and inside strings, but not inside escapes, equal the whole ones."""
+    rng = random.Random(chunk_bytes)
+    expected = {}
+    for n in range(16):
+        text = json.dumps([value(rng) for _ in range(rng.randint(0, 12))], ensure_ascii=n % 2 == 0)
+        text = text[:-1] if n % 5 == 4 else text + "," if n % 5 == 3 else text
+        cuts = sorted({0, len(text), *(rng.randrange(len(text)) for _ in range(4)), *([text.index(",") + 1] if "," in text else [])})
+        cuts = [cut for cut in cuts if text[cut - 1 : cut] != "\\"]
+        (tmp_path / str(n)).mkdir()
+        write_files(tmp_path / str(n), {f"part-{i:05}.json": text[a:b] for i, (a, b) in enumerate(zip(cuts, cuts[1:]))})
+        expected[str(n)] = strict(text)
+    found = read(J.scan_json_splits(spark, str(tmp_path), chunk_bytes=chunk_bytes, folders=True))
+    assert sum(e is None for e in expected.values()) > 2
+    assert {n: found.get(n, []) for n in expected} == expected
+
+
+def test_large_arrays_are_written_by_several_tasks(spark, tmp_path):
+    from tidelog.plans.files_queries import write_json_arrays
+
+    documents = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a,b "), F.lit(100)).alias("text"))
+    write_json_arrays(documents, f"{tmp_path}/arrays", 2, part_bytes=2000)
+    for bucket in ("0", "1"):
+        assert len(list((tmp_path / "arrays" / f"bucket={bucket}").glob("*.txt"))) > 3
+    found = read(J.scan_json_splits(spark, f"{tmp_path}/arrays", "*.txt", chunk_bytes=100, folders=True))
+    assert [item["doc_id"] for item in found["bucket=0"]] == list(range(0, 40, 2))
+    assert found["bucket=1"] is None

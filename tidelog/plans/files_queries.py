@@ -296,16 +296,25 @@ _ARRAY_SQL = f"""SELECT doc_id % {_ARRAY_FILES} AS bucket, CAST(row_number() OVE
 UNION ALL SELECT {_ARRAY_FILES - 1}, NULL, NULL, NULL, NULL, 'Invalid JSON file'"""
 
 
-def write_json_arrays(documents: DataFrame, path: str, files: int) -> None:
-    """All documents as a few large array files; the last file lacks its closing bracket."""
+# A task writes about this much text of an array; larger arrays lie in several part files of a folder.
+_PART_BYTES = 64 << 20
+
+
+def write_json_arrays(documents: DataFrame, path: str, files: int, part_bytes: int = _PART_BYTES) -> None:
+    """All documents as a few large arrays, each in the part files of a folder; the last array lacks its closing bracket."""
     bucket = (F.col("doc_id") % files).alias("bucket")
     element = F.to_json(F.struct("doc_id", "text", F.split("text", ",").alias("parts")))
     rows = documents.select("doc_id", bucket, element.alias("element"))
-    ends = documents.groupBy(bucket).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    ends = documents.groupBy(bucket).agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum(F.coalesce(2 * F.octet_length("text"), F.lit(0)).cast("long")).alias("bytes")
+    ).collect()
+    tasks = sum(max(1, -(-end["bytes"] // part_bytes)) for end in ends)
+    marks = documents.sparkSession.createDataFrame([(e["bucket"], e["first"], e["last"]) for e in ends], "bucket long, first long, last long")
     opening = F.when(F.col("doc_id") == F.col("first"), "[").otherwise("")
     closing = F.when(F.col("doc_id") < F.col("last"), ",").when(F.col("bucket") < files - 1, "]").otherwise("")
-    marked = rows.join(ends, "bucket").select("bucket", "doc_id", F.concat(opening, "element", closing).alias("value"))
-    marked.repartition(files, "bucket").sortWithinPartitions("bucket", "doc_id").drop("doc_id").write.partitionBy("bucket").text(path)
+    marked = rows.join(F.broadcast(marks), "bucket").select("bucket", "doc_id", F.concat(opening, "element", closing).alias("value"))
+    # Ranges follow each other as the names of the part files do.
+    marked.repartitionByRange(tasks, "bucket", "doc_id").sortWithinPartitions("bucket", "doc_id").drop("doc_id").write.partitionBy("bucket").text(path)
 
 
 @query("scan_json_splits", _ARRAY_SQL)
@@ -313,7 +322,7 @@ def scan_json_splits(spark: SparkSession, directory: str) -> DataFrame:
     """All documents in a few array files, read back in chunks of a few KB."""
     path = scratch_path(spark, "json-arrays")
     write_json_arrays(table(spark, directory, "documents"), path, _ARRAY_FILES)
-    rows = json_splits.scan_json_splits(spark, path, "*.txt", chunk_bytes=16 << 10)
+    rows = json_splits.scan_json_splits(spark, path, "*.txt", chunk_bytes=16 << 10, folders=True)
     doc = F.variant_get("doc", "$", "struct<doc_id:bigint,text:string,parts:array<string>>")
     bucket = F.regexp_extract("file", "bucket=([0-9]+)", 1).cast("long").alias("bucket")
     shown = rows.select(bucket, "pos", doc.alias("d"), "problem")

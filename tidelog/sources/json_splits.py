@@ -6,6 +6,9 @@ holds, and, for an entry outside and an entry inside a string, the change of dep
 Running sums over these small rows compose the functions and give every chunk its true entry state. Then all chunks are cut into
 elements at once; elements cut by a border are put together from their parts.
 
+A text may also lie in the part files of a folder, as Spark writes one: with `folders` a folder is one file, its parts in the
+order of their names. Elements cut by the border of a part are put together; a border may lie anywhere but behind a backslash.
+
 A file is rejected as a whole if it is not one JSON value: unbalanced, anything before or after the value, an element
 that does not parse. A value that is no array is a single element, as are all values that files of other kinds hold.
 """
@@ -26,6 +29,7 @@ from tidelog.sources.scratch import saved
 CHUNK_BYTES = 4 << 20
 BLANKS = b" \t\n\r"
 SUMMARY = "quotes long, blank boolean, array boolean, delta0 long, delta1 long, levels0 map<long,long>, levels1 map<long,long>"
+KEY = [("file", pa.string()), ("part", pa.string()), ("block", pa.int64()), ("number", pa.int64())]
 PART = "pos long, text binary, whole boolean"
 
 
@@ -58,7 +62,7 @@ class Structure:
 
 
 def gathered(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[tuple, int, bytes]]:
-    """((file, block, file_size), number, bytes) of the chunks of the splits of a task; the comma that ended a row belongs to it."""
+    """((file, part, block, part_size), number, bytes) of the chunks of the splits of a task; the comma that ended a row belongs to it."""
     last, key, number, parts, size = None, (), 0, [], 0
     for batch in batches:
         splits = batch.column("split").to_numpy()
@@ -70,7 +74,7 @@ def gathered(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tu
             if splits[start] != last:
                 if parts:
                     yield key, number, b"".join(parts)
-                last, key = splits[start], tuple(batch.column(name)[start].as_py() for name in ("file", "block", "file_size"))
+                last, key = splits[start], tuple(batch.column(name)[start].as_py() for name in ("file", "part", "block", "part_size"))
                 number, parts, size = 0, [], 0
             values = batch.column("value").slice(start, end - start)
             # Rows are joined up to about a chunk at a time.
@@ -133,44 +137,46 @@ def cut(data: bytes, inside: int, depth: int, pos: int, opened: bool) -> Iterato
         yield -1, b"", True
 
 
-def json_chunks(spark: SparkSession, path: str | list[str], glob: str, chunk_bytes: int) -> DataFrame:
-    """(file, block, number, content and the summary) of all chunks, written to the scratch folder."""
+def json_chunks(spark: SparkSession, path: str | list[str], glob: str, chunk_bytes: int, folders: bool = False) -> DataFrame:
+    """(file, part, block, number, content and the summary) of all chunks, written to the scratch folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (file, block, file_size), number, data in gathered(batches, chunk_bytes):
-            row = {"file": file, "block": block, "file_size": file_size, "number": number, "content": data, **summary(data)}
+        for (file, part, block, part_size), number, data in gathered(batches, chunk_bytes):
+            row = {"file": file, "part": part, "block": block, "part_size": part_size, "number": number, "content": data, **summary(data)}
             yield pa.RecordBatch.from_pylist([row], schema=kinds)
 
     kinds = pa.schema(
-        [("file", pa.string()), ("block", pa.int64()), ("file_size", pa.int64()), ("number", pa.int64()), ("content", pa.binary()), ("quotes", pa.int64()), ("blank", pa.bool_()), ("array", pa.bool_())]
+        [("file", pa.string()), ("part", pa.string()), ("block", pa.int64()), ("part_size", pa.int64()), ("number", pa.int64()), ("content", pa.binary()), ("quotes", pa.int64()), ("blank", pa.bool_()), ("array", pa.bool_())]
         + [(f"delta{i}", pa.int64()) for i in (0, 1)]
         + [(f"levels{i}", pa.map_(pa.int64(), pa.int64())) for i in (0, 1)]
     )
+    name = F.col("_metadata.file_path")
     rows = (
         spark.read.option("lineSep", ",")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .text(path)
         .select(
-            F.col("_metadata.file_path").alias("file"),
+            (F.regexp_replace(name, "/[^/]*$", "") if folders else name).alias("file"),
+            (F.substring_index(name, "/", -1) if folders else F.lit("")).alias("part"),
             F.col("_metadata.file_block_start").alias("block"),
-            F.col("_metadata.file_size").alias("file_size"),
+            F.col("_metadata.file_size").alias("part_size"),
             F.col("value").cast("binary").alias("value"),
         )
-        .withColumn("split", F.xxhash64("file", "block"))
+        .withColumn("split", F.xxhash64("file", "part", "block"))
     )
-    return saved(rows.mapInArrow(run, f"file string, block long, file_size long, number long, content binary, {SUMMARY}"), "json-chunks")
+    return saved(rows.mapInArrow(run, f"file string, part string, block long, part_size long, number long, content binary, {SUMMARY}"), "json-chunks")
 
 
 def entry_states(chunks: DataFrame) -> DataFrame:
-    """Entry state of each chunk: inside a string or not, depth, element number, whether the value has begun; whether it is the
-    file's last; and of the file whether it is an array, balanced, and ends with a comma.
+    """Entry state of each chunk: inside a string or not, depth, element number, whether the value has begun; whether the comma
+    at its end is not in the file; and of the file whether it is an array, balanced, and ends with a comma.
 
-    The comma behind the last row is not in the file unless the file ends with one: then the rows with their commas are as
-    long as the file, else longer by one (a dropped UTF-8 mark shifts both by three).
+    The comma behind the last row of a part is not in it unless the part ends with one: then the rows with their commas are as
+    long as the part, else longer by one (a dropped UTF-8 mark shifts both by three).
     """
-    file = Window.partitionBy("file")
-    order = file.orderBy("block", "number")
+    file, part = Window.partitionBy("file"), Window.partitionBy("file", "part")
+    order = file.orderBy("part", "block", "number")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
 
     def running(value: Column | str) -> Column:
@@ -180,10 +186,15 @@ def entry_states(chunks: DataFrame) -> DataFrame:
     at = F.col("inside") == 0
     small = small.withColumn("delta", F.when(at, F.col("delta0")).otherwise(F.col("delta1")))
     small = small.withColumn("levels", F.when(at, F.col("levels0")).otherwise(F.col("levels1"))).withColumn("depth", running("delta"))
-    small = small.withColumn("separators", F.coalesce(F.try_element_at("levels", 1 - F.col("depth")), F.lit(0)))
+    ends = F.lead("file").over(part.orderBy("block", "number")).isNull()
+    small = small.withColumn("added", ends & (F.pmod(F.sum("bytes").over(part) - F.col("part_size"), F.lit(3)) != 0))
+    # A comma that is not in the file separates nothing.
+    counted = F.col("added") & (F.col("depth") + F.col("delta") == 1) & (F.pmod(F.col("inside") + F.col("quotes"), F.lit(2)) == 0)
+    small = small.withColumn("separators", F.coalesce(F.try_element_at("levels", 1 - F.col("depth")), F.lit(0)) - counted.cast("long"))
     begun = F.when(~F.col("blank"), F.col("array"))
     return small.select(
         "file",
+        "part",
         "block",
         "number",
         "inside",
@@ -191,8 +202,8 @@ def entry_states(chunks: DataFrame) -> DataFrame:
         running("separators").alias("pos"),
         (running((~F.col("blank")).cast("long")) > 0).alias("opened"),
         F.coalesce(F.first(begun, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(False)).alias("is_array"),
-        F.lead("file").over(order).isNull().alias("last"),
-        (F.pmod(F.sum("bytes").over(file) - F.col("file_size"), F.lit(3)) == 0).alias("comma_behind"),
+        "added",
+        (F.lead("file").over(order).isNull() & ~F.col("added")).alias("comma_behind"),
         ((F.pmod(F.sum("quotes").over(file), F.lit(2)) == 0) & (F.sum("delta").over(file) == 0)).alias("balanced"),
     )
 
@@ -203,7 +214,7 @@ def json_elements(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data = row["content"][:-1] if row["last"] else row["content"]
+                data = row["content"][:-1] if row["added"] else row["content"]
                 if row["is_array"]:
                     found = list(cut(data, row["inside"], row["depth"], row["pos"], row["opened"]))
                 else:
@@ -211,22 +222,25 @@ def json_elements(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
                 if found:
                     pos, text, whole = zip(*found, strict=True)
                     arrays = [pa.array(pos, pa.int64()), pa.array(text, pa.binary()), pa.array(whole, pa.bool_())]
-                    same = [pa.array([row[name]] * len(found), kind) for name, kind in (("file", pa.string()), ("block", pa.int64()), ("number", pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(same + arrays, names=["file", "block", "number", "pos", "text", "whole"])
+                    same = [pa.array([row[name]] * len(found), kind) for name, kind in KEY]
+                    yield pa.RecordBatch.from_arrays(same + arrays, names=[name for name, _ in KEY] + ["pos", "text", "whole"])
 
     states = entry_states(chunks)
-    held = chunks.select("file", "block", "number", "content").join(states, ["file", "block", "number"])
-    parts = saved(held.mapInArrow(run, f"file string, block long, number long, {PART}"), "json-parts")
+    held = chunks.select("file", "part", "block", "number", "content").join(states, ["file", "part", "block", "number"])
+    parts = saved(held.mapInArrow(run, f"file string, part string, block long, number long, {PART}"), "json-parts")
     whole = parts.where("whole and pos >= 0").select("file", "pos", F.col("text").cast("string"))
-    pieces = F.array_sort(F.collect_list(F.struct("block", "number", F.col("text").cast("string").alias("text"))))
+    pieces = F.array_sort(F.collect_list(F.struct("part", "block", "number", F.col("text").cast("string").alias("text"))))
     joined = parts.where("not whole").groupBy("file", "pos").agg(F.array_join(F.transform(pieces, lambda piece: piece["text"]), "").alias("text"))
     bad = states.where("not balanced or comma_behind").select("file").union(parts.where("pos < 0").select("file"))
     return whole.union(joined), bad
 
 
-def scan_json_splits(spark: SparkSession, path: str | list[str], glob: str = "*.json", dumped: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The rows of `scan_json_files`, whatever the size of a file: no task holds more than a split or an element."""
-    elements, bad = json_elements(json_chunks(spark, path, glob, chunk_bytes))
+def scan_json_splits(spark: SparkSession, path: str | list[str], glob: str = "*.json", dumped: bool = False, chunk_bytes: int = CHUNK_BYTES, folders: bool = False) -> DataFrame:
+    """The rows of `scan_json_files`, whatever the size of a file: no task holds more than a split or an element.
+
+    With `folders` the files of a folder are the parts of one, in the order of their names.
+    """
+    elements, bad = json_elements(json_chunks(spark, path, glob, chunk_bytes, folders))
     parsed = elements.withColumn("doc", parse_json(F.col("text")))
     bad = saved(bad.union(parsed.where("doc is null").select("file")).distinct(), "json-rejected")
     good = parsed.join(bad, "file", "left_anti").select("file", "pos", "doc", F.variant_get("doc", "$", "string").alias("raw"), F.lit(None).cast("string").alias("problem"))
