@@ -133,3 +133,12 @@ def test_transducers():
 def test_packed_numbers():
     for values in ([], [0], [255, 256, 0], [2**40 + 3, 7], list(range(70_000))):
         assert phrases.numbers(phrases.planes(np.array(values, np.int64))).tolist() == values
+
+
+def test_no_range_holds_a_rare_language(spark):
+    # 100 shards of few words and three, whose words sort behind, of nearly all pairs.
+    rng = np.random.default_rng(5)
+    ids = {f"often-{i}": rng.integers(1, 30, 200) for i in range(100)} | {f"seldom-{i}": rng.integers(1000, 9000, 20_000) for i in range(3)}
+    coded = spark.createDataFrame([(shard, bytearray(phrases.planes(own))) for shard, own in ids.items()], "shard string, ids binary")
+    pairs = phrases.frequent_pairs(coded, sum(map(len, ids.values())), 100, 4000).where("ids is null")
+    assert pairs.groupBy("range").agg({"pairs": "sum"}).toDF("range", "n").selectExpr("max(n)").first()[0] < 8000

@@ -16,8 +16,8 @@ Texts (A-Z lower-cased) are cut at sentence signs into pieces and these at blank
 4. The states left, of all ranges, are the transducer of the frequent phrases, each named by its path. The parts of every cut of a
    candidate are composed with it: the state that a part leads to has the part's name, so the lookup is a join.
 
-Borders are quantiles of a bounded sample of n-grams (SAMPLE_SHARDS shards, SAMPLE of each at most); any borders give the same
-result. Nothing is sent to all tasks but the borders.
+Borders are quantiles of a bounded sample of n-grams (RANGE_SAMPLE a range, SAMPLE in all), drawn from every shard by its length; any
+borders give the same result. Nothing is sent to all tasks but the borders.
 
 Nulls: a null text is empty, a null lang is `und`; ids are not read. Repeated rows count each. Extra columns are ignored. Texts
 count whole; longer ones than SHARD_BYTES become several shards, cut between pieces. No candidate, or no rows: an empty result.
@@ -26,8 +26,9 @@ Products are taken in 38-digit decimals. Equal scores are in order of count, the
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,9 +50,9 @@ PART_BITS = 20
 # Documents, and shards, that are handed to a task's Python at a time.
 TEXT_ROWS = 1000
 SHARD_ROWS = 4
-# Shards, and n-grams of each, that the borders are taken from.
-SAMPLE_SHARDS = 2000
-SAMPLE = 512
+# N-grams that the borders are taken from, for each range and in all.
+RANGE_SAMPLE = 256
+SAMPLE = 1_000_000
 
 END = b"\xff"  # no byte of any text: the end of a piece
 BYTES = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
@@ -322,21 +323,37 @@ def coded_shards(pieces: DataFrame, numbered: DataFrame) -> DataFrame:
     return met.mapInPandas(code, "shard string, ids binary")
 
 
-def borders_of(shards: DataFrame, listed: Callable[[pd.DataFrame], Iterator[np.ndarray]], size: int, range_grams: int) -> list[tuple[int, ...]]:
-    """N-grams that cut the sorted n-grams of all shards, as `listed` gives them, into ranges of at most about `range_grams`."""
+def sampled_grams(ids: np.ndarray, count: int, fewest: int, longest: int, seed: int) -> np.ndarray:
+    """The n-grams, as if all pairs were frequent, at `count` places drawn by chance; those of less than `fewest` words are left out."""
+    padded = np.concatenate((ids, np.zeros(longest, np.int64)))
+    places = np.random.default_rng(seed).integers(0, max(1, len(ids)), count)
+    grams = np.stack([padded[places + j] for j in range(longest)], axis=1)
+    grams *= np.logical_and.accumulate(grams > 0, axis=1)
+    return grams[grams[:, fewest - 1] > 0]
+
+
+def borders_of(shards: DataFrame, fewest: int, longest: int, size: int, range_grams: int) -> list[tuple[int, ...]]:
+    """N-grams that cut the sorted n-grams of all shards into ranges of at most about `range_grams`.
+
+    Every shard is drawn from, by its length, so that no language or part of the table is left to one range. A range's n-grams
+    are no more than its places, also where infrequent pairs cut them short.
+    """
     ranges = max(1, -(-size // range_grams))
     if ranges == 1:
         return []
-    few = shards.select("shard").orderBy(F.xxhash64("shard"), "shard").limit(min(SAMPLE_SHARDS, max(8, ranges // 16)))
-    names = [row.shard for row in few.collect()]  # SAMPLE_SHARDS at most
+    share = min(1.0, min(SAMPLE, ranges * RANGE_SAMPLE) / size)
 
     def sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for grams in filter(len, listed(frame)):
-                yield pd.DataFrame({"gram": list(grams[np.linspace(0, len(grams) - 1, min(SAMPLE, len(grams))).astype(np.int64)])})
+            for shard, ids in zip(frame["shard"], frame["ids"], strict=True):
+                ids, seed = numbers(ids), zlib.crc32(shard.encode())
+                grams = sampled_grams(ids, int(len(ids) * share + seed / (1 << 32)), fewest, longest, seed)
+                yield pd.DataFrame({"grams": [grams.tobytes()]})
 
-    drawn = sorted(tuple(row.gram) for row in shards.where(F.col("shard").isin(names)).mapInPandas(sample, "gram array<long>").collect())
-    return sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
+    rows = shards.select("shard", "ids").mapInPandas(sample, "grams binary").collect()  # SAMPLE n-grams at most, give or take one a shard
+    drawn = np.frombuffer(b"".join(row.grams for row in rows), np.int64).reshape(-1, longest)
+    drawn = drawn[np.lexsort(drawn.T[::-1])]
+    return sorted({tuple(drawn[i * len(drawn) // ranges].tolist()) for i in range(1, ranges)}) if len(drawn) else []
 
 
 def _parts(grams: np.ndarray, counts: np.ndarray, borders: list[tuple[int, ...]]) -> Iterator[tuple[int, list[bytes]]]:
@@ -350,11 +367,7 @@ def _parts(grams: np.ndarray, counts: np.ndarray, borders: list[tuple[int, ...]]
 def frequent_pairs(coded: DataFrame, size: int, least: int, range_grams: int) -> DataFrame:
     """Rows ids, f of the frequent pairs, and rows shard, range, mask, pairs: which of a shard's sorted pairs in a range are frequent."""
 
-    def listed(frame: pd.DataFrame) -> Iterator[np.ndarray]:
-        for ids in frame["ids"]:
-            yield pairs_of(numbers(ids))[0]
-
-    sent = coded.sparkSession.sparkContext.broadcast(borders_of(coded, listed, size, range_grams))  # one pair a range
+    sent = coded.sparkSession.sparkContext.broadcast(borders_of(coded, 2, 2, size, range_grams))  # one pair a range
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -387,7 +400,7 @@ def longer_phrases(coded: DataFrame, masks: DataFrame, size: int, least: int, lo
             mask = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(masks, pairs, strict=True)]).astype(bool)
             yield grams_of(numbers(ids), mask, longest)
 
-    sent = spark.sparkContext.broadcast(borders_of(met, lambda frame: (found for found, _ in grams(frame)), size, range_grams))
+    sent = spark.sparkContext.broadcast(borders_of(coded, 3, longest, size, range_grams))  # one n-gram a range
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
