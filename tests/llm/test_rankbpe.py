@@ -86,3 +86,14 @@ def test_odd_rows(documents):
     assert rankbpe.digests(documents([])).count() == 0
     found = {row.doc_id: bytes(row.decoded) for row in rankbpe.encoded(frame).where("doc_id < 3").collect()}
     assert found == {1: b"", 2: b""}
+
+
+def test_words_in_use_are_kept(monkeypatch):
+    encoder = rankbpe.Encoder(rankbpe.ranks_file(), memory=50)
+    asked, encode = [], encoder.ranks.encode
+    monkeypatch.setattr(encoder.ranks, "encode", lambda word: asked.append(word) or encode(word))
+    text = " ".join(f"ofteninuse x{i}seldom" for i in range(500))
+    assert encoder.decode(encoder.encode(text)) == text.encode()
+    assert asked.count(b" ofteninuse") == 1
+    assert len(encoder.words) + len(encoder.words.older) <= 50
+    assert len(encoder.chunks) + len(encoder.chunks.older) <= 50

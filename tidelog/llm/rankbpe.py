@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import CHUNKS, in_batches, word_pattern
 
-# Chunks that a task remembers (the table starts anew when it is full), and the longest remembered.
+# Chunks, and words, that a task remembers (in two halves by age; the older one goes when the younger is full), and the longest remembered.
 MEMORY = 400_000
 LONGEST = 200
 
 
 class Ranks:
-    """Tokens by rank, and for every pair of tokens that together are a token, that token."""
+    """Tokens by rank, and for every pair of tokens that together are a token, where that token waits."""
 
     def __init__(self, content: bytes):
         self.ids = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
@@ -42,102 +42,126 @@ class Ranks:
         for token, rank in self.ids.items():
             self.bytes[rank] = token
         self.names = [str(rank) for rank in range(size)]
-        self.pairs: list[dict[int, int]] = [{} for _ in range(size)]  # left -> right -> joined
+        self.first = [self.ids[bytes([byte])] for byte in range(256)]
+        # The queue, empty between words: buckets of positions, and the groups of the bitmap. Bits count down, so
+        # that the lowest rank is the highest bit.
+        self.last, self.shift = size - 1, (size.bit_length() + 1) // 2
+        self.buckets: list[list[int]] = [[] for _ in range(size)]
+        self.groups = [0] * ((self.last >> self.shift) + 1)
+        self.bit = [1 << i for i in range(max(len(self.groups), 1 << self.shift))]
+        # left -> right -> (the joined token, its bucket, its group, its bit there, its group's bit)
+        self.pairs: list[dict[int, tuple[int, list[int], int, int, int]]] = [{} for _ in range(size)]
         for token, rank in self.ids.items():
+            group, low = divmod(self.last - rank, 1 << self.shift)
+            home = rank, self.buckets[rank], group, self.bit[low], self.bit[group]
             for cut in range(1, len(token)):
                 left, right = self.ids.get(token[:cut]), self.ids.get(token[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left][right] = rank
-        self.first = [self.ids[bytes([byte])] for byte in range(256)]
-        # The queue, empty between words: buckets of positions, and the groups of the bitmap.
-        self.shift = (size.bit_length() + 1) // 2
-        self.buckets: list[list[int]] = [[] for _ in range(size)]
-        self.groups = [0] * ((size >> self.shift) + 1)
-        self.bit = [1 << i for i in range(max(len(self.groups), 1 << self.shift))]
+                    self.pairs[left][right] = home
 
     def encode(self, word: bytes) -> list[int]:
         """The ids of one word."""
         whole = self.ids.get(word)
         if whole is not None:
             return [whole]
-        pairs, buckets, groups, bit, shift = self.pairs, self.buckets, self.groups, self.bit, self.shift
-        mask = (1 << shift) - 1
+        pairs, buckets, groups, bit, shift, last = self.pairs, self.buckets, self.groups, self.bit, self.shift, self.last
         token = list(map(self.first.__getitem__, word))
         size = len(token)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        waits = [-1] * size  # the rank of the pair that begins here
         top = 0
 
         for at in range(size - 1):
-            rank = pairs[token[at]].get(token[at + 1])
-            if rank is not None:
-                buckets[rank].append(at)  # ascending positions are a heap
-                groups[rank >> shift] |= bit[rank & mask]
-                top |= bit[rank >> shift]
+            home = pairs[token[at]].get(token[at + 1])
+            if home is not None:
+                waits[at], bucket, group, own, above = home
+                bucket.append(at)  # ascending positions are a heap
+                groups[group] |= own
+                top |= above
         while top:
-            group = (top & -top).bit_length() - 1
-            set_bits = groups[group]
-            rank = group << shift | (set_bits & -set_bits).bit_length() - 1
+            group = top.bit_length() - 1
+            low = groups[group].bit_length() - 1
+            rank = last - (group << shift | low)
             bucket = buckets[rank]
             at = heappop(bucket)
             if not bucket:
-                groups[group] = set_bits = set_bits & (set_bits - 1)
-                if not set_bits:
-                    top &= top - 1
-            left, right = token[at], after[at]
+                groups[group] ^= bit[low]
+                if not groups[group]:
+                    top ^= bit[group]
             # Stale: the token here was merged into its left neighbour, or one of the two has grown.
-            if left < 0 or right >= size or pairs[left].get(token[right]) != rank:
+            if waits[at] != rank:
                 continue
+            right, ahead = after[at], before[at]
+            behind = after[right]
             token[at], token[right] = rank, -1
-            behind, ahead = after[right], before[at]
+            waits[at] = waits[right] = -1
             after[at] = behind
             if behind < size:
                 before[behind] = at
-                joined = pairs[rank].get(token[behind])
-                if joined is not None:
-                    heappush(buckets[joined], at)
-                    groups[joined >> shift] |= bit[joined & mask]
-                    top |= bit[joined >> shift]
+                home = pairs[rank].get(token[behind])
+                if home is not None:
+                    waits[at], bucket, group, own, above = home
+                    heappush(bucket, at)
+                    groups[group] |= own
+                    top |= above
             if ahead >= 0:
-                joined = pairs[token[ahead]].get(rank)
-                if joined is not None:
-                    heappush(buckets[joined], ahead)
-                    groups[joined >> shift] |= bit[joined & mask]
-                    top |= bit[joined >> shift]
+                home = pairs[token[ahead]].get(rank)
+                if home is None:
+                    waits[ahead] = -1
+                else:
+                    waits[ahead], bucket, group, own, above = home
+                    heappush(bucket, ahead)
+                    groups[group] |= own
+                    top |= above
         return [t for t in token if t >= 0]
 
 
+class Remembered(dict):
+    """The values of up to `most` keys, by age: when the younger half is full, what was not asked for since it began is dropped."""
+
+    def __init__(self, most: int):
+        self.half, self.older = max(1, most // 2), {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class Encoder:
     """Encodes texts; remembers the ids of chunks and of words."""
 
     def __init__(self, content: bytes, memory: int = MEMORY):
-        self.ranks, self.memory = Ranks(content), memory
-        self.chunks: dict[str, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.ranks = Ranks(content)
+        self.chunks, self.words = Remembered(memory), Remembered(memory)
         self.pattern = word_pattern()
 
     def word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
+        ids = self.words[word]
         if ids is None:
             ids = self.ranks.encode(word.encode())
             if len(word) <= LONGEST:
-                if len(self.words) >= self.memory:
-                    self.words.clear()
-                self.words[word] = ids
+                self.words.keep(word, ids)
         return ids
 
     def chunk(self, chunk: str) -> list[int]:
         words = self.pattern.findall(chunk)
         ids = self.word(words[0]) if len(words) == 1 else list(chain.from_iterable(map(self.word, words)))
         if len(chunk) <= LONGEST:
-            if len(self.chunks) >= self.memory:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
+            self.chunks.keep(chunk, ids)
         return ids
 
     def encode(self, text: str) -> list[int]:
         known, ids = self.chunks, []
         for chunk in CHUNKS.findall(text):
-            found = known.get(chunk)
+            found = known[chunk]
             ids += self.chunk(chunk) if found is None else found
         return ids
 
