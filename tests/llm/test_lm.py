@@ -124,3 +124,19 @@ def test_the_order_of_rows_does_not_matter():
         assert a.tolist() == b.tolist()
     for a, b in zip(first.count, second.count, strict=True):
         assert a.tolist() == b.tolist()
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for values in ([], [0, 0], [0, 255, 256], [2**64 - 1, 0], range(70_000), rng.integers(0, 2**63, 5000) >> rng.integers(0, 63, 5000)):
+        values = np.array(values, np.uint64)
+        assert lm.numbers(lm.planes(values)).tolist() == values.tolist()
+
+
+def test_what_is_shuffled_is_small(spark):
+    documents = table(spark, "/root/testdata/sf0.1", "documents").coalesce(1)
+    size = documents.selectExpr("sum(octet_length(text))").first()[0]
+    assert lm.blocks_of(documents, lm.BLOCK_BYTES).selectExpr("sum(octet_length(texts))").first()[0] < 0.45 * size
+    # A hash of a block of 2 ** 20 tells little more than the 44 bits by which it is ahead of the one before.
+    hashes = np.sort(np.random.default_rng(3).integers(0, 2**64, 1 << 20, np.uint64))[: 1 << 14]
+    assert len(lm.planes(np.diff(hashes, prepend=hashes[0]))) < 5.9 * len(hashes)

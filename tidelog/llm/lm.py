@@ -12,8 +12,9 @@ context of k words was found for, the state is the context of k + 1 words that e
 The texts of a block are read side by side, a step of arrays per place; a state depends on the words before it only,
 so long texts are cut into segments that begin in the longest context, whose unseen part fails at no cost.
 
-The model is never gathered in one place. Documents are dealt to blocks of about BLOCK_BYTES. Each block counts its own
-n-grams (by 64-bit hash) and sends the sorted counts, cut into hash ranges, to the ranges' tasks; these add them up and
+The model is never gathered in one place. Documents that follow each other make blocks of about BLOCK_BYTES, which travel
+compressed as one. Each block counts its own n-grams (by 64-bit hash) and sends the sorted counts, cut into hash ranges and written
+as steps from hash to hash, to the ranges' tasks; these add them up and
 send back to each block only the totals that differ from its own counts, with a bit per entry that says which. With those a block builds its part of the
 automaton: the arcs its texts can reach. Counts are added up before every shuffle, so a frequent word is one entry per
 block, and no task holds more than a block or a range.
@@ -25,12 +26,15 @@ ignored. Texts count whole, of any length. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +42,9 @@ ORDER = 3
 MU = 4.0
 ADD = 0.1
 BLOCK_BYTES = 6 << 20
+# How hard a block's texts are compressed, and the byte between them, which is in no text.
+LEVEL = 9
+BREAK = b"\xff"
 # Events of a text that are read in one go.
 SEGMENT = 512
 SCORES = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -53,12 +60,12 @@ def held_out(doc_id: str | None) -> bool:
 class Block:
     """The token events of a block of texts: words and one end per text, and the n-grams that end at each."""
 
-    def __init__(self, texts: list[str | None], trained: np.ndarray, order: int):
+    def __init__(self, texts: list[str | bytes | None], trained: np.ndarray, order: int):
         vocabulary: dict[bytes, int] = {}
         known = vocabulary.setdefault
         ids = []
         for text in texts:
-            words = (text or "").encode().lower().split()
+            words = (text if isinstance(text, bytes) else (text or "").encode()).lower().split()
             ids.append(np.fromiter((known(w, len(vocabulary)) for w in words), np.int64, len(words)))
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in vocabulary), np.uint64, len(vocabulary))
         self.sizes = np.array([len(i) + 1 for i in ids], np.int64)
@@ -99,18 +106,45 @@ class Block:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """The bytes of 64-bit numbers, all first bytes first, compressed: sorted hashes and small counts have planes of few values."""
-    return zstandard.compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    """The bytes of 64-bit numbers, all highest bytes first, without the planes that are zero throughout.
+
+    Planes are compressed one by one from the highest on, until one does not shrink: it and those below are as good as random.
+    Ahead of them: how many numbers and planes there are, and the sizes of the compressed planes.
+    """
+    values = np.ascontiguousarray(values, np.uint64)
+    used = (int(values.max(initial=0)).bit_length() + 7) // 8
+    rows = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :used].T[::-1])
+    small: list[bytes] = []
+    for row in rows:
+        packed = zstandard.compress(row.tobytes(), 1)
+        if len(packed) >= len(row):
+            break
+        small.append(packed)
+    head = struct.pack(f"<IBB{len(small)}I", len(values), used, len(small), *map(len, small))
+    return b"".join([head, *small, rows[len(small) :].tobytes()])
 
 
 def numbers(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    count, used, small = struct.unpack_from("<IBB", packed)
+    sizes = struct.unpack_from(f"<{small}I", packed, 6)
+    at = 6 + 4 * small
+    out = np.zeros((count, 8), np.uint8)
+    for plane in range(used):
+        size = sizes[plane] if plane < small else count
+        row = packed[at : at + size]
+        out[:, used - 1 - plane] = np.frombuffer(zstandard.decompress(row) if plane < small else row, np.uint8)
+        at += size
+    return out.view(np.uint64).ravel()
+
+
+def borders(parts: int) -> np.ndarray:
+    """The least hash of each of `parts` equal ranges."""
+    return np.array([(i << 64) // parts for i in range(parts)], np.uint64)
 
 
 def ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Where each of `parts` equal ranges of hashes begins in the sorted `hashes`."""
-    borders = np.array([(i << 64) // parts for i in range(parts)], np.uint64)
-    return np.append(np.searchsorted(hashes, borders), len(hashes))
+    return np.append(np.searchsorted(hashes, borders(parts)), len(hashes))
 
 
 class Automaton:
@@ -166,31 +200,66 @@ class Automaton:
         return base, weight
 
 
+def blocks_of(documents: DataFrame, block_bytes: int) -> DataFrame:
+    """block, doc_ids and texts, compressed as one, of about `block_bytes` of texts that follow each other in an input partition."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, made, size = TaskContext.get().partitionId(), 0, 0
+        keys: list[str | None] = []
+        texts: list[bytes] = []
+
+        def row() -> pd.DataFrame:
+            nonlocal made, size
+            block = task << 32 | made
+            out = pd.DataFrame([(block, keys.copy(), zstandard.compress(BREAK.join(texts), LEVEL))], columns=["block", "doc_ids", "texts"])
+            keys.clear()
+            texts.clear()
+            made, size = made + 1, 0
+            return out
+
+        for frame in frames:
+            for key, text in zip(frame["doc_id"], frame["text"], strict=True):
+                keys.append(None if pd.isna(key) else key)
+                texts.append(b"" if pd.isna(text) else text.encode())
+                size += 16 + len(texts[-1])
+                if size >= block_bytes:
+                    yield row()
+        if keys:
+            yield row()
+
+    # Ids pass as text: a null among them would turn whole numbers into floating ones.
+    named = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return named.mapInPandas(run, "block long, doc_ids array<string>, texts binary")
+
+
 def scored(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     size = documents.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    # Ids pass as text: a null among them would turn whole numbers into floating ones.
-    named = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
+    parts = max(1, -(-size // block_bytes))
+    named = blocks_of(documents, block_bytes)
 
     def build(frame: pd.DataFrame) -> tuple[Block, np.ndarray]:
-        held = np.array([held_out(key) for key in frame["doc_id"]], bool)
-        return Block([None if pd.isna(t) else t for t in frame["text"]], ~held, order), held
+        row = frame.iloc[0]
+        held = np.array([held_out(key) for key in row["doc_ids"]], bool)
+        return Block(zstandard.decompress(row["texts"]).split(BREAK), ~held, order), held
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         block, _ = build(frame)
-        rows = []
+        own, least = int(frame["block"].iloc[0]), borders(parts)
+        # Every range hears of every block, and answers with its share of the tokens and words.
+        rows = [(part, own, -1, b"", b"") for part in range(parts)]
         for k, (hashes, counts) in enumerate(zip(block.unique, block.count, strict=True)):
-            cut = ranges(hashes, blocks)
+            cut = ranges(hashes, parts)
             for part in np.flatnonzero(np.diff(cut)).tolist():
                 here = slice(cut[part], cut[part + 1])
-                rows.append((part, int(frame["block"].iloc[0]), k, planes(hashes[here]), planes(counts[here])))
+                rows.append((part, own, k, planes(np.diff(hashes[here], prepend=least[part])), planes(counts[here])))
         return pd.DataFrame(rows, columns=["part", "block", "order", "hashes", "counts"])
 
     def add_up(frame: pd.DataFrame) -> pd.DataFrame:
         rows, tokens, words, part = [], 0, 0, int(frame["part"].iloc[0])
-        for k, own in frame.groupby("order"):
-            hashes = [numbers(b) for b in own["hashes"]]
+        least = borders(parts)[part]
+        for k, own in frame[frame["order"] >= 0].groupby("order"):
+            hashes = [np.cumsum(numbers(b), dtype=np.uint64) + least for b in own["hashes"]]
             sizes, hashes = list(map(len, hashes)), np.concatenate(hashes)
             counts = np.concatenate([numbers(b) for b in own["counts"]]).astype(np.int64)
             unique, at = np.unique(hashes, return_inverse=True)
@@ -205,7 +274,7 @@ def scored(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BY
                 if more.any():
                     rows.append((part, block, k, np.packbits(more).tobytes(), planes(totals[here][more])))
         share = planes(np.array([tokens, words]))
-        rows += [(part, block, -1, b"", share) for block in range(blocks)]
+        rows += [(part, block, -1, b"", share) for block in frame.loc[frame["order"] < 0, "block"]]
         return pd.DataFrame(rows, columns=["part", "block", "order", "differs", "counts"])
 
     def score(own: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
@@ -214,7 +283,7 @@ def scored(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BY
         block, held = build(own)
         counts = [c.copy() for c in block.count]
         tokens = words = 0
-        cuts = [ranges(hashes, blocks) for hashes in block.unique]
+        cuts = [ranges(hashes, parts) for hashes in block.unique]
         for part, k, differs, totals in zip(sent["part"], sent["order"], sent["differs"], sent["counts"], strict=True):
             if k < 0:
                 share = numbers(totals)
@@ -226,7 +295,7 @@ def scored(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BY
         known = counts[0][block.at[0]] > 0
         return pd.DataFrame(
             {
-                "doc_id": own["doc_id"],
+                "doc_id": own["doc_ids"].iloc[0],
                 "held_out": held,
                 "n_tokens": block.sizes,
                 "n_known": np.add.reduceat(known.astype(np.int64), block.first),
@@ -236,7 +305,7 @@ def scored(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BY
             }
         )
 
-    sent = named.groupBy("block").applyInPandas(count, "part int, block int, order int, hashes binary, counts binary")
-    totals = sent.groupBy("part").applyInPandas(add_up, "part int, block int, order int, differs binary, counts binary")
+    sent = named.groupBy("block").applyInPandas(count, "part int, block long, order int, hashes binary, counts binary")
+    totals = sent.groupBy("part").applyInPandas(add_up, "part int, block long, order int, differs binary, counts binary")
     found = named.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, SCORES)
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
