@@ -50,3 +50,15 @@ def test_bounded_deduplication_and_windows(spark, tmp_path):
     I.append_stream(I.stream_counts(stream), counts, str(tmp_path / "c2")).awaitTermination()
     found = {r.window_start: r.n for r in spark.read.parquet(counts).collect()}
     assert found == {"2024-01-01T00:00:00": 2}
+
+
+def test_a_micro_batch_has_a_file_for_every_core(spark, monkeypatch):
+    from tidelog.plans import stream_queries
+
+    asked = []
+    rows = stream_queries.I.stream_rows
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 12)
+    monkeypatch.setattr(stream_queries.I, "stream_rows", lambda *args, max_files: asked.append(max_files) or rows(*args, max_files=max_files))
+    found = stream_queries.stream_clean_merge(spark, "/root/testdata/sf0.001")
+    assert asked == [12]
+    assert found.count() == found.distinct().count() > 0

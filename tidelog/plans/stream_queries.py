@@ -81,7 +81,8 @@ def stream_clean_merge(spark: SparkSession, directory: str) -> DataFrame:
         unique = clean.dedup_by_type(records)
         return unique.select("file", "chunk_id", F.col("line_no").alias("pos"), *LOG_FIELDS, F.col("raw").alias("raw_data"))
 
-    rows = I.stream_rows(spark, source, max_files=4)
+    # A micro-batch reads a file or more per core, so that none is idle, and the store is scanned less often.
+    rows = I.stream_rows(spark, source, max_files=max(4, spark.sparkContext.defaultParallelism))
     I.merge_stream(rows, root, "stream", scratch_path(spark, "checkpoint"), to_records).awaitTermination()
     return read_store(spark, root).select("timestamp", "level", "message", "service")
 
