@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tidelog.llm import phrases
-from tidelog.llm.common import table
+from tidelog.llm.common import saved, table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -142,3 +142,20 @@ def test_no_range_holds_a_rare_language(spark):
     coded = spark.createDataFrame([(shard, bytearray(phrases.planes(own))) for shard, own in ids.items()], "shard string, ids binary")
     pairs = phrases.frequent_pairs(coded, sum(map(len, ids.values())), 100, 4000).where("ids is null")
     assert pairs.groupBy("range").agg({"pairs": "sum"}).toDF("range", "n").selectExpr("max(n)").first()[0] < 8000
+
+
+def test_what_grows_is_not_broadcast(spark, monkeypatch):
+    # Tables this small are broadcast by every join that is left to Spark.
+    plans = []
+
+    def seen(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return frame
+
+    monkeypatch.setattr(phrases, "saved", lambda frame, *rest: saved(seen(frame), *rest))
+    texts = [("New York City New", "en")] * 30 + [("one two three one two", "fr")] * 30
+    found = seen(phrases.collocations(make(spark, texts), least=20))
+    joins = re.findall(r"(\w+Join) \[(\w+)#", "".join(plans))
+    assert {key for kind, key in joins if kind != "SortMergeJoin"} <= {"lang"}
+    assert sorted(key for kind, key in joins if kind == "SortMergeJoin" and key != "lang") == ["first_id", "head", "id", "ids", "ids", "shard", "shard", "tail"]
+    assert rows(found) == brute(texts, 20, 5, 2000)

@@ -17,7 +17,7 @@ Texts (A-Z lower-cased) are cut at sentence signs into pieces and these at blank
    candidate are composed with it: the state that a part leads to has the part's name, so the lookup is a join.
 
 Borders are quantiles of a bounded sample of n-grams (RANGE_SAMPLE a range, SAMPLE in all), drawn from every shard by its length; any
-borders give the same result. Nothing is sent to all tasks but the borders.
+borders give the same result. Nothing is sent to all tasks but the borders and, if Spark finds them few, the languages' totals.
 
 Nulls: a null text is empty, a null lang is `und`; ids are not read. Repeated rows count each. Extra columns are ignored. Texts
 count whole; longer ones than SHARD_BYTES become several shards, cut between pieces. No candidate, or no rows: an empty result.
@@ -58,6 +58,14 @@ END = b"\xff"  # no byte of any text: the end of a piece
 BYTES = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
 
+def merged(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the input, which never passes one through the driver.
+
+    Left alone, Spark broadcasts what it takes to be small by the size of compressed files; as rows it may be many times that.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def planes(values: np.ndarray) -> bytes:
     """The bytes of whole numbers, all first bytes first, without the last planes if all zero, compressed; the first byte counts the planes."""
     values = np.ascontiguousarray(values, np.uint64)
@@ -308,7 +316,7 @@ def _before(grams: np.ndarray, border: tuple[int, ...]) -> int:
 def coded_shards(pieces: DataFrame, numbered: DataFrame) -> DataFrame:
     """shard, ids: the word ids of a shard's tokens in order, 0 for ends and words that are not frequent."""
     known = numbered.groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("known"))
-    met = pieces.select("shard", "tokens").join(known, "shard").select("shard", "tokens", F.col("known.place").alias("places"), F.col("known.id").alias("ids"))
+    met = merged(pieces.select("shard", "tokens"), known, "shard").select("shard", "tokens", F.col("known.place").alias("places"), F.col("known.id").alias("ids"))
 
     def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -393,7 +401,7 @@ def longer_phrases(coded: DataFrame, masks: DataFrame, size: int, least: int, lo
     """ids, f of the frequent phrases of three words or more."""
     spark = coded.sparkSession
     listed = masks.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("range", "mask", "pairs"))).alias("masks"))
-    met = coded.join(listed, "shard").select("shard", "ids", F.col("masks.mask").alias("masks"), F.col("masks.pairs").alias("pairs"))
+    met = merged(coded, listed, "shard").select("shard", "ids", F.col("masks.mask").alias("masks"), F.col("masks.pairs").alias("pairs"))
 
     def grams(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for ids, masks, pairs in zip(frame["ids"], frame["masks"], frame["pairs"], strict=True):
@@ -453,22 +461,23 @@ def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGES
     states = phrases.union(words.select(F.array("id").alias("ids"), "f"))
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.size("ids") - 1), lambda size: F.transform(F.sequence(F.lit(1), F.size("ids") - size + 1), lambda at: F.slice("ids", at, size))))
     longer = phrases.where(F.size("ids") > 2).select(F.explode(inner).alias("ids"), F.col("f").alias("around")).groupBy("ids").agg(F.max("around").alias("around"))
-    left = phrases.join(longer, "ids", "left").where(F.col("around").isNull() | (100 * F.col("around") < share * F.col("f"))).select("ids", F.col("f").alias("a"))
+    left = merged(phrases, longer, "ids", "left").where(F.col("around").isNull() | (100 * F.col("around") < share * F.col("f"))).select("ids", F.col("f").alias("a"))
 
     totals = pieces.groupBy("lang").agg(F.sum("n").alias("n"))
     language = words.select(F.col("id").alias("first_id"), "lang")
-    left = left.withColumn("first_id", F.col("ids")[0]).join(language, "first_id").join(totals, "lang")
+    left = merged(left.withColumn("first_id", F.col("ids")[0]), language, "first_id").join(totals, "lang")
     cuts = left.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("ids") - 1)))
     cuts = cuts.withColumn("head", F.slice("ids", F.lit(1), F.col("k"))).withColumn("tail", F.slice("ids", F.col("k") + 1, F.size("ids")))
-    cuts = cuts.join(states.select(F.col("ids").alias("head"), F.col("f").alias("l")), "head").join(states.select(F.col("ids").alias("tail"), F.col("f").alias("r")), "tail")
+    cuts = merged(cuts, states.select(F.col("ids").alias("head"), F.col("f").alias("l")), "head")
+    cuts = merged(cuts, states.select(F.col("ids").alias("tail"), F.col("f").alias("r")), "tail")
     score = F.expr("(cast(1000 as decimal(4,0)) * (cast(a as decimal(18,0)) * cast(n as decimal(18,0)))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))")
     lowest = cuts.withColumn("score", score).groupBy("ids").agg(F.min_by(F.struct("lang", "a", "l", "r", "n", "score"), F.struct("score", "k")).alias("best"))
     lowest = saved(lowest.select("ids", "best.*"), "scored")
 
-    spelled = lowest.select("ids", F.posexplode("ids").alias("at", "id")).join(words.select("id", "word"), "id")
+    spelled = merged(lowest.select("ids", F.posexplode("ids").alias("at", "id")), words.select("id", "word"), "id")
     spelled = spelled.groupBy("ids").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda entry: entry["word"]), " ").alias("phrase"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = lowest.join(spelled, "ids").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = merged(lowest, spelled, "ids").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
